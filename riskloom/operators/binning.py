@@ -73,8 +73,10 @@ def bin_apply(
 ) -> DataFrame:
     """Label each value with its bin. ``labels`` = names (used when the count matches),
     None/True for ``Bin_i``, False for the bare bin number."""
-    p = fitted.filter(F.col("var") == column).select(F.struct("edges", "n_bins", "lo", "hi")).scalar()
-    edges, n_bins, lo, hi = (p.getField(x) for x in ("edges", "n_bins", "lo", "hi"))
+    row = fitted.filter(F.col("var") == column).select(F.struct("edges", "n_bins", "lo", "hi")).scalar()
+    # a subquery may not stand inside a lambda, so the fitted row becomes a column first
+    fitted_df = df.withColumn("_p", row)
+    edges, n_bins, lo, hi = (F.col(f"_p.{x}") for x in ("edges", "n_bins", "lo", "hi"))
     number = F.col(f"`{column}`").cast("double")
     v = F.nanvl(number, F.lit(None).cast("double"))
     idx = bin_index(v, edges)
@@ -95,7 +97,7 @@ def bin_apply(
         name = F.when(outside | (v.isNotNull() & name.isNull()), F.lit(out_of_range)).otherwise(name)
     if missing != "as_is":
         name = F.when(v.isNull(), F.lit(missing)).otherwise(name)
-    return df.withColumn(out, name)
+    return fitted_df.withColumn(out, name).drop("_p")
 
 
 def bin_then_risk(

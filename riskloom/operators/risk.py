@@ -31,11 +31,13 @@ class RiskTables:
 
 def label_crosstab(df: DataFrame, category: str, label: str) -> DataFrame:
     """Category by label counts with a ``_count_`` margin column and row."""
-    known = df.filter(F.col(category).isNotNull() & F.col(label).isNotNull())
-    cells = known.rollup(F.col(category).cast("string").alias("category")).agg(
+    known = df.filter(F.col(category).isNotNull() & F.col(label).isNotNull()).select(
+        F.col(category).cast("string").alias("category"), F.col(label).alias("_y")
+    )
+    cells = known.rollup("category").agg(
         F.grouping("category").alias("g"),
-        F.count_if(F.col(label) == 0).alias("label_0"),
-        F.count_if(F.col(label) == 1).alias("label_1"),
+        F.count_if(F.col("_y") == 0).alias("label_0"),
+        F.count_if(F.col("_y") == 1).alias("label_1"),
         F.count(F.lit(1)).alias("n_all"),
     )
     name = F.when(F.col("g") == 1, "_count_").otherwise(F.col("category"))
