@@ -49,8 +49,11 @@ PATTERNS = (
 
 
 def _java(name: str, pattern: str) -> str:
-    # a run of word characters is tried once, not from each of its letters
-    return r"(?<![\w-])[\w-]++@(?:[\w-]+\.)+[\w-]+" if name == "EMAIL" else pattern
+    if name == "EMAIL":
+        # a run of word characters is tried once, not from each of its letters
+        pattern = r"(?<![\w-])[\w-]++@(?:[\w-]+\.)+[\w-]+"
+    # letters of every script count as letters, also at word boundaries
+    return "(?U)" + pattern
 
 
 def entity_mask(c: Column, names: tuple[str, ...] | None = None) -> Column:

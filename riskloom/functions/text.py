@@ -31,6 +31,11 @@ def text_upper(c: Column) -> Column:
     return F.upper(squeeze(c))
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def each(fn):
     """Apply a string function to every message of an array."""
     return lambda c: F.transform(c, fn)
@@ -127,7 +132,7 @@ def html_clean_rules(c: Column) -> Column:
     for entity, char in fv.HTML_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = strip(F.regexp_replace(out, r"https?://\S{50,}", "[URL]"))
-    return F.when(has_tag, status_mail_lines(out)).otherwise(c)
+    return F.when(has_tag, let(out, status_mail_lines)).otherwise(c)
 
 
 def status_mail_lines(c: Column) -> Column:
@@ -143,7 +148,7 @@ def status_mail_lines(c: Column) -> Column:
 PLAIN_RULES = (
     (r"&nbsp;|&lt;|&gt;|&amp;", " "),
     (r"[-=]{2,}[\w\-*$\s:]+[-=]{2,}", " "),
-    (r"<[^<>]*>|\[[^\[\]]*\]|\([^()]*\)", ""),
+    (r"<.*>|\[.*\]|\(.*\)", ""),
     (r"\s\s+", " "),
     (r"^\s+", ""),
     (r"[\s>_]+\z", ""),
@@ -205,22 +210,27 @@ def informative_tokens(c: Column) -> Column:
     return F.filter(tokens(c), lambda t: ~F.array_contains(empty, F.lower(t)))
 
 
-def template_patterns(brand: str) -> list[tuple[str, str]]:
-    """``(language, pattern)`` of service-mail headers and signatures; ``brand`` signs the notices."""
-    out = []
-    for lang, (start, end) in fv.SERVICE_HEADERS.items():
-        out.append((lang, rf"(?is){start}.*(?={end})"))
-    for lang, (start, close) in fv.SERVICE_SIGNATURES.items():
-        out.append((lang, rf"(?is){_literal(start)}.* {close}.*"))
-    for lang, start in fv.RETURN_NOTICES.items():
-        out.append((lang, rf"(?s){start}.*(?={fv.RETURN_REASON_MARKERS[lang]}\s*)"))
-    for lang, (start, close) in fv.RETURN_SIGNATURES.items():
-        out.append((lang, rf"(?s){start}.* {close}\s+{brand}.*"))
-    for lang, start in fv.RETURN_CANCELLED.items():
-        out.append((lang, rf"(?s){start}.*"))
-    for lang, start in fv.SELLER_MESSAGE_OPENINGS.items():
-        out.append((lang, rf"{start} [\w\-\s]+:\s+(?=\w)"))
-    return out
+def template_patterns(brand: str) -> dict[str, list[tuple[str, str, str]]]:
+    """Per kind of service-mail part: ``(language, pattern, words it needs)``; ``brand`` signs return notices."""
+    reason = fv.RETURN_REASON_MARKERS
+    return {
+        "header": [(lang, rf"(?is){start}.*(?={end})", end) for lang, (start, end) in fv.SERVICE_HEADERS.items()],
+        "signature": [
+            (lang, rf"(?is){_literal(start)}.* {close}.*", start)
+            for lang, (start, close) in fv.SERVICE_SIGNATURES.items()
+        ],
+        "return notice": [
+            (lang, rf"(?s){start}.*(?={reason[lang]}\s*)", reason[lang]) for lang, start in fv.RETURN_NOTICES.items()
+        ],
+        "return signature": [
+            (lang, rf"(?s){start}.* {close}\s+{brand}.*", close)
+            for lang, (start, close) in fv.RETURN_SIGNATURES.items()
+        ],
+        "cancelled return": [(lang, rf"(?s){start}.*", start) for lang, start in fv.RETURN_CANCELLED.items()],
+        "seller message": [
+            (lang, rf"{start} [\w\-\s]+:\s+(?=\w)", start) for lang, start in fv.SELLER_MESSAGE_OPENINGS.items()
+        ],
+    }
 
 
 def _literal(s: str) -> str:
@@ -228,18 +238,23 @@ def _literal(s: str) -> str:
 
 
 def template_strip(c: Column, lang: Column, brand: str) -> Column:
-    """Remove the templates of the row's language."""
-    by_lang: dict[str, list] = {}
-    for name, pattern in template_patterns(brand):
-        by_lang.setdefault(name, []).append((pattern, ""))
+    """Remove the templates of the row's language: one replacement per kind of part.
+
+    A pattern with several open spans is slow on a long text that does not match, so
+    it is used only on texts that contain its fixed words.
+    """
+    lowered = F.lower(c)
     out = c
-    for name, rules in by_lang.items():
-        out = F.when(lang == name, apply_rules(c, rules)).otherwise(out)
+    for rules in template_patterns(brand).values():
+        pattern = F.when(F.lit(False), "")
+        for name, regex, words in rules:
+            pattern = pattern.when((lang == name) & F.contains(lowered, F.lit(words.lower())), regex)
+        out = F.regexp_replace(out, pattern.otherwise("(?!)"), F.lit(""))
     return out
 
 
 QUOTATION = "(?s)(?:" + "|".join(p for ps in fv.QUOTATION_STARTS.values() for p in ps) + ")"
-REMOVED_PART = rf"\[[^\[\]]*(?:{'|'.join(fv.REMOVED_WORDS)})\]"
+REMOVED_PART = rf"(?s)\[.*(?:{'|'.join(fv.REMOVED_WORDS)})\]"
 
 
 def quotation_cut(c: Column) -> Column:
