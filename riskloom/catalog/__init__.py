@@ -4,7 +4,7 @@ from importlib import import_module
 
 from riskloom.catalog.registry import ORACLE, QUERIES
 
-MODULES = ("features", "evaluation", "texts")
+MODULES = ("features", "evaluation", "texts", "storage", "models")
 
 
 def load():

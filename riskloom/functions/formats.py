@@ -4,26 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from riskloom.functions.numbers import fixed_text, number_text
 from riskloom.operators.metrics import argmax
 
 
-def number_text(p: Column) -> Column:
-    """Shortest decimal text of a number, with exponents only below 1e-4 or from 1e16 (``0.00012``, ``1e-05``)."""
-    s = p.cast("string")
-    mantissa = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(s, "E", -1).cast("int")
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    sign = F.when(exponent < 0, "-").otherwise("+")
-    short = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    plain = F.regexp_replace(F.format_number(p, "0.0###############"), ",", "")
-    return (
-        F.when(~F.contains(s, F.lit("E")), s)
-        .when((exponent == -4) & ~s.startswith("-"), F.concat(F.lit("0.000"), digits))
-        .when((exponent >= 7) & (exponent < 16), plain)
-        .otherwise(short)
-    )
-
-
 def argmax_label(raw: Column) -> Column:
     """``class-<i>`` of the first maximum of the raw scores."""
     return F.concat(F.lit("class-"), argmax(raw).cast("string"))
@@ -54,7 +38,7 @@ def prediction_csv(raw: Column, calibrated: Column, n_classes: int) -> Column:
     cal = _calibrated_or_raw(raw, calibrated)
 
     def four(c: Column) -> Column:
-        return F.format_string("%.4f", c)
+        return fixed_text(c, 4)
 
     if n_classes == 2:
         label = F.when(F.element_at(raw, 2) > F.element_at(raw, 1), "class-1").otherwise("class-0")
@@ -73,5 +57,5 @@ def text_prediction_json(probs: Column, n_classes: int) -> Column:
 
 
 def text_prediction_csv(probs: Column, n_classes: int) -> Column:
-    scores = [F.format_string("%.4f", F.element_at(probs, i)) for i in range(1, n_classes + 1)]
+    scores = [fixed_text(F.element_at(probs, i), 4) for i in range(1, n_classes + 1)]
     return F.concat_ws(",", *scores, argmax_label(probs))

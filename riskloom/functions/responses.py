@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions import fixed_values as fv
+from riskloom.functions.numbers import fixed_text
 from riskloom.functions.text import strip
 from riskloom.plans.lookup import local_table
 
@@ -179,7 +180,7 @@ def format_analysis(category: Column, confidence: Column, evidence: Sequence[Col
     parts = [
         F.concat(F.lit("1. Category: "), category),
         F.lit(""),
-        F.concat(F.lit("2. Confidence Score: "), F.format_string("%.2f", confidence)),
+        F.concat(F.lit("2. Confidence Score: "), fixed_text(confidence, 2)),
         F.lit(""),
         F.lit("3. Key Evidence:"),
         *sections[0], *sections[1], *sections[2],

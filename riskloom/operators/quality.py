@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from riskloom.functions.numbers import exact_round
 from riskloom.plans.lookup import lookup_with_default
 from riskloom.plans.prefix import ordered_index
 from riskloom.plans.staging import stage
@@ -126,7 +127,7 @@ def enum_and_range_check(df: DataFrame, category: str, confidence: str, codes: S
         .otherwise(F.lit(None).cast("string"))
     )
     return df.withColumns(
-        {"reject_reason": reason, "valid": reason.isNull().cast("int"), confidence: F.round(score, 2)}
+        {"reject_reason": reason, "valid": reason.isNull().cast("int"), confidence: exact_round(score, 2)}
     )
 
 

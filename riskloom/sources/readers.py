@@ -17,26 +17,27 @@ SHARD_ENDINGS = {
 }
 
 
-def _matching(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(str(f.getPath().toString()) for f in found or [])
+def _has_files(spark: SparkSession, folder: str, pattern: str) -> bool:
+    """Lists names only; no file content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return not files.select("path").isEmpty()
 
 
-def scan_shards(spark: SparkSession, folder: str, sep: str = ",", json_array: bool = False) -> DataFrame:
+def scan_shards(spark: SparkSession, folder: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """All ``part-*`` shards of a folder, one read per format, stacked on the union of their columns."""
     frames = []
     for fmt, endings in SHARD_ENDINGS.items():
-        paths = [p for e in endings for p in _matching(spark, folder, f"part-*.{e}")]
-        paths = sorted(set(paths))
-        if not paths:
+        pattern = f"part-*.{{{','.join(endings)}}}"
+        if not _has_files(spark, folder, pattern):
             continue
+        reader = spark.read.option("pathGlobFilter", pattern)
         if fmt == "csv":
-            frames.append(spark.read.csv(paths, header=True, sep=sep, inferSchema=True))
+            frames.append(reader.csv(folder, header=True, sep=sep, inferSchema=True))
         elif fmt == "json":
-            frames.append(scan_json(spark, paths, array=json_array))
+            rows = reader.json(folder, multiLine=multi_line)
+            frames.append(flatten(rows) if multi_line else rows)
         else:
-            frames.append(spark.read.option("mergeSchema", True).parquet(*paths))
+            frames.append(reader.option("mergeSchema", True).parquet(folder))
     if not frames:
         raise FileNotFoundError(f"no shards in {folder}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -62,11 +63,11 @@ def restore_dots(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace("__DOT__", ".") for c in df.columns])
 
 
-def scan_json(spark: SparkSession, paths: str | Sequence[str], array: bool = False) -> DataFrame:
-    """JSON Lines; with ``array`` files that hold one array or object, flattened."""
+def scan_json(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+    """JSON Lines (an object or an array of objects per line); with ``multi_line`` one
+    array or object per file. Nested objects become dotted columns."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    read = spark.read.option("multiLine", array).json(paths)
-    return flatten(read) if array else read
+    return flatten(spark.read.option("multiLine", multi_line).json(paths))
 
 
 def scan_role_typed(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskloom.operators.metrics import value_counts
+from riskloom.functions.numbers import fixed_text
 from riskloom.functions.responses import run_summary
 
 
@@ -83,5 +84,5 @@ def metrics_long(df: DataFrame) -> DataFrame:
 def sink_metrics(df: DataFrame, path: str) -> None:
     long = metrics_long(df)
     long.write.json(f"{path.rstrip('/')}/metrics.json")
-    line = F.concat(F.col("metric"), F.lit(": "), F.format_string("%.4f", F.col("value")))
+    line = F.concat(F.col("metric"), F.lit(": "), fixed_text(F.col("value"), 4))
     long.select(line.alias("value")).write.text(f"{path.rstrip('/')}/metrics.txt")

@@ -27,9 +27,11 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def replay(spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Read a file source as a stream, transform, and return what was written."""
-    stream = transform(spark.readStream.schema(schema).parquet(path))
+def replay(
+    spark: SparkSession, folder: str, pattern: str, schema, transform: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Read the matching files of a folder as a stream, transform, and return what was written."""
+    stream = transform(spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder))
     out = new_stage_path(spark, "stream")
     run_available(stream, out, out + "-checkpoint")
     return spark.read.schema(stream.schema).parquet(out)
