@@ -321,7 +321,20 @@ def curve_of(calibrator, df, score):
     return calibrator.apply(df.select(F.col(score).alias("score")).distinct(), "score", "calibrated")
 
 
-@query("isotonic_calibrate")
+# the isotonic fit at i is max over j <= i of min over k >= i of the mean label of j..k;
+# old_score has eleven values, so the twin can try all of them
+ISO_SQL = """
+g AS (SELECT old_score AS s, count(*) AS n, sum(y) AS p, row_number() OVER (ORDER BY old_score) AS i FROM preds GROUP BY 1),
+span AS (SELECT a.i AS j, b.i AS k, (SELECT sum(p) / sum(n)::DOUBLE FROM g WHERE g.i BETWEEN a.i AND b.i) AS m
+         FROM g a JOIN g b ON a.i <= b.i),
+low AS (SELECT g.i, j, min(m) AS m FROM g JOIN span ON j <= g.i AND k >= g.i GROUP BY g.i, j),
+iso AS (SELECT g.s, max(low.m) AS c FROM g JOIN low USING (i) GROUP BY g.s)"""
+
+
+@query(
+    "isotonic_calibrate",
+    f"WITH {PREDS_SQL}, {ISO_SQL} SELECT s AS score, round(c, 6) AS calibrated FROM iso",
+)
 def isotonic_calibrate(spark, sf):
     df = predictions(spark, sf)
     return rounded(curve_of(calibrate.isotonic_fit(df, "old_score", "y"), df, "old_score"), "calibrated")
@@ -349,7 +362,14 @@ def multiclass_calibrate(spark, sf):
     )
 
 
-@query("binary_calibrate_apply")
+@query(
+    "binary_calibrate_apply",
+    f"""WITH {PREDS_SQL}, {ISO_SQL},
+    b AS (SELECT CAST(least(floor(c * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(c) AS ms, avg(CAST(y AS DOUBLE)) AS ml
+          FROM preds JOIN iso ON s = old_score GROUP BY 1)
+    SELECT bin, n, round(ms, 6) AS mean_score, round(ml, 6) AS mean_label, round(abs(ms - ml), 6) AS gap,
+           bin / 10.0 AS bin_start, (bin + 1) / 10.0 AS bin_end FROM b""",
+)
 def binary_calibrate_apply(spark, sf):
     df = predictions(spark, sf).withColumn("probs", F.array(1 - F.col("old_score"), F.col("old_score")))
     fit = calibrate.isotonic_fit(df, "old_score", "y")

@@ -16,6 +16,7 @@ from riskloom.operators.encode import class_weight_column
 from riskloom.operators.quality import oot_split
 from riskloom.operators.split import random_split
 from riskloom.plans.cutoffs import hash_fraction
+from riskloom.plans.partitions import spread
 from riskloom.plans.staging import stage
 from riskloom.streaming import score as st
 
@@ -29,7 +30,7 @@ def training_frame(spark, sf):
     df = df.withColumn("row_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "part", "supp"))
     state = md.fit_features(df, "y", ["supp", "line"], FEATURES[:4], 0.01, 5)
     mapped = md.eval_feature_frame(df, state, ["row_id", "y", "l_shipdate"])
-    return stage(random_split(mapped, "row_id", 0.3), "training")
+    return stage(spread(random_split(mapped, "row_id", 0.3)), "training")
 
 
 def trained(df, **kwargs):
@@ -77,7 +78,7 @@ def train_test_oot_report(spark, sf):
 @query("multiclass_trees")
 def multiclass_trees(spark, sf):
     """One against the rest over the three return flags."""
-    items = table(spark, sf, "lineitem").select(
+    items = spread(table(spark, sf, "lineitem")).select(
         "l_quantity",
         "l_extendedprice",
         "l_tax",
@@ -92,7 +93,7 @@ def multiclass_trees(spark, sf):
 def text_classifier(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     rows = docs.select("doc_id", "text", F.log1p("n_chars").alias("size"), F.col("quality").alias("y"))
-    split = stage(random_split(rows, "doc_id", 0.3))
+    split = stage(spread(random_split(rows, "doc_id", 0.3)))
     model = md.text_classifier("text", "y", ["size"]).fit(split.filter("split = 'train'"))
     scored = model.transform(split).select(
         "split", "y", F.element_at(vector_to_array("probability"), 2).alias("score")

@@ -9,9 +9,14 @@ from riskloom.catalog.registry import query, rounded, table
 from riskloom.functions import dialogue as dg, entities as en, fixed_values as fv, responses as rs, text as tx
 from riskloom.operators import labelling, tokens as tk
 from riskloom.operators.chain import column_chains
+from riskloom.plans.partitions import spread
 from riskloom.plans.staging import stage
 
 
+def texts(spark, sf, name):
+    return spread(table(spark, sf, name))
+
+
 def esc(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -33,12 +38,12 @@ def squeeze_sql(c: str) -> str:
 @query("text_normalize", f"SELECT doc_id, md5(lower({squeeze_sql('text')})) AS h, length(lower({squeeze_sql('text')})) AS n FROM documents")
 def text_normalize(spark, sf):
     c = tx.text_normalize(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(c).alias("h"), F.length(c).cast("long").alias("n"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(c).alias("h"), F.length(c).cast("long").alias("n"))
 
 
 @query("text_upper", f"SELECT conv_id, turn, upper(replace({squeeze_sql('text')}, 'ß', 'ss')) AS t FROM conversations")
 def text_upper(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", tx.text_upper(F.col("text")).alias("t"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", tx.text_upper(F.col("text")).alias("t"))
 
 
 EMOJI_TEXT_SQL = "replace(replace(text, 'é', 'é😀'), '. ', '✈ ㊗日本 ')"
@@ -53,12 +58,12 @@ def emoji_text():
     f"SELECT conv_id, turn, regexp_replace({EMOJI_TEXT_SQL}, '{tx.EMOJI}', '', 'g') AS t FROM conversations",
 )
 def emoji_remove(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", tx.emoji_remove(emoji_text()).alias("t"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", tx.emoji_remove(emoji_text()).alias("t"))
 
 
 @query("html_to_text")
 def html_to_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.html_to_text("html").alias("t"))
+    return texts(spark, sf, "pages").select("page_id", tx.html_to_text("html").alias("t"))
 
 
 def html_rules_sql(c: str) -> str:
@@ -79,7 +84,7 @@ HAS_TAG_SQL = " OR ".join(f"contains(lower(html), '{t}')" for t in ("<html>", "<
     f"SELECT page_id, CASE WHEN {HAS_TAG_SQL} THEN {html_rules_sql('html')} ELSE html END AS t FROM pages",
 )
 def html_clean_rules(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.html_clean_rules(F.col("html")).alias("t"))
+    return texts(spark, sf, "pages").select("page_id", tx.html_clean_rules(F.col("html")).alias("t"))
 
 
 def rules_sql(c: str, rules) -> str:
@@ -95,17 +100,17 @@ def rules_sql(c: str, rules) -> str:
 )
 def text_regex_rules(spark, sf):
     c = tx.plain_rules(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(c).alias("h"), F.length(c).cast("long").alias("n"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(c).alias("h"), F.length(c).cast("long").alias("n"))
 
 
 @query("text_regex_rules_full")
 def text_regex_rules_full(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.text_regex_rules(F.col("text")).alias("t"))
+    return texts(spark, sf, "documents").select("doc_id", tx.text_regex_rules(F.col("text")).alias("t"))
 
 
 @query("sentence_split")
 def sentence_split(spark, sf):
-    parts = table(spark, sf, "documents").select("doc_id", tx.sentence_split(F.col("text")).alias("s"))
+    parts = texts(spark, sf, "documents").select("doc_id", tx.sentence_split(F.col("text")).alias("s"))
     return parts.select(
         "doc_id",
         F.size("s").alias("sentences"),
@@ -116,7 +121,7 @@ def sentence_split(spark, sf):
 @query("greeting_farewell_strip")
 def greeting_farewell_strip(spark, sf):
     c = tx.greeting_farewell_strip(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
+    return texts(spark, sf, "documents").select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
 
 
 @query(
@@ -125,12 +130,12 @@ def greeting_farewell_strip(spark, sf):
         [{', '.join("'" + t + "'" for t in fv.NONINFORMATIVE_TOKENS)}], lower(t)))) AS INTEGER) AS n FROM documents""",
 )
 def informative_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(tx.informative_tokens(F.col("text"))).alias("n"))
+    return texts(spark, sf, "documents").select("doc_id", F.size(tx.informative_tokens(F.col("text"))).alias("n"))
 
 
 @query("template_strip")
 def template_strip(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     head = F.when(F.col("lang") == "en", "Order Number: 1\nDetails: ").when(F.col("lang") == "fr", "Numéro de commande: 1\nDétails: ")
     mail = F.concat(F.coalesce(head, F.lit("")), F.col("text"))
     c = tx.template_strip(mail, F.col("lang"), "Shop")
@@ -141,7 +146,7 @@ def template_strip(spark, sf):
 def quotation_cut(spark, sf):
     reply = F.concat(F.col("text"), F.lit(" -- Original Message -- "), F.col("role"))
     c = tx.removed_part_strip(tx.quotation_cut(reply))
-    return table(spark, sf, "conversations").select("conv_id", "turn", c.alias("t"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", c.alias("t"))
 
 
 # ---- entities
@@ -161,7 +166,7 @@ ENTITY_NAMES = tuple(name for name, _ in en.PATTERNS)
 )
 def job_entity_scan(spark, sf):
     counts = [F.sum(en.entity_count(F.col("text"), n)).alias(n.lower()) for n in ENTITY_NAMES]
-    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), *counts)
+    return texts(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), *counts)
 
 
 @query(
@@ -170,7 +175,7 @@ def job_entity_scan(spark, sf):
 )
 def entity_mask(spark, sf):
     folded = F.regexp_replace(en.entity_mask(F.col("text")), r"[^\x00-\x7F\PL]", "_")
-    return table(spark, sf, "documents").select("doc_id", F.md5(folded).alias("h"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(folded).alias("h"))
 
 
 # ---- dialogues: every turn is one dialogue text, its lines are the messages
@@ -187,7 +192,7 @@ def dialogue_text():
 
 
 def dialogues(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", dg.dialogue_split(dialogue_text()).alias("msgs"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", "role", dg.dialogue_split(dialogue_text()).alias("msgs"))
 
 
 @query(
@@ -259,7 +264,7 @@ def chat_text():
 
 @query("job_chat_turns", f"WITH {TURNS_SQL} SELECT * FROM chat")
 def job_chat_turns(spark, sf):
-    turns = table(spark, sf, "conversations").select(
+    turns = texts(spark, sf, "conversations").select(
         "conv_id", "turn", F.posexplode(dg.chat_split(chat_text())).alias("pos", "t")
     )
     return turns.select("conv_id", "turn", "pos", "t.role", "t.content")
@@ -281,7 +286,7 @@ def chat_split(spark, sf):
     FROM conversations""",
 )
 def chat_clean(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", dg.chat_clean(chat_text()).alias("t"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", dg.chat_clean(chat_text()).alias("t"))
 
 
 @query(
@@ -290,7 +295,7 @@ def chat_clean(spark, sf):
 )
 def chat_format(spark, sf):
     lines = F.array_join(dg.chat_format(dg.chat_split(chat_text())), "\n")
-    return table(spark, sf, "conversations").select("conv_id", "turn", lines.alias("t"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", lines.alias("t"))
 
 
 # sentences are events; every line starts a shipment, system turns carry no shipment ids
@@ -330,7 +335,7 @@ def shipment_text():
       CAST(row_number() OVER (PARTITION BY conv_id, turn, no ORDER BY i) - 1 AS INTEGER) AS pos, msg AS event FROM ev""",
 )
 def job_shipment_events(spark, sf):
-    ships = table(spark, sf, "conversations").select(
+    ships = texts(spark, sf, "conversations").select(
         "conv_id", "turn", F.posexplode(dg.shipment_events(shipment_text())).alias("shipment_no", "s")
     )
     return ships.select("conv_id", "turn", "shipment_no", "s.shipment_id", F.posexplode("s.events").alias("pos", "event"))
@@ -342,7 +347,7 @@ def job_shipment_events(spark, sf):
     SELECT conv_id, turn, count(*) AS shipments, CAST(sum(e) AS BIGINT) AS events FROM s GROUP BY conv_id, turn""",
 )
 def shipment_events(spark, sf):
-    ships = table(spark, sf, "conversations").select(
+    ships = texts(spark, sf, "conversations").select(
         "conv_id", "turn", dg.shipment_events(shipment_text()).alias("s")
     )
     return ships.filter(F.size("s") > 0).select(
@@ -359,7 +364,7 @@ def shipment_events(spark, sf):
     SELECT (SELECT CAST(sum(len(msgs)) AS BIGINT) FROM dlg) AS messages, count(*) AS shipments, CAST(sum(e) AS BIGINT) AS events FROM s""",
 )
 def message_totals(spark, sf):
-    cases = table(spark, sf, "conversations").select(
+    cases = texts(spark, sf, "conversations").select(
         dialogue_text().alias("dialogue_x"), shipment_text().alias("shiptrack_event_history_by_order")
     )
     return dg.message_totals(dg.add_parsed_columns(cases), "dialogue_x_parsed", "shiptrack_parsed")
@@ -372,7 +377,7 @@ def message_totals(spark, sf):
     FROM dlg LEFT JOIN s USING (conv_id, turn)""",
 )
 def add_parsed_columns(spark, sf):
-    cases = table(spark, sf, "conversations").select(
+    cases = texts(spark, sf, "conversations").select(
         "conv_id", "turn", dialogue_text().alias("dialogue_x"), shipment_text().alias("shiptrack_event_history_by_order")
     )
     return dg.add_parsed_columns(cases).select(
@@ -387,7 +392,7 @@ def add_parsed_columns(spark, sf):
 )
 def strip_arrival_prefix(spark, sf):
     t = F.when(F.col("role") == "user", F.concat(F.lit("[Arrival Time]: "), F.col("text"))).otherwise(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", dg.strip_arrival_prefix(t).alias("t"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", dg.strip_arrival_prefix(t).alias("t"))
 
 
 @query(
@@ -396,7 +401,7 @@ def strip_arrival_prefix(spark, sf):
     FROM dlg""",
 )
 def column_chain_query(spark, sf):
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", dialogue_text().alias("dialogue"))
+    rows = texts(spark, sf, "conversations").select("conv_id", "turn", dialogue_text().alias("dialogue"))
     steps = [
         dg.dialogue_split,
         tx.each(tx.emoji_remove),
@@ -408,7 +413,7 @@ def column_chain_query(spark, sf):
 
 @query("job_page_text")
 def job_page_text(spark, sf):
-    pages = table(spark, sf, "pages").select(
+    pages = texts(spark, sf, "pages").select(
         F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), tx.html_to_text("html").alias("t")
     )
     return pages.groupBy("host").agg(
@@ -426,7 +431,7 @@ vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id, count(*) A
 
 def token_input(spark, sf):
     key = (F.col("conv_id") * 1000 + F.col("turn")).alias("k")
-    return table(spark, sf, "conversations").select(key, "text")
+    return texts(spark, sf, "conversations").select(key, "text")
 
 
 @query(
@@ -645,7 +650,7 @@ V1_SQL = " ".join(f"WHEN {words_sql(*w)} THEN '{c}'" for w, c, _ in rs.KEYWORD_R
 )
 def keyword_fallback_v1(spark, sf):
     k = rs.keyword_fallback_v1(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", k.alias("k")).select("doc_id", "k.*")
+    return texts(spark, sf, "documents").select("doc_id", k.alias("k")).select("doc_id", "k.*")
 
 
 # every rule of the long list is met by some phrase, chosen by the row's numbers
@@ -708,7 +713,7 @@ def evidence_unprefix(spark, sf):
 def case_string_parse(spark, sf):
     case = F.concat(F.lit("Customer Dialogue: "), F.col("text"), F.lit(" | Other: x | Shipping History: "), F.col("role"))
     parsed = rs.case_string_parse(case)
-    return table(spark, sf, "conversations").select("conv_id", "turn", parsed.alias("c")).select("conv_id", "turn", "c.*")
+    return texts(spark, sf, "conversations").select("conv_id", "turn", parsed.alias("c")).select("conv_id", "turn", "c.*")
 
 
 GROUP_ROWS = [(c, *f) for c, f in fv.REASON_CODES.items()]
@@ -737,7 +742,7 @@ TEMPLATE = "Dialogue: {dialogue}\nShip Track Events: {shiptrack}\nEstimated Deli
 def render_prompt(spark, sf):
     date = F.nullif(F.col("turn").cast("string"), F.lit("0"))
     prompt = rs.render_prompt(TEMPLATE, F.col("text"), F.col("role"), date)
-    return table(spark, sf, "conversations").select("conv_id", "turn", prompt.alias("prompt"))
+    return texts(spark, sf, "conversations").select("conv_id", "turn", prompt.alias("prompt"))
 
 
 @query(
@@ -763,7 +768,7 @@ def line_labeller(case: dict) -> dict:
 
 
 def labelled(spark, sf):
-    return labelling.label_cases(table(spark, sf, "conversations"), line_labeller)
+    return labelling.label_cases(texts(spark, sf, "conversations"), line_labeller)
 
 
 @query("batch_label_cases", f"WITH {LABEL_SQL} SELECT conv_id, turn, category, confidence_score, processing_status FROM lab")

@@ -313,39 +313,70 @@ SELLER_MESSAGE_OPENINGS = {
     "pl": "Wiadomość od sprzedawcy",
 }
 
-# fixed values: start of a quoted earlier message, by language (regular expressions)
+# fixed values: start of a quoted earlier message, by language (regular expression, words it contains)
 QUOTATION_STARTS = {
     "en": (
-        r"Did this solve your problem", r"Sent from my \w+", r"Get Outlook for ",
-        r"-{2,} *Original Message *-{2,}", r"-{2,} *Original Email *-{2,}", r"-{2,} *Message *-{2,}",
-        r"On .*(?=wrote:)", r"_+\s+From: ", r"From: ", r"Sent: ", r"-+ *Forwarded message *-+",
+        (r"Did this solve your problem", "Did this solve your problem"),
+        (r"Sent from my \w+", "Sent from my "),
+        (r"Get Outlook for ", "Get Outlook for "),
+        (r"-{2,} *Original Message *-{2,}", "Original Message"),
+        (r"-{2,} *Original Email *-{2,}", "Original Email"),
+        (r"-{2,} *Message *-{2,}", "Message"),
+        (r"On .*(?=wrote:)", "wrote:"),
+        (r"_+\s+From: ", "From: "),
+        (r"From: ", "From: "),
+        (r"Sent: ", "Sent: "),
+        (r"-+ *Forwarded message *-+", "Forwarded message"),
     ),
     "de": (
-        r"Von meinem \w+ gesendet-{2,} *Original-Nachricht *-{2,}", r"-{2,} *Ursprüngliche Daten *-{2,}",
-        r"Am .*(?=schrieb\s*.*:)", r"-{2,}\s*Originalnachricht",
+        (r"Von meinem \w+ gesendet-{2,} *Original-Nachricht *-{2,}", "Original-Nachricht"),
+        (r"-{2,} *Ursprüngliche Daten *-{2,}", "Ursprüngliche Daten"),
+        (r"Am .*(?=schrieb\s*.*:)", "schrieb"),
+        (r"-{2,}\s*Originalnachricht", "Originalnachricht"),
     ),
     "fr": (
-        r"Inviato da .*(?=\s)", r"-{2,} *Message original en langue anglaise", r"-{2,} *Finalizar mensaje *-{2,}",
-        r"Le .*(?=wrote\s*:)", r"Le .*(?=a écrit\s*:)",
+        (r"Inviato da .*(?=\s)", "Inviato da "),
+        (r"-{2,} *Message original en langue anglaise", "Message original en langue anglaise"),
+        (r"-{2,} *Finalizar mensaje *-{2,}", "Finalizar mensaje"),
+        (r"Le .*(?=wrote\s*:)", "wrote"),
+        (r"Le .*(?=a écrit\s*:)", "a écrit"),
+    ),
+    "es": (
+        (r"Enviado desde mi \w+", "Enviado desde mi "),
+        (r"El .*(?=escribió\s*:)", "escribió"),
+    ),
+    "it": (
+        (r"-{2,} *Messaggio originale *-{2,}", "Messaggio originale"),
+        (r"Il .*(?=ha scritto:)", "ha scritto:"),
     ),
-    "es": (r"Enviado desde mi \w+", r"El .*(?=escribió\s*:)"),
-    "it": (r"-{2,} *Messaggio originale *-{2,}", r"Il .*(?=ha scritto:)"),
     "pt": (
-        r"Obter o Outlook para .*", r"-{2,} *Iniciar mensagem *-{2,}", r"Em .*(?=escreveu)",
-        r"-{2,}\s*Atualizado por:\s+",
+        (r"Obter o Outlook para .*", "Obter o Outlook para "),
+        (r"-{2,} *Iniciar mensagem *-{2,}", "Iniciar mensagem"),
+        (r"Em .*(?=escreveu)", "escreveu"),
+        (r"-{2,}\s*Atualizado por:\s+", "Atualizado por:"),
     ),
     "tr": (
-        r"Gönderen:.* Gönderildi", r"[^.!?]+\s+cihazımdan gönderildi", r"-{2,} *Orijinal mesaj *-{2,}",
-        r"(?<=[\s.?!]) .* tarihinde .*(?=şunu yazdı:)", r"-{2,}\s*Gönderen:\s+",
+        (r"Gönderen:.* Gönderildi", " Gönderildi"),
+        (r"[^.!?]+\s+cihazımdan gönderildi", "cihazımdan gönderildi"),
+        (r"-{2,} *Orijinal mesaj *-{2,}", "Orijinal mesaj"),
+        (r"(?<=[\s.?!]) .* tarihinde .*(?=şunu yazdı:)", "şunu yazdı:"),
+        (r"-{2,}\s*Gönderen:\s+", "Gönderen:"),
+    ),
+    "nl": (
+        (r"-{2,} *Oorspronkelijk Bericht *-{2,}", "Oorspronkelijk Bericht"),
+        (r"Op .*(?=schreef .*:)", "schreef "),
     ),
-    "nl": (r"-{2,} *Oorspronkelijk Bericht *-{2,}", r"Op .*(?=schreef .*:)"),
     "pl": (
-        r"Wysłane z .*'a", r"-{2,} *Ursprüngliche Nachricht *-{2,}",
-        r"Wiadomość napisana przez .* (?=<\[adres e-mail usunięty\]> w dniu .*:)",
-        r"<.*\[adres e-mail usunięty\]>\s+(?=napisał\(a\):)",
+        (r"Wysłane z .*'a", "Wysłane z "),
+        (r"-{2,} *Ursprüngliche Nachricht *-{2,}", "Ursprüngliche Nachricht"),
+        (r"Wiadomość napisana przez .* (?=<\[adres e-mail usunięty\]> w dniu .*:)", "Wiadomość napisana przez "),
+        (r"<.*\[adres e-mail usunięty\]>\s+(?=napisał\(a\):)", "napisał(a):"),
+    ),
+    "sv": (
+        (r"skrev .*<\[E-postadress borttagen\]>:", "[E-postadress borttagen]"),
+        (r"_+\s+Från:", "Från:"),
     ),
-    "sv": (r"skrev .*<\[E-postadress borttagen\]>:", r"_+\s+Från:"),
-    "any": (r"\s+>+", r"\s+_{2,}"),
+    "any": ((r"\s+>+", ">"), (r"\s+_{2,}", "__")),
 }
 
 # fixed values: word in a bracket that marks removed content

@@ -253,13 +253,25 @@ def template_strip(c: Column, lang: Column, brand: str) -> Column:
     return out
 
 
-QUOTATION = "(?s)(?:" + "|".join(p for ps in fv.QUOTATION_STARTS.values() for p in ps) + ")"
 REMOVED_PART = rf"(?s)\[.*(?:{'|'.join(fv.REMOVED_WORDS)})\]"
 
 
 def quotation_cut(c: Column) -> Column:
-    """Text before the first quoted earlier message."""
-    return F.element_at(F.split(c, QUOTATION, 2), 1)
+    """Text before the first quoted earlier message.
+
+    Each start is looked for only in texts that contain its fixed words, as some of
+    the patterns scan to the end of the text from many places.
+    """
+
+    def cut(t: Column) -> Column:
+        starts = [
+            F.nullif(F.when(F.contains(t, F.lit(words)), F.regexp_instr(t, F.lit(f"(?s){pattern}"))), F.lit(0))
+            for rules in fv.QUOTATION_STARTS.values()
+            for pattern, words in rules
+        ]
+        return F.coalesce(F.substring(t, F.lit(1), F.least(*starts) - 1), t)
+
+    return let(c, cut)
 
 
 def removed_part_strip(c: Column) -> Column:

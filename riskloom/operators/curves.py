@@ -45,7 +45,7 @@ def roc_points(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    return roc_points(stage(score_points(df, score, label, by), "points"), by)
+    return roc_points(score_points(df, score, label, by), by)
 
 
 def auc_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -110,7 +110,7 @@ def at_fpr(points: DataFrame, target: float, by: Sequence[str] = ()) -> DataFram
 
 
 def recall_at_fpr(df: DataFrame, score: str, label: str, target: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
-    points = stage(score_points(df, score, label, by), "points")
+    points = score_points(df, score, label, by)
     return at_fpr(points, target, by).select(*by, "threshold", "fpr", F.col("tpr").alias("recall"))
 
 
@@ -126,7 +126,7 @@ def segment_metrics(
 ) -> DataFrame:
     """AUC, recall at the target rate, and amount-weighted recall, for all segments in one job."""
     by = list(by)
-    points = stage(score_points(df, score, label, by, amount), "points")
+    points = score_points(df, score, label, by, amount)
     auc = auc_of(points, by)
     edge = stage(at_fpr(points, target, by), "edge")  # one row per segment
     out = _join(auc, edge, by).select(*by, "n_pos", "n_neg", "auc", "threshold", "fpr", F.col("tpr").alias("recall"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.operators.curves import ap_of, auc_of, score_points
 from riskloom.plans.prefix import running_totals
-from riskloom.plans.staging import stage
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -65,7 +64,7 @@ def class_rows(df: DataFrame, probs: str, label: str) -> DataFrame:
 
 def _per_class(df: DataFrame, probs: str, label: str) -> tuple[DataFrame, DataFrame]:
     rows = class_rows(df, probs, label)
-    points = stage(score_points(rows, "p", "y", ["class"]), "points")
+    points = score_points(rows, "p", "y", ["class"])
     counts = rows.groupBy("class").agg(
         F.count_if((F.col("p") > 0.5) & (F.col("y") == 1)).alias("tp"),
         F.count_if((F.col("p") > 0.5) & (F.col("y") == 0)).alias("fp"),
@@ -102,7 +101,7 @@ def macro_weighted_metrics(df: DataFrame, probs: str, label: str) -> DataFrame:
     )
     # micro: all (row, class) pairs in one ranking, from the per-class histograms
     merged = points.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    pooled = stage(running_totals(merged, ["score"], ["pos", "neg"], descending=True), "pooled")
+    pooled = running_totals(merged, ["score"], ["pos", "neg"], descending=True)
     micro_auc = auc_of(pooled).select("auc").scalar()
     micro_ap = ap_of(pooled).select("ap").scalar()
     return averaged.withColumns({"auc_micro": micro_auc, "ap_micro": micro_ap})

@@ -100,7 +100,7 @@ def train_test_oot_report(df: DataFrame, model: PipelineModel, label: str, split
 
 
 def text_classifier(
-    text: str, label: str, numeric: Sequence[str] = (), n_features: int = 1 << 16, reg: float = 1e-3
+    text: str, label: str, numeric: Sequence[str] = (), n_features: int = 1 << 14, reg: float = 1e-3
 ) -> Pipeline:
     """Hashed TF-IDF of the text next to the numeric columns, into logistic regression."""
     stages = [
@@ -108,7 +108,7 @@ def text_classifier(
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=n_features),
         IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=2),
         VectorAssembler(inputCols=["_tfidf", *numeric], outputCol="features", handleInvalid="error"),
-        LogisticRegression(labelCol=label, featuresCol="features", regParam=reg, maxIter=50),
+        LogisticRegression(labelCol=label, featuresCol="features", regParam=reg, maxIter=30),
     ]
     return Pipeline(stages=stages)
 

@@ -1,53 +1,100 @@
 """Running totals over a global order without sending all rows to one task.
 
-Rows are range partitioned on the order and staged with their partition number.
-Each partition's total gives an offset (one row per partition), and the running
-sum is then local to a partition.
+Rows are range partitioned and sorted on the order, one shuffle. Each task sums
+its own sorted partition, and the partitions are staged with their number. The
+partition totals, one row per partition and group, give the offset to add.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskloom.plans.staging import stage
 
 PART = "_part"
 
 
-def running_totals(
+def _sum_sorted(by: list[str], values: list[str]):
+    """Per partition: running sums that restart with each group. A window would shuffle the rows again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        last_key, carry = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = [pdf[b] for b in by]
+            sums = pdf.groupby(keys, sort=False)[values].cumsum() if by else pdf[values].cumsum()
+            first_key = tuple(k.iloc[0] for k in keys)
+            if carry is not None and first_key == last_key:
+                same = pd.Series(True, index=pdf.index)
+                for k, v in zip(keys, last_key):
+                    same &= k == v
+                sums.loc[same] += carry
+            last_key, carry = tuple(k.iloc[-1] for k in keys), sums.iloc[-1]
+            out = pdf.copy()
+            for v in values:
+                out[f"_c_{v}"] = sums[v]
+            out[PART] = part
+            yield out
+
+    return run
+
+
+def sorted_parts(
     df: DataFrame,
     order: Sequence[str],
     values: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-) -> DataFrame:
-    """Add ``cum_<v>`` (inclusive) and ``tot_<v>`` for each value column.
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with their running sums inside a part (``_c_<v>``), and per part and group
+    the sum before it (``_o_<v>``), its own sum (``_t_<v>``) and the group's total (``tot_<v>``).
 
     ``(by, order)`` must identify a row, and the ``by`` columns must not be NULL.
     """
-    by = list(by)
+    by, values = list(by), list(values)
     keys: list[Column] = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    ranged = df.repartitionByRange(*[F.col(c).asc() for c in by], *keys)
-    staged = stage(ranged.withColumn(PART, F.spark_partition_id()), "prefix")
+    sort = [*[F.col(c).asc() for c in by], *keys]
+    ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    fields = [
+        *df.schema.fields,
+        *[T.StructField(f"_c_{v}", df.schema[v].dataType) for v in values],
+        T.StructField(PART, T.IntegerType()),
+    ]
+    staged = stage(ranged.mapInPandas(_sum_sorted(by, values), T.StructType(fields)), "prefix")
 
     totals = staged.groupBy(*by, PART).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     # one row per range partition (and group): the ordered window is over these only
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    zero = {v: F.lit(0).cast(staged.schema[v].dataType) for v in values}
-    offsets = totals.select(
-        *by,
-        PART,
-        *[F.coalesce(F.sum(f"_t_{v}").over(before), zero[v]).alias(f"_o_{v}") for v in values],
-        *[F.sum(f"_t_{v}").over(group).alias(f"tot_{v}") for v in values],
-    )
-    local = Window.partitionBy(*by, PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    joined = staged.join(offsets, [*by, PART])
-    return joined.select(
+    facts = []
+    for v in values:
+        zero = F.lit(0).cast(df.schema[v].dataType)
+        facts += [
+            F.coalesce(F.sum(f"_t_{v}").over(before), zero).alias(f"_o_{v}"),
+            F.col(f"_t_{v}"),
+            F.sum(f"_t_{v}").over(group).alias(f"tot_{v}"),
+        ]
+    return staged, stage(totals.select(*by, PART, *facts), "offsets")
+
+
+def running_totals(
+    df: DataFrame,
+    order: Sequence[str],
+    values: Sequence[str],
+    by: Sequence[str] = (),
+    descending: bool = False,
+) -> DataFrame:
+    """Add ``cum_<v>`` (inclusive) and ``tot_<v>`` for each value column (whole numbers or doubles)."""
+    staged, offsets = sorted_parts(df, order, values, by, descending)
+    return staged.join(offsets, [*by, PART]).select(
         *df.columns,
-        *[(F.col(f"_o_{v}") + F.sum(v).over(local)).alias(f"cum_{v}") for v in values],
+        *[(F.col(f"_o_{v}") + F.col(f"_c_{v}")).alias(f"cum_{v}") for v in values],
         *[f"tot_{v}" for v in values],
     )
 

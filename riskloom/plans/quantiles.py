@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.plans.prefix import running_totals
+from riskloom.plans.prefix import PART, sorted_parts
+from riskloom.plans.staging import stage
 
 
 def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -26,21 +27,19 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     Equal values are merged before the sort, so the cost follows the number of
     distinct values and no task receives a whole column.
     """
-    ranked = running_totals(value_histogram(df, columns), ["v"], ["n"], by=["var"])
-    prob_array = F.array(*[F.lit(float(p)) for p in probs])
-    first = F.col("cum_n") - F.col("n")
-    last = F.col("tot_n") - 1
-
-    def holds(rank):
-        return (rank >= first) & (rank < F.col("cum_n"))
-
-    covering = F.filter(
-        prob_array,
-        lambda p: holds(F.floor(p * last)) | holds(F.ceil(p * last)),
+    rows, parts = sorted_parts(value_histogram(df, columns), ["v"], ["n"], by=["var"])
+    # the wanted ranks, each with the part that holds it: at most two per column and prob
+    position = F.col("prob") * (F.col("tot_n") - 1)
+    wanted = (
+        parts.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))))
+        .filter((F.col("rank") >= F.col("_o_n")) & (F.col("rank") < F.col("_o_n") + F.col("_t_n")))
+        .select("var", PART, "prob", "rank", position.alias("pos"), (F.col("rank") - F.col("_o_n")).alias("inside"))
     )
-    hits = ranked.select("var", "v", "n", "cum_n", "tot_n", F.explode(covering).alias("prob"))
-    pos = F.col("prob") * last
-    low = F.max(F.when(holds(F.floor(pos)), F.col("v")))
-    high = F.max(F.when(holds(F.ceil(pos)), F.col("v")))
-    frac = F.max(pos - F.floor(pos))
+    wanted = stage(wanted, "ranks")
+    holds = (F.col("inside") >= F.col("_c_n") - F.col("n")) & (F.col("inside") < F.col("_c_n"))
+    hits = rows.join(wanted, ["var", PART]).filter(holds)
+    low = F.min_by("v", "rank")
+    high = F.max_by("v", "rank")
+    frac = F.max(F.col("pos") - F.floor("pos"))
     return hits.groupBy("var", "prob").agg((low + (high - low) * frac).alias("value"))
