@@ -16,7 +16,7 @@ def _with_all_columns(df: DataFrame, columns: Sequence[str], fitted: DataFrame,
     """One row per listed column; a column without values, or with fewer than two edges, gets one open bin."""
     listed = local_table(df.sparkSession, [(c,) for c in columns], "var string").join(fitted, "var", "left")
     everything = F.array(F.lit(float("-inf")), F.lit(float("inf")))
-    usable = F.when(F.size(edges) >= 2, edges).otherwise(everything)
+    usable = F.when(F.col("lo").isNotNull() & (F.size(edges) >= 2), edges).otherwise(everything)
     return listed.withColumn("edges", usable).select(
         "var", "edges", (F.size("edges") - 1).alias("n_bins"), "lo", "hi"
     )
