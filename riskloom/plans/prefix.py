@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -21,26 +22,33 @@ PART = "_part"
 def _sum_sorted(by: list[str], values: list[str]):
     """Per partition: running sums that restart with each group. A window would shuffle the rows again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        last_key, carry = None, None
-        for pdf in batches:
-            if pdf.empty:
+        last_key: tuple | None = None
+        carry = dict.fromkeys(values, 0)
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
                 continue
-            keys = [pdf[b] for b in by]
-            sums = pdf.groupby(keys, sort=False)[values].cumsum() if by else pdf[values].cumsum()
-            first_key = tuple(k.iloc[0] for k in keys)
-            if carry is not None and first_key == last_key:
-                same = pd.Series(True, index=pdf.index)
-                for k, v in zip(keys, last_key):
-                    same &= k == v
-                sums.loc[same] += carry
-            last_key, carry = tuple(k.iloc[-1] for k in keys), sums.iloc[-1]
-            out = pdf.copy()
+            keys = [batch.column(b).to_numpy(zero_copy_only=False) for b in by]
+            starts = np.zeros(n, dtype=bool)
+            starts[0] = last_key != tuple(k[0] for k in keys)
+            for k in keys:
+                starts[1:] |= k[1:] != k[:-1]
+            # position of the row's group start in this batch, -1 where the group began earlier
+            start = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
+            columns, names = list(batch.columns), list(batch.schema.names)
             for v in values:
-                out[f"_c_{v}"] = sums[v]
-            out[PART] = part
-            yield out
+                array = batch.column(v)
+                total = np.cumsum(array.to_numpy(zero_copy_only=False))
+                before = np.where(start > 0, total[start - 1], 0)
+                sums = total - np.where(start < 0, -carry[v], before)
+                carry[v] = sums[-1]
+                columns.append(pa.array(sums, type=array.type))
+                names.append(f"_c_{v}")
+            last_key = tuple(k[-1] for k in keys)
+            columns.append(pa.array(np.full(n, part, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, PART])
 
     return run
 
@@ -66,7 +74,7 @@ def sorted_parts(
         *[T.StructField(f"_c_{v}", df.schema[v].dataType) for v in values],
         T.StructField(PART, T.IntegerType()),
     ]
-    staged = stage(ranged.mapInPandas(_sum_sorted(by, values), T.StructType(fields)), "prefix")
+    staged = stage(ranged.mapInArrow(_sum_sorted(by, values), T.StructType(fields)), "prefix")
 
     totals = staged.groupBy(*by, PART).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     # one row per range partition (and group): the ordered window is over these only
