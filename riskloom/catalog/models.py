@@ -136,7 +136,15 @@ def prediction_csv(spark, sf):
     return binary_scores(spark, sf).select("l_orderkey", "l_linenumber", record.alias("record"))
 
 
-@query("prediction_json_multiclass")
+@query(
+    "prediction_json_multiclass",
+    f"""WITH {MULTI_SQL}, s AS (SELECT y, CAST(probs[1] AS VARCHAR) AS a, CAST(probs[2] AS VARCHAR) AS b, CAST(probs[3] AS VARCHAR) AS c,
+      'class-' || (list_position(probs, list_max(probs)) - 1) AS l, probs FROM multi)
+    SELECT y, '{{"prob_01":"' || a || '","calibrated_prob_01":"' || a || '","prob_02":"' || b || '","calibrated_prob_02":"' || b
+      || '","prob_03":"' || c || '","calibrated_prob_03":"' || c || '","custom-output-label":"' || l || '"}}' AS record,
+      '{{"legacy-score":"' || a || '","prob_02":"' || b || '","prob_03":"' || c || '","output-label":"' || l || '"}}' AS text_record,
+      printf('%.4f', probs[1]) || ',' || printf('%.4f', probs[2]) || ',' || printf('%.4f', probs[3]) || ',' || l AS text_csv FROM s""",
+)
 def prediction_json_multiclass(spark, sf):
     probs = F.col("probs")
     return class_scores(spark, sf).select(

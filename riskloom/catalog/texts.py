@@ -61,7 +61,18 @@ def emoji_remove(spark, sf):
     return texts(spark, sf, "conversations").select("conv_id", "turn", tx.emoji_remove(emoji_text()).alias("t"))
 
 
-@query("html_to_text")
+# text nodes by regular expressions: enough for the given pages, whose markup is regular
+NODES_SQL = (
+    "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<template.*?</template>|<!--.*?-->|<[^>]+>', chr(1), 'g')"
+)
+for _entity, _char in (
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+):
+    NODES_SQL = f"replace({NODES_SQL}, '{_entity}', '{_char}')"
+PAGE_TEXT_SQL = f"array_to_string(list_filter(list_transform(string_split({NODES_SQL}, chr(1)), lambda x: {strip_sql('x')}), lambda x: x <> ''), ' ')"
+
+
+@query("html_to_text", f"SELECT page_id, {PAGE_TEXT_SQL} AS t FROM pages")
 def html_to_text(spark, sf):
     return texts(spark, sf, "pages").select("page_id", tx.html_to_text("html").alias("t"))
 
@@ -108,7 +119,16 @@ def text_regex_rules_full(spark, sf):
     return texts(spark, sf, "documents").select("doc_id", tx.text_regex_rules(F.col("text")).alias("t"))
 
 
-@query("sentence_split")
+SENTENCES_SQL = (
+    "string_split(regexp_replace(text, '([a-z0-9][.?!]\"?)(?:\\r\\n|\\s)(\"?[A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+)
+
+
+@query(
+    "sentence_split",
+    f"""SELECT doc_id, CAST(len({SENTENCES_SQL}) AS INTEGER) AS sentences,
+      CAST(list_max(list_transform({SENTENCES_SQL}, lambda x: length(x))) AS INTEGER) AS longest FROM documents""",
+)
 def sentence_split(spark, sf):
     parts = texts(spark, sf, "documents").select("doc_id", tx.sentence_split(F.col("text")).alias("s"))
     return parts.select(
@@ -118,9 +138,20 @@ def sentence_split(spark, sf):
     )
 
 
-@query("greeting_farewell_strip")
+GREETED_SQL = "CASE lang WHEN 'en' THEN 'Dear Ann, ' WHEN 'fr' THEN 'Bonjour ' ELSE '' END || text || CASE lang WHEN 'de' THEN chr(10) || 'Viele Grüße' ELSE '' END"
+
+
+@query(
+    "greeting_farewell_strip",
+    f"""SELECT doc_id, CAST(length(t) AS INTEGER) AS n, md5(t) AS h FROM (SELECT doc_id, {strip_sql(
+        f"regexp_replace(regexp_replace({GREETED_SQL}, '{esc(tx.GREETING_LINE)}', '', 'g'), '{esc(tx.FAREWELL_LINE)}', '', 'g')"
+    )} AS t FROM documents)""",
+)
 def greeting_farewell_strip(spark, sf):
-    c = tx.greeting_farewell_strip(F.col("text"))
+    lang = F.col("lang")
+    head = F.when(lang == "en", "Dear Ann, ").when(lang == "fr", "Bonjour ").otherwise("")
+    tail = F.when(lang == "de", "\nViele Grüße").otherwise("")
+    c = tx.greeting_farewell_strip(F.concat(head, F.col("text"), tail))
     return texts(spark, sf, "documents").select("doc_id", F.length(c).alias("n"), F.md5(c).alias("h"))
 
 
@@ -411,7 +442,12 @@ def column_chain_query(spark, sf):
     return column_chains(rows, {"dialogue": steps}, drop=["dialogue"])
 
 
-@query("job_page_text")
+@query(
+    "job_page_text",
+    f"""WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, {PAGE_TEXT_SQL} AS t FROM pages)
+    SELECT host, count(*) AS pages, CAST(sum(length(t)) AS BIGINT) AS chars,
+           CAST(sum(len(list_filter(regexp_split_to_array(t, '{S}+'), lambda w: w <> ''))) AS BIGINT) AS tokens FROM p GROUP BY host""",
+)
 def job_page_text(spark, sf):
     pages = texts(spark, sf, "pages").select(
         F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), tx.html_to_text("html").alias("t")

@@ -201,7 +201,9 @@ FAREWELL_LINE = rf"(?im)^[ \t]*(?:{_phrases(fv.FAREWELLS)})(?:[ \t,:!.]|$)[^\n]*
 
 def greeting_farewell_strip(c: Column) -> Column:
     """Remove opening phrases (to the next mark) and closing lines, in ten languages."""
-    return strip(F.regexp_replace(F.regexp_replace(c, GREETING_LINE, ""), FAREWELL_LINE, ""))
+    # case of every script, and only \n ends a line
+    opening, closing = (p.replace("(?im)", "(?imud)") for p in (GREETING_LINE, FAREWELL_LINE))
+    return strip(F.regexp_replace(F.regexp_replace(c, opening, ""), closing, ""))
 
 
 def informative_tokens(c: Column) -> Column:
