@@ -2,6 +2,7 @@
 
 All fits unpivot to ``(var, key, label)`` and aggregate once for all columns, so a
 hot category is combined on the map side and no category list reaches the driver.
+The counts are staged: the data is read once, and totals come from the counts.
 """
 
 from __future__ import annotations
@@ -50,12 +51,13 @@ def _labelled_counts(df: DataFrame, variables: Sequence[str], label: str) -> Dat
         y.cast("double").alias("_y"), *[F.col(f"`{v}`").cast("string").alias(v) for v in variables]
     )
     long = rows.unpivot(["_y"], list(variables), "var", "key")
-    return long.groupBy("var", "key").agg(
+    counts = long.groupBy("var", "key").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("_y") == 1).alias("n1"),
         F.count_if(F.col("_y") == 0).alias("n0"),
         F.sum("_y").alias("sum_y"),
     )
+    return stage(counts, "counts")
 
 
 def _variables(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -106,10 +108,10 @@ def risk_table_fit_script(
     """Rows without a category count in the smoothing size and the default; a category with
     neither label 0 nor 1 has no risk of its own and ends at the default."""
     counts = _labelled_counts(df, variables, label)
-    y = F.col(label)
-    overall = df.filter(y.isNotNull() & (y != -1)).agg(
-        F.avg(y.cast("double")).alias("default_value"),
-        F.floor(F.count(F.lit(1)) * F.lit(float(smooth_factor))).alias("s"),
+    # every labelled row is in the counts of each column, under its key or under NULL
+    overall = counts.filter(F.col("var") == variables[0]).agg(
+        F.try_divide(F.sum("sum_y"), F.sum("n")).alias("default_value"),
+        F.floor(F.sum("n") * F.lit(float(smooth_factor))).alias("s"),
     )
     one = overall.select(F.struct("default_value", "s")).scalar()
     risk = F.try_divide(F.col("n1"), F.col("n1") + F.col("n0"))
@@ -143,13 +145,14 @@ def category_risk_ratio(
 ) -> DataFrame:
     """``(key, risk, n_positive)`` with the formula chosen by the number of distinct tags."""
     t = F.col(tag)
-    prior = df.agg(F.count_if(t == positive) / F.count(t)).scalar()
-    per_tag = (
-        df.filter(F.col(category).isNotNull() & t.isNotNull())
+    per_tag = stage(
+        df.filter(t.isNotNull())
         .groupBy(F.col(category).cast("string").alias("key"), t.alias("t"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("c")),
+        "tags",
     )
-    stats = per_tag.groupBy("key").agg(
+    prior = per_tag.agg(F.sum(F.when(F.col("t") == positive, F.col("c")).otherwise(0)) / F.sum("c")).scalar()
+    stats = per_tag.filter("key is not null").groupBy("key").agg(
         F.sum("c").alias("n"),
         F.sum(F.when(F.col("t") == positive, F.col("c")).otherwise(0)).alias("n_positive"),
         F.count(F.lit(1)).alias("d"),
