@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def lookup_with_default(
@@ -38,5 +39,11 @@ def decode_codes(df: DataFrame, codes: DataFrame, code: str, out: str, default:
     return lookup_with_default(df, codes, F.col(code), "name", F.lit(default), out, table_key="code")
 
 
-def local_table(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A short table from the driver, as a local relation, so that the planner knows its size."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(names)
+    arrays = [pa.array(list(c)) for c in columns]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=names)).select(
+        *[F.col(f.split()[0]).cast(f.split()[1]) for f in schema.split(", ")]
+    )
