@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of a few row groups over the cores before costly per-row work.
+    """Spread a small scan over the cores before costly per-row work.
 
-    A scan that already has at least half as many partitions as there are cores, as
-    any large table has, is returned as it is and not shuffled.
+    A small file has few row groups, and its partitions can be empty. A scan with at
+    least two partitions per core, as any large table has, is returned as it is and
+    not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
