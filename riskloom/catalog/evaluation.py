@@ -192,7 +192,7 @@ def recall_at_fpr(spark, sf):
     "dollar_recall",
     f"""WITH {PREDS_SQL}, {points()}, {FPR_SQL}
     SELECT round(max(threshold), 6) AS threshold,
-           round(sum(amount) FILTER (y = 1 AND score >= threshold) / sum(amount) FILTER (y = 1), 6) AS dollar_recall
+           round(coalesce(sum(amount) FILTER (y = 1 AND score >= threshold), 0.0) / sum(amount) FILTER (y = 1), 6) AS dollar_recall
     FROM preds, edge""",
 )
 def dollar_recall(spark, sf):
@@ -213,7 +213,7 @@ def segment_sql(src: str, keys: str) -> str:
     edge AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY abs(fpr - 0.05::DOUBLE), threshold DESC) AS rn
              FROM curve) WHERE rn = 1),
     money AS (SELECT {", ".join("p." + k.strip() for k in keys.split(","))},
-                     sum(amount) FILTER (y = 1 AND score >= threshold) / sum(amount) FILTER (y = 1) AS dollar_recall
+                     coalesce(sum(amount) FILTER (y = 1 AND score >= threshold), 0.0) / sum(amount) FILTER (y = 1) AS dollar_recall
               FROM {src} p JOIN edge e ON {join} GROUP BY ALL)
     SELECT {keys}, n_pos, n_neg, round(auc, 6) AS auc, round(threshold, 6) AS threshold, round(fpr, 6) AS fpr,
            round(tpr, 6) AS recall, round(dollar_recall, 6) AS dollar_recall
