@@ -704,11 +704,13 @@ def one_hot(spark, sf):
     f"""WITH {RISK_SQL}, m AS (SELECT median(l_tax) AS t FROM risk),
     f AS (SELECT l_orderkey, l_linenumber, coalesce(l_tax, t) AS l_tax, l_quantity FROM risk, m),
     s AS (SELECT avg(l_tax) AS a1, stddev_pop(l_tax) AS s1, avg(l_quantity) AS a2, stddev_pop(l_quantity) AS s2 FROM f)
-    SELECT l_orderkey, l_linenumber, round((l_tax - a1) / s1, 5) AS l_tax, round((l_quantity - a2) / s2, 5) AS l_quantity FROM f, s""",
+    SELECT l_orderkey, l_linenumber, round((l_tax - a1) / s1, 5) + 0.0 AS l_tax, round((l_quantity - a2) / s2, 5) + 0.0 AS l_quantity FROM f, s""",
 )
 def zscore_scale(spark, sf):
     df = risk_frame(spark, sf).select("l_orderkey", "l_linenumber", "l_tax", "l_quantity")
-    return rounded(impute.zscore_scale(df, ["l_tax", "l_quantity"]), "l_tax", "l_quantity", places=5)
+    out = rounded(impute.zscore_scale(df, ["l_tax", "l_quantity"]), "l_tax", "l_quantity", places=5)
+    # no negative zero
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("l_tax", "l_quantity")})
 
 
 @query(

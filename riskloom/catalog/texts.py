@@ -487,7 +487,7 @@ def tokenize_chunks(spark, sf):
     "embed_tokens",
     f"""WITH {TOKEN_SQL}, e AS (SELECT k, list_sum(embedding) AS s FROM tok JOIN vocab USING (token)
        LEFT JOIN embeddings ON vec_id = id - 2 WHERE pos < 32)
-    SELECT k, 32 AS width, CAST(count(s) AS INTEGER) AS known, round(coalesce(sum(s), 0.0), 3) AS total FROM e GROUP BY k""",
+    SELECT k, 32 AS width, CAST(count(s) AS INTEGER) AS known, round(coalesce(sum(s), 0.0), 3) + 0.0 AS total FROM e GROUP BY k""",
 )
 def embed_tokens(spark, sf):
     df = token_input(spark, sf)
@@ -500,7 +500,7 @@ def embed_tokens(spark, sf):
     )
     known = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
     return out.select(
-        "k", F.size("embeddings").alias("width"), known.alias("known"), F.round(total, 3).alias("total")
+        "k", F.size("embeddings").alias("width"), known.alias("known"), (F.round(total, 3) + 0.0).alias("total")
     )
 
 
@@ -520,7 +520,7 @@ def pad_batch(spark, sf):
 
 @query(
     "job_token_features",
-    f"""WITH {TOKEN_SQL} SELECT token, CAST(id AS BIGINT) AS token_id, n, round(list_sum(embedding), 3) AS weight
+    f"""WITH {TOKEN_SQL} SELECT token, CAST(id AS BIGINT) AS token_id, n, round(list_sum(embedding), 3) + 0.0 AS weight
     FROM vocab LEFT JOIN embeddings ON vec_id = id - 2""",
 )
 def job_token_features(spark, sf):
@@ -528,7 +528,7 @@ def job_token_features(spark, sf):
     emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
     joined = vocab.join(emb, vocab.token_id - 2 == emb.vec_id, "left")
     weight = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return joined.select("token", "token_id", "n", F.round(weight, 3).alias("weight"))
+    return joined.select("token", "token_id", "n", (F.round(weight, 3) + 0.0).alias("weight"))
 
 
 # ---- labelling responses, rendered from events and parsed back
