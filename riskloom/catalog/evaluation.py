@@ -71,7 +71,7 @@ def f1_at_thresholds(spark, sf):
 
 @query(
     "pr_at_start",
-    f"""WITH {PREDS_SQL} SELECT round(avg(y), 6) AS precision_start, 1.0 AS recall_start,
+    f"""WITH {PREDS_SQL} SELECT round(avg(y), 6) AS precision_start, 1.0::DOUBLE AS recall_start,
       round(count(*) FILTER (score >= 0.5 AND y = 1) / (count(*) FILTER (score >= 0.5))::DOUBLE, 6) AS precision_at_05,
       round(count(*) FILTER (score >= 0.5 AND y = 1) / (count(*) FILTER (y = 1))::DOUBLE, 6) AS recall_at_05 FROM preds""",
 )

@@ -257,7 +257,7 @@ def dedup_keep_first(spark, sf):
     "oot_split",
     """WITH s AS (SELECT *, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN 'oot'
                     WHEN o_orderstatus = 'F' THEN 'bad' ELSE 'good' END AS part FROM orders)
-    SELECT part, count(*) AS n, sum(o_orderkey) AS keys, min(CAST(o_orderdate AS DATE)) AS first_day,
+    SELECT part, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, min(CAST(o_orderdate AS DATE)) AS first_day,
            max(CAST(o_orderdate AS DATE)) AS last_day FROM s GROUP BY part""",
 )
 def oot_split(spark, sf):
@@ -749,8 +749,8 @@ def assemble_features(spark, sf):
 
 @query(
     "class_weight_column",
-    """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 2.5 ELSE 1.0 END AS w2,
-      CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 2.0 ELSE 3.0 END AS w3 FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 2.5::DOUBLE ELSE 1.0 END AS w2,
+      CASE l_returnflag WHEN 'A' THEN 1.0::DOUBLE WHEN 'N' THEN 2.0 ELSE 3.0 END AS w3 FROM lineitem""",
 )
 def class_weight_column(spark, sf):
     flag = F.col("l_returnflag")

@@ -681,7 +681,7 @@ V1_SQL = " ".join(f"WHEN {words_sql(*w)} THEN '{c}'" for w, c, _ in rs.KEYWORD_R
 @query(
     "keyword_fallback_v1",
     f"""SELECT doc_id, CASE {V1_SQL} ELSE 'Insufficient_Information' END AS category,
-      CASE WHEN {words_sql(*[x for w, _, _ in rs.KEYWORD_RULES_V1 for x in w])} THEN 0.6 ELSE 0.5 END AS confidence_score
+      CASE WHEN {words_sql(*[x for w, _, _ in rs.KEYWORD_RULES_V1 for x in w])} THEN 0.6::DOUBLE ELSE 0.5 END AS confidence_score
     FROM (SELECT doc_id, lower(text) AS t FROM documents)""",
 )
 def keyword_fallback_v1(spark, sf):
@@ -792,7 +792,7 @@ def category_summary(spark, sf):
 LABEL_SQL = f"""
 lab AS (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN 'Insufficient_Information'
           WHEN contains(text, chr(10)) THEN 'TrueDNR' ELSE 'Confirmed_Delay' END AS category,
-        CASE WHEN role = 'system' THEN 0.0 WHEN contains(text, chr(10)) THEN 0.9 ELSE 0.7 END AS confidence_score,
+        CASE WHEN role = 'system' THEN 0.0::DOUBLE WHEN contains(text, chr(10)) THEN 0.9 ELSE 0.7 END AS confidence_score,
         CASE WHEN role = 'system' THEN 'error' ELSE 'success' END AS processing_status FROM conversations)"""
 
 
