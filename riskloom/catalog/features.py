@@ -621,7 +621,7 @@ def class_distribution(spark, sf):
 @query(
     "array_stats",
     f"""WITH {PREDS_SQL} SELECT round(min(score), 6) AS min_value, round(max(score), 6) AS max_value,
-      round(avg(score), 6) AS mean_value, round(stddev_pop(score), 6) AS std_value, 0 AS n_nan, 0 AS n_inf FROM preds""",
+      round(avg(score), 6) AS mean_value, round(stddev_pop(score), 6) AS std_value, 0::BIGINT AS n_nan, 0::BIGINT AS n_inf FROM preds""",
 )
 def array_stats(spark, sf):
     out = metrics.array_stats(predictions(spark, sf), "score")
