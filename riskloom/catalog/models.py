@@ -192,7 +192,7 @@ def stream_score(spark, sf):
         )
         return st.stream_score(requests, state, fills, defaults, predict, keep=("l_orderkey", "l_linenumber"))
 
-    out = st.replay(spark, sf, "lineitem.parquet", table(spark, sf, "lineitem").schema, chain)
+    out = st.replay(spark, f"{sf}/lineitem.parquet", table(spark, sf, "lineitem").schema, chain)
     return rounded(out.select("l_orderkey", "l_linenumber", "score"), "score")
 
 
@@ -206,6 +206,6 @@ def stream_dialogue(spark, sf):
     def chain(rows):
         return st.stream_dialogue(rows, ["conv_id", "turn"], dg.dialogue_split(dialogue_text()), 40)
 
-    return st.replay(spark, sf, "conversations.parquet", table(spark, sf, "conversations").schema, chain)
+    return st.replay(spark, f"{sf}/conversations.parquet", table(spark, sf, "conversations").schema, chain)
 
 

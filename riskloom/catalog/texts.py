@@ -493,7 +493,8 @@ def embed_tokens(spark, sf):
     df = token_input(spark, sf)
     vocab = stage(tk.token_vocabulary(df, "k", "text"))
     vectors = stage(tk.token_vectors(table(spark, sf, "embeddings"), vocab))
-    dim = 64 if vectors.isEmpty() else len(vectors.first()["vector"])
+    # the width of the vectors, also where none belongs to a known token
+    dim = table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
     out = tk.embed_tokens(df, "k", "text", vectors, dim, 32)
     total = F.aggregate(
         "embeddings", F.lit(0.0), lambda a, v: F.aggregate(v, a, lambda b, x: b + x.cast("double"))

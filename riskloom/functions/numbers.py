@@ -30,12 +30,14 @@ def exact_round(x: Column, places: int) -> Column:
 
 
 def fixed_text(x: Column, places: int) -> Column:
-    """``%.<places>f``."""
+    """``%.<places>f``; ``nan`` and ``inf`` by name, NULL for NULL. Exact below 2^40, beyond it as Java formats."""
     units = exact_units(x, places)
     size = F.abs(units)
     whole = F.floor(size / 10**places).cast("string")
     digits = F.lpad((size % 10**places).cast("string"), places, "0")
-    return F.concat(F.when(x < 0, "-").otherwise(""), whole, F.lit("."), digits)
+    exact = F.concat(F.when(x < 0, "-").otherwise(""), whole, F.lit("."), digits)
+    named = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf"))
+    return named.when(F.abs(x) < float(2**40), exact).when(x.isNotNull(), F.format_string(f"%.{places}f", x))
 
 
 def number_text(p: Column) -> Column:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.operators.split import stratified_split
 from riskloom.plans.lookup import lookup_with_default
 
 
@@ -43,8 +42,3 @@ def currency_convert(
         return rows
     rows = lookup_with_default(rows, rates, F.col(out), "rate", F.lit(1.0), "_rate")
     return rows.withColumns({a: F.col(a) / F.col("_rate") for a in present}).drop("_rate")
-
-
-def convert_then_resplit(df: DataFrame, label: str, id_col: str, *args, **kwargs) -> DataFrame:
-    """All splits converted together, then split again."""
-    return stratified_split(currency_convert(df.drop("split"), *args, **kwargs), label, id_col)

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.plans.prefix import running_totals
-from riskloom.plans.staging import stage
 
 
 def score_points(
@@ -24,7 +23,7 @@ def score_points(
     if amount:
         aggs.append(F.coalesce(F.sum(F.when(y, F.col(amount))), F.lit(0.0)).alias("amt"))
         values.append("amt")
-    known = F.col(score).isNotNull() & F.col(label).isNotNull()
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull()
     for b in by:
         known = known & F.col(b).isNotNull()
     hist = df.filter(known).groupBy(*by, F.col(score).cast("double").alias("score")).agg(*aggs)
@@ -32,15 +31,17 @@ def score_points(
 
 
 def roc_points(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(by, threshold, fpr, tpr)``, with the starting point at threshold infinity."""
+    """``(by, threshold, fpr, tpr)``, with the starting point at threshold infinity; a rate is NULL without rows to rate."""
     curve = points.select(
         *by,
         F.col("score").alias("threshold"),
         F.try_divide("cum_neg", "tot_neg").alias("fpr"),
         F.try_divide("cum_pos", "tot_pos").alias("tpr"),
     )
-    start = points.select(*by).distinct() if by else points.limit(1)
-    origin = start.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    totals = points.select(*by, "tot_neg", "tot_pos")
+    start = totals.distinct() if by else totals.limit(1)
+    zero = [F.when(F.col(t) > 0, 0.0).alias(rate) for t, rate in (("tot_neg", "fpr"), ("tot_pos", "tpr"))]
+    origin = start.select(*by, F.lit(float("inf")).alias("threshold"), *zero)
     return curve.unionByName(origin)
 
 
@@ -48,14 +49,16 @@ def roc_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) ->
     return roc_points(score_points(df, score, label, by), by)
 
 
-def auc_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Share of (positive, negative) pairs ranked right; ties count one half."""
+def _auc() -> list[Column]:
     below = F.col("tot_neg") - F.col("cum_neg") + F.col("neg") * 0.5
     wins = F.sum(F.col("pos") * below)
     pairs = F.max("tot_pos").cast("double") * F.max("tot_neg")
-    return points.groupBy(*by).agg(
-        F.try_divide(wins, pairs).alias("auc"), F.max("tot_pos").alias("n_pos"), F.max("tot_neg").alias("n_neg")
-    )
+    return [F.try_divide(wins, pairs).alias("auc"), F.max("tot_pos").alias("n_pos"), F.max("tot_neg").alias("n_neg")]
+
+
+def auc_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Share of (positive, negative) pairs ranked right; ties count one half."""
+    return points.groupBy(*by).agg(*_auc())
 
 
 def auc_roc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -100,13 +103,26 @@ def recall_at_precision(
     )
 
 
+def _at_fpr(points: DataFrame, target: float, amount: bool = False) -> tuple[Column, list[Column]]:
+    """Over a segment's points: the one whose false-positive rate is nearest the target (first of
+    ties from the top), and its columns. The starting point competes without being a row; a
+    segment with one class has NULLs."""
+    fpr, tpr = F.try_divide("cum_neg", "tot_neg"), F.try_divide("cum_pos", "tot_pos")
+    fields = [F.col("score").alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr")]
+    if amount:
+        fields.append(F.col("cum_amt").alias("amt"))
+    key = F.when(fpr.isNotNull() & tpr.isNotNull(), F.struct(F.abs(fpr - target), -F.col("score")))
+    nearest = F.min_by(F.struct(*fields), key).alias("p")
+    start = F.col("p").isNotNull() & (F.abs(F.lit(0.0 - target)) <= F.abs(F.col("p.fpr") - target))
+    first = {"threshold": float("inf"), "fpr": 0.0, "tpr": 0.0, "amt": 0.0}
+    names = ["threshold", "fpr", "tpr", *(["amt"] if amount else [])]
+    return nearest, [F.when(start, first[n]).otherwise(F.col(f"p.{n}")).alias(n) for n in names]
+
+
 def at_fpr(points: DataFrame, target: float, by: Sequence[str] = ()) -> DataFrame:
     """The curve point whose false-positive rate is nearest the target (first of ties from the top)."""
-    curve = roc_points(points, by).filter("fpr is not null and tpr is not null")
-    nearest = F.min_by(
-        F.struct("threshold", "fpr", "tpr"), F.struct(F.abs(F.col("fpr") - target), -F.col("threshold"))
-    )
-    return curve.groupBy(*by).agg(nearest.alias("p")).select(*by, "p.threshold", "p.fpr", "p.tpr")
+    nearest, columns = _at_fpr(points, target)
+    return points.groupBy(*by).agg(nearest).select(*by, *columns)
 
 
 def recall_at_fpr(df: DataFrame, score: str, label: str, target: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
@@ -127,25 +143,14 @@ def segment_metrics(
     """AUC, recall at the target rate, and amount-weighted recall, for all segments in one job."""
     by = list(by)
     points = score_points(df, score, label, by, amount)
-    auc = auc_of(points, by)
-    edge = stage(at_fpr(points, target, by), "edge")  # one row per segment
-    out = _join(auc, edge, by).select(*by, "n_pos", "n_neg", "auc", "threshold", "fpr", F.col("tpr").alias("recall"))
+    nearest, columns = _at_fpr(points, target, amount is not None)
+    total = [F.max("tot_amt").alias("all_amt")] if amount else []
+    out = points.groupBy(*by).agg(*_auc(), nearest, *total).select(*by, "n_pos", "n_neg", "auc", *columns, *(["all_amt"] if amount else []))
+    out = out.withColumnRenamed("tpr", "recall")
     if not amount:
         return out
-    caught = _join(points, edge.select(*by, "threshold"), by).groupBy(*by).agg(
-        F.sum(F.when(F.col("score") >= F.col("threshold"), F.col("amt")).otherwise(0.0)).alias("caught"),
-        F.sum("amt").alias("all_amt"),
-    )
-    share = F.try_divide("caught", "all_amt").alias("dollar_recall")
-    return _join(out, caught, by).select(*out.columns, share)
-
-
-def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join on the segment; without segments the right side is one row, read as scalars."""
-    if by:
-        return left.join(right, list(by))
-    row = right.select(F.struct(*right.columns).alias("r")).scalar()
-    return left.withColumns({c: row.getField(c) for c in right.columns})
+    # the amount at or above the threshold is the running total at the point
+    return out.withColumn("dollar_recall", F.try_divide("amt", "all_amt")).drop("amt", "all_amt")
 
 
 def champion_challenger(

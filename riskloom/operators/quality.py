@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskloom.functions.numbers import exact_round
-from riskloom.plans.lookup import lookup_with_default
+from riskloom.plans.lookup import local_table, lookup_with_default
 from riskloom.plans.prefix import ordered_index
 from riskloom.plans.staging import stage
 
@@ -184,10 +184,12 @@ def date_range(df: DataFrame, ts: str) -> DataFrame:
 
 
 def distinct_per_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column_name, n_distinct)``: values are de-duplicated in a shuffle, then counted."""
+    """``(column_name, n_distinct)``, 0 for a column without values: de-duplicated in a shuffle, then counted."""
     text = [F.col(f"`{c}`").cast("string").alias(c) for c in columns]
     pairs = df.select(*text).unpivot([], list(columns), "column_name", "v").filter("v is not null")
-    return pairs.distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    counts = pairs.distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    names = local_table(df.sparkSession, [(c,) for c in columns], "column_name string")
+    return names.join(counts, "column_name", "left").select("column_name", F.coalesce("n", F.lit(0)).alias("n_distinct"))
 
 
 def categorical_eligibility(df: DataFrame, columns: Sequence[str], limit: int = 100) -> DataFrame:

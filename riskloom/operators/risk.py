@@ -45,19 +45,19 @@ def label_crosstab(df: DataFrame, category: str, label: str) -> DataFrame:
     return cells.select(name.alias("category"), "label_0", "label_1", "n_all")
 
 
-def _labelled_counts(df: DataFrame, variables: Sequence[str], label: str) -> DataFrame:
+def labelled_counts(df: DataFrame, variables: Sequence[str], label: str) -> DataFrame:
+    """Counts per variable, key and label, from one scan."""
     y = F.col(label)
     rows = df.filter(y.isNotNull() & (y != -1)).select(
         y.cast("double").alias("_y"), *[F.col(f"`{v}`").cast("string").alias(v) for v in variables]
     )
     long = rows.unpivot(["_y"], list(variables), "var", "key")
-    counts = long.groupBy("var", "key").agg(
+    return long.groupBy("var", "key").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("_y") == 1).alias("n1"),
         F.count_if(F.col("_y") == 0).alias("n0"),
         F.sum("_y").alias("sum_y"),
     )
-    return stage(counts, "counts")
 
 
 def _variables(df: DataFrame, variables: Sequence[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def risk_table_fit(
     df: DataFrame, variables: Sequence[str], label: str, smooth_factor: float = 0.0, count_threshold: int = 0
 ) -> RiskTables:
     """Rows without a category take no part, neither in the bins nor in the default."""
-    counts = _labelled_counts(df, variables, label)
+    counts = stage(labelled_counts(df, variables, label), "counts")
     with_key = F.col("key").isNotNull()
     totals = counts.groupBy("var").agg(
         F.sum(F.when(with_key, F.col("n")).otherwise(0)).alias("n_known"),
@@ -107,7 +107,7 @@ def risk_table_fit_script(
 ) -> RiskTables:
     """Rows without a category count in the smoothing size and the default; a category with
     neither label 0 nor 1 has no risk of its own and ends at the default."""
-    counts = _labelled_counts(df, variables, label)
+    counts = stage(labelled_counts(df, variables, label), "counts")
     # every labelled row is in the counts of each column, under its key or under NULL
     overall = counts.filter(F.col("var") == variables[0]).agg(
         F.try_divide(F.sum("sum_y"), F.sum("n")).alias("default_value"),

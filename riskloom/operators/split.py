@@ -10,25 +10,26 @@ from riskloom.plans.cutoffs import HASH, at_or_before, hash_cutoffs, hash_fracti
 def stratified_split(
     df: DataFrame, label: str, id_col: str, train_ratio: float = 0.7, test_val_ratio: float = 0.5, seed: int = 42
 ) -> DataFrame:
-    """``split`` = train / test / val; each class is cut at the same ratios (to the row)."""
+    """``split`` = train / test / val; each class is cut at the same ratios (to the row).
+
+    No row is lost: a class too small for a train or test row goes to val, and rows
+    without label are ``unlabelled``.
+    """
     total = F.col("total")
     n_train = F.floor(total * F.lit(train_ratio))
     n_test = F.floor((total - n_train) * F.lit(test_val_ratio))
     cuts = hash_cutoffs(df, label, id_col, seed, {"c_train": n_train, "c_test": n_train + n_test})
-    keyed = df.withColumn(HASH, hash_key(seed, id_col)).join(cuts, label)
+    keyed = df.withColumn(HASH, hash_key(seed, id_col)).join(cuts, label, "left")
     # with no training rows at all the test cut-off still applies
     split = (
-        F.when(at_or_before(F.col("c_train"), id_col), "train")
+        F.when(F.col(label).isNull(), "unlabelled")
+        .when(at_or_before(F.col("c_train"), id_col), "train")
         .when(at_or_before(F.col("c_test"), id_col), "test")
         .otherwise("val")
     )
     return keyed.withColumn("split", split).select(*df.columns, "split")
 
 
-def single_split(df: DataFrame, job_type: str) -> DataFrame:
-    return df.withColumn("split", F.lit(job_type))
-
-
 def random_split(df: DataFrame, id_col: str, test_ratio: float, seed: int = 42) -> DataFrame:
     part = F.when(hash_fraction(seed, id_col) < test_ratio, "test").otherwise("train")
     return df.withColumn("split", part)

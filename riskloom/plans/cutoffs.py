@@ -32,11 +32,12 @@ def hash_cutoffs(df: DataFrame, group: str, id_col: str, seed: int, targets: Map
     """One row per group: for each target name, struct ``(hash, id)`` of its k-th row.
 
     A target is an expression over ``total`` (the group's row count) giving k;
-    k = 0 leaves the cut-off NULL. ``id_col`` must be unique.
+    k = 0 leaves the cut-off NULL, and a group of which nothing is wanted has only
+    NULLs. ``id_col`` must be unique. Rows without group have no cut-offs.
     """
     keyed = df.select(F.col(group).alias("_g"), F.col(id_col).alias("_id"), hash_key(seed, id_col).alias(HASH))
     keyed = keyed.filter(F.col("_g").isNotNull()).withColumn("_b", F.substring(HASH, 1, BUCKET_DIGITS))
-    histogram = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("c"))
+    histogram = stage(keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("c")), "histogram")
     # at most 16**BUCKET_DIGITS rows per group
     per_group = Window.partitionBy("_g")
     upto = per_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -59,7 +60,8 @@ def hash_cutoffs(df: DataFrame, group: str, id_col: str, seed: int, targets: Map
     cut = [
         F.max(F.when(F.col("target") == name, F.struct(F.col(HASH), F.col("_id")))).alias(name) for name in targets
     ]
-    return stage(ranked.groupBy(F.col("_g").alias(group)).agg(*cut), "cutoffs")
+    found = histogram.select("_g").distinct().join(ranked.groupBy("_g").agg(*cut), "_g", "left")
+    return stage(found.withColumnRenamed("_g", group), "cutoffs")
 
 
 def at_or_before(cut: Column, id_col: str) -> Column:

@@ -122,10 +122,10 @@ def scan_tagged_predictions(sets: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged)
 
 
-def scan_rank_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``test_result_*.tsv``; ``prob`` is a number or a list, read as an array. Broken files are skipped."""
+def scan_rank_predictions(spark: SparkSession, folder: str, skip_corrupt: bool = False) -> DataFrame:
+    """All ``test_result_*.tsv``; ``prob`` is a number or a list, read as an array. Unreadable files fail unless skipped."""
     schema = "id string, label string, prob string"
-    rows = spark.read.option("ignoreCorruptFiles", True).schema(schema).csv(
+    rows = spark.read.option("ignoreCorruptFiles", skip_corrupt).schema(schema).csv(
         f"{folder.rstrip('/')}/test_result_*.tsv", sep="\t", header=True
     )
     number = F.col("prob").try_cast("double")

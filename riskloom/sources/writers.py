@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -35,17 +36,39 @@ def sink_batch_partitioned(
     return path
 
 
-def merge_batches(spark: SparkSession, root: str, exclude: str | None = None) -> DataFrame:
-    """All batches stacked, each file read once; unreadable files are skipped."""
-    reader = (
-        spark.read.option("mergeSchema", True)
-        .option("ignoreCorruptFiles", True)
-        .option("recursiveFileLookup", True)
-    )
-    df = reader.parquet(f"{root.rstrip('/')}/batch_*")
-    if exclude:
-        df = df.filter(~F.contains(F.input_file_name(), F.lit(exclude)))
-    return df
+def batch_names(spark: SparkSession, root: str) -> list[str]:
+    """The names of the batches under a root, in order; lists files, reads none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root.rstrip('/')}/batch_*")
+    # the last folder called batch_…: the root may have such a name too
+    name = F.regexp_extract("path", r".*/(batch_[^/]*)(?:/[^/]*=[^/]*)*/[^/]*$", 1)
+    return sorted(row["name"] for row in files.select(name.alias("name")).distinct().collect())
+
+
+def merge_batches(
+    spark: SparkSession,
+    root: str,
+    exclude: str | None = None,
+    skip_corrupt: bool = False,
+    to: str | None = None,
+    partition_cols: Sequence[str] = (),
+    compression: str = "snappy",
+) -> DataFrame:
+    """All batches stacked by column name, partition columns included, each file read once.
+
+    Batches with ``exclude`` in their own name are not read. Unreadable files fail the
+    job unless ``skip_corrupt`` is set. With ``to`` the result is written there and read back.
+    """
+    names = [n for n in batch_names(spark, root) if not exclude or exclude not in n]
+    if not names:
+        raise ValueError(f"no batch to merge under {root}")
+    reader = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", skip_corrupt)
+    batches = [reader.parquet(f"{root.rstrip('/')}/{n}") for n in names]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
+    if to is None:
+        return df
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(to)
+    return spark.read.parquet(to)
 
 
 def sink_multi_format(df: DataFrame, root: str, status: str = "processing_status") -> None:
@@ -83,6 +106,6 @@ def metrics_long(df: DataFrame) -> DataFrame:
 
 def sink_metrics(df: DataFrame, path: str) -> None:
     long = metrics_long(df)
-    long.write.json(f"{path.rstrip('/')}/metrics.json")
-    line = F.concat(F.col("metric"), F.lit(": "), fixed_text(F.col("value"), 4))
+    long.write.option("ignoreNullFields", False).json(f"{path.rstrip('/')}/metrics.json")
+    line = F.concat(F.col("metric"), F.lit(": "), F.coalesce(fixed_text(F.col("value"), 4), F.lit("NULL")))
     long.select(line.alias("value")).write.text(f"{path.rstrip('/')}/metrics.txt")

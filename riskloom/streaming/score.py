@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,10 +29,18 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def replay(
-    spark: SparkSession, folder: str, pattern: str, schema, transform: Callable[[DataFrame], DataFrame]
+    spark: SparkSession, path: str, schema, transform: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Read the matching files of a folder as a stream, transform, and return what was written."""
-    stream = transform(spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder))
+    """Read a table, one file or a folder of part files, as a stream, transform, and return what was written.
+
+    A stream reads folders; a table that is a single file is read as its folder's only match.
+    """
+    reader = spark.readStream.schema(schema)
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if [urlsplit(f).path for f in files] == [urlsplit(path).path]:
+        path, _, name = path.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
+    stream = transform(reader.parquet(path))
     out = new_stage_path(spark, "stream")
     run_available(stream, out, out + "-checkpoint")
     return spark.read.schema(stream.schema).parquet(out)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import quality, risk, split
+from riskloom.operators import curves, quality, risk, split
 from riskloom.plans.cutoffs import hash_fraction
 from riskloom.plans.prefix import ordered_index, running_totals
 from riskloom.plans.quantiles import exact_quantiles
@@ -84,8 +84,35 @@ def test_dedup_is_an_aggregate(spark):
 
 def test_fit_is_one_pass(spark):
     df = stage(spark.range(100).select((F.col("id") % 3).cast("string").alias("a"), (F.col("id") % 2).alias("b"), F.lit(1).alias("y")))
+    counts = plan(risk.labelled_counts(df, ["a", "b"], "y"))
+    assert "partial_count" in counts and counts.count("FileScan") == 1
     text = plan(risk.risk_table_fit(df, ["a", "b"], "y").bins)
-    assert "partial_count" in text and "CartesianProduct" not in text and "NestedLoop" not in text
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_split_loses_no_row(spark):
+    """A class of one row, a NULL label, and ratios that want nothing."""
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "b")], "id int, y string")
+    for ratio in (0.7, 0.0):
+        out = {r.id: r.split for r in split.stratified_split(df, "y", "id", train_ratio=ratio).collect()}
+        assert sorted(out) == [1, 2, 3, 4] and out[2] == "unlabelled" and out[4] == "val"
+
+
+def test_columns_without_values_are_counted(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "b")], "n int, e int, s string")
+    assert {r.column_name: r.n_distinct for r in quality.distinct_per_column(df, df.columns).collect()} == {"n": 2, "e": 0, "s": 2}
+    assert {r.column_name: r.eligible for r in quality.categorical_eligibility(df, ["n", "e", "s"], limit=2).collect()} == {"n": 0, "e": 1, "s": 1}
+
+
+def test_one_class_segment_has_no_rates(spark):
+    rows = [("a", 0.9, 1, 5.0), ("a", 0.2, 0, 1.0), ("a", 0.1, 0, 1.0), ("b", 0.5, 1, 2.0), ("c", float("nan"), 1, 1.0), ("c", 0.3, 0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, s double, y int, m double")
+    out = {r.g: r for r in curves.segment_metrics(df, "s", "y", "m", 0.05, ["g"]).collect()}
+    # the starting point is as near to the target as the first score, and comes first
+    assert (out["a"].threshold, out["a"].recall, out["a"].dollar_recall, out["a"].auc) == (float("inf"), 0.0, 0.0, 1.0)
+    for g in "bc":
+        assert out[g].auc is None and out[g].threshold is None and out[g].recall is None
+    assert out["c"].n_pos == 0
 
 
 def test_shared_dir_comes_from_the_session(spark):

@@ -54,6 +54,26 @@ def test_merge_batches_reads_each_file_once(spark, tmp_path):
     assert sorted((r.id, r.e) for r in rows) == [(1, "a;b"), (2, "")]
 
 
+def test_merge_batches_keeps_partition_columns(spark, tmp_path):
+    """The root has the excluded word in its name; one batch is partitioned, one is not."""
+    root = str(tmp_path / "batch_old")
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, cat string")
+    writers.sink_batch_partitioned(df, root, "0", ["cat"])
+    writers.sink_batch_partitioned(df.filter("id = 2"), root, "1")
+    writers.sink_batch_partitioned(df, root, "old_2")
+    merged = writers.merge_batches(spark, root, exclude="old", to=str(tmp_path / "merged"), partition_cols=["cat"], compression="zstd")
+    assert sorted((r.id, r.cat) for r in merged.collect()) == [(1, "x"), (2, "y"), (2, "y")]
+    with pytest.raises(ValueError):
+        writers.merge_batches(spark, root, exclude="batch")
+
+
+def test_metrics_beyond_exact_numbers(spark, tmp_path):
+    row = spark.createDataFrame([(3e15, None, float("nan"), -0.62645)], "big double, none double, nan double, small double")
+    writers.sink_metrics(row, str(tmp_path / "m"))
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "m" / "metrics.txt")).collect())
+    assert lines == ["big: 3000000000000000.0000", "nan: nan", "none: NULL", "small: -0.6264"]
+
+
 def test_artifacts_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0, 1), ("a", None, 0), ("b", 3.0, 1)], "c string, n double, y int")
     state = fit_features(df, "y", ["c"], ["n"])
@@ -71,9 +91,12 @@ def test_stream_equals_batch(spark, tmp_path):
     source = str(tmp_path / "in")
     df.write.parquet(source)
     chain = lambda rows: st.stream_dialogue(rows, ["id"], F.col("m"), 2)
-    streamed = st.replay(spark, source, "*.parquet", df.schema, chain)
+    streamed = st.replay(spark, source, df.schema, chain)
     assert sorted(tuple(r) for r in streamed.collect()) == sorted(tuple(r) for r in chain(df).collect())
     assert streamed.count() == 3
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (part,) = (tmp_path / "one").glob("*.parquet")
+    assert st.replay(spark, str(part), df.schema, chain).count() == 3
     assert df.select(F.size(dialogue_chunk(F.col("m"), 2))).count() == 2
 
 
