@@ -54,6 +54,18 @@ class KeyFilter:
         return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_kf_pos", "_kf_block", "_kf_bits")
 
 
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The n rows that come first in the order of a hash of their keys; all rows of a smaller table.
+
+    Rows are counted first, and only about 2 n of them, those with the smallest hashes, are
+    sorted, so what tasks send on does not grow with the table.
+    """
+    share = min(1.0, 2.0 * n / max(1, df.count()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 32))
+    near = df.withColumn("_hs", place).filter(F.col("_hs") <= int(share * (1 << 32)))
+    return near.orderBy("_hs", *keys).limit(n).drop("_hs")
+
+
 def text_bytes(array: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in array.cast(pa.binary()).to_pylist()]
@@ -71,4 +83,4 @@ def chunks(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-__all__ = ["WORD", "KeyFilter", "chunks", "new_stage_path", "stage", "table", "text_bytes", "unwrap", "whole_row"]
+__all__ = ["WORD", "KeyFilter", "chunks", "hash_sample", "new_stage_path", "stage", "table", "text_bytes", "unwrap", "whole_row"]

@@ -32,7 +32,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm.common import text_bytes
+from riskloom.llm.common import hash_sample, text_bytes
 
 #: Notices by family, in the usual wording of their publishers.
 TEMPLATES = {
@@ -168,8 +168,8 @@ def train(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 300, false_rate: float = 0.001
 ) -> LicenseModel:
     """Fit and calibrate on the templates and at most ``sample_docs`` documents."""
-    order = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    chosen = docs.select(F.col(text_col).cast("string").alias("t"), order.alias("o")).orderBy("o", "t").limit(sample_docs)
+    texts = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    chosen = hash_sample(texts, sample_docs, "i", "t")
     names, units = training_units([b"" if r["t"] is None else r["t"].encode() for r in chosen.collect()])
     vocabulary: dict[bytes, int] = {}
     templates = []

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from riskloom.llm.common import text_bytes
+from riskloom.llm.common import hash_sample, text_bytes
 
 FEATURES = (
     "log_bytes",
@@ -230,14 +230,13 @@ def train(
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).dropna()
     known = known.filter(~held_out(F.col("_id"), folds)).groupBy("_id").agg(F.avg("_y").alias("_y"))
-    order = F.xxhash64("_id")
-    chosen = known.orderBy(order, "_id").limit(max_rows)
+    chosen = hash_sample(known, max_rows, "_id")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     rows = texts.join(F.broadcast(chosen), "_id").select(packed_features("_t").alias("x"), "_y").toArrow()
     # of repeated ids every row teaches; the order of rows does not change the sums beyond rounding, so sort them
     x, y = unpack(rows["x"].to_pylist()), (rows["_y"].to_numpy() >= 0.5).astype(float)
-    order_ = np.lexsort((y, *x.T)) if len(y) else np.empty(0, dtype=int)
-    return fit(x[order_].astype(float), y[order_])
+    order = np.lexsort((y, *x.T)) if len(y) else np.empty(0, dtype=int)
+    return fit(x[order].astype(float), y[order])
 
 
 def score(model: Gam, text: Column) -> Column:
