@@ -62,20 +62,27 @@ def exact_groups(
     refined = _refined(rows, prefix_chars, log2_bits).drop("_t")
     # written once, so that the row number stays the same for all readers
     tagged = stage(refined.withColumn("_r", F.monotonically_increasing_id()), "exact")
-    groups = (
-        tagged.filter(F.col("_full").isNotNull())
-        .groupBy("_full")
-        .agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("_id", "_r")).alias("_keep"))
-        .filter("_n > 1")
+    settled, hashed = tagged.filter(F.col("_full").isNull()), tagged.filter(F.col("_full").isNotNull())
+    groups = hashed.groupBy("_full").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("_id", "_r")).alias("_keep"))
+    # written first: a join of two plain scans can be split where one text has very many copies
+    groups = stage(groups.filter("_n > 1"), "groups")
+    carried = [F.col(f"_c_{name}").alias(name) for name in carry]
+    alone = settled.select(
+        F.col("_id").alias(id_col),
+        F.col("_id").alias("keep_id"),
+        F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"),
+        *carried,
     )
-    alone = F.col("_n").isNull()
-    return tagged.join(groups, "_full", "left").select(
+    lone = F.col("_n").isNull()
+    met = hashed.join(groups, "_full", "left").select(
         F.col("_id").alias(id_col),
-        F.when(alone, F.col("_id")).otherwise(F.col("_keep._id")).alias("keep_id"),
+        F.when(lone, F.col("_id")).otherwise(F.col("_keep._id")).alias("keep_id"),
         F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("_keep._r") == F.col("_r"))).alias("kept"),
-        *[F.col(f"_c_{name}").alias(name) for name in carry],
+        (lone | (F.col("_keep._r") == F.col("_r"))).alias("kept"),
+        *carried,
     )
+    return alone.unionAll(met)
 
 
 def exact_dedup(
