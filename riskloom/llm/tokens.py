@@ -17,7 +17,8 @@ _SPACES = re.compile(r"\s{%d}" % LONG)
 
 @lru_cache(maxsize=4)
 def _encoders(vocabulary: str, ranks: str):
-    """The vocabulary in two libraries. Their ids agree on every code point of Unicode (tests/llm).
+    """The vocabulary in two libraries. Their ids were compared on every code point of Unicode
+    and agree; tests/llm repeats it on those below U+3000 and every 97th beyond.
 
     The second is four times as fast; the first is used for what the second cannot encode.
     """
