@@ -80,7 +80,3 @@ def assemble_features(
     columns = [*numeric, *categorical]
     floats = df.withColumns({c: F.col(c).cast("double") for c in columns})
     return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="error").transform(floats)
-
-
-def feature_array(numeric: Sequence[str], categorical: Sequence[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in [*numeric, *categorical]])

@@ -49,10 +49,3 @@ def load_features(spark: SparkSession, root: str) -> FeatureState:
         tuple(r.feature for r in listed if r.role == "categorical"),
         tuple(r.feature for r in listed if r.role == "numeric"),
     )
-
-
-def risk_json(tables: RiskTables) -> DataFrame:
-    """One JSON document per category for inspection: ``(var, key, json)``."""
-    return tables.bins.select(
-        "var", "key", F.to_json(F.struct("var", "key", F.round("value", 6).alias("value"))).alias("json")
-    )
