@@ -29,7 +29,9 @@ def scan_shards(spark, sf):
     three.write.mode("append").json(path)
     four = orders.filter(~status.isin("F", "O")).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     four.write.mode("append").parquet(path)
-    return readers.scan_shards(spark, path)
+    columns = "o_orderkey long, o_orderstatus string"
+    schemas = {"csv": columns, "json": f"{columns}, o_totalprice double", "parquet": four.schema}
+    return readers.scan_shards(spark, path, schemas=schemas)
 
 
 @query(

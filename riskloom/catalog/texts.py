@@ -9,6 +9,8 @@ from riskloom.catalog.registry import query, rounded, table
 from riskloom.functions import dialogue as dg, entities as en, fixed_values as fv, responses as rs, text as tx
 from riskloom.operators import labelling, tokens as tk
 from riskloom.operators.chain import column_chains
+from riskloom.operators.quality import unexpected_fields
+from riskloom.plans.lookup import local_table, lookup_with_default
 from riskloom.plans.partitions import spread
 from riskloom.plans.staging import stage
 
@@ -519,6 +521,49 @@ def pad_batch(spark, sf):
     return padded.select("k", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+AS_WRITTEN_SQL = TOKEN_SQL.replace(f"lower({squeeze_sql('text')})", squeeze_sql("text"))
+
+
+@query(
+    "embed_tokens_as_written",
+    f"""WITH {AS_WRITTEN_SQL}, e AS (SELECT k, list_sum(embedding) AS s FROM tok JOIN vocab USING (token)
+       LEFT JOIN embeddings ON vec_id = id - 2 WHERE pos < 32)
+    SELECT k, CAST(count(*) AS INTEGER) AS width, CAST(count(s) AS INTEGER) AS known, round(coalesce(sum(s), 0.0), 3) + 0.0 AS total
+    FROM e GROUP BY k""",
+)
+def embed_tokens_as_written(spark, sf):
+    df = token_input(spark, sf)
+    vocab = stage(tk.token_vocabulary(df, "k", "text", lower=False))
+    embeddings = table(spark, sf, "embeddings")
+    vectors = stage(tk.token_vectors(embeddings, vocab))
+    dim = embeddings.agg(F.max(F.size("embedding"))).first()[0]
+    out = tk.embed_tokens(df, "k", "text", vectors, dim, 32, pad=False, lower=False)
+    total = F.aggregate(F.flatten("embeddings"), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    known = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
+    return out.select(
+        "k", F.size("embeddings").alias("width"), known.alias("known"), (F.round(total, 3) + 0.0).alias("total")
+    )
+
+
+@query(
+    "pad_chunks",
+    """WITH w AS (SELECT conv_id * 1000 + turn AS k,
+         list_transform(string_split(text, chr(10)), lambda x: list_transform(string_split(x, ' '), lambda y: length(y))) AS ids FROM conversations),
+    s AS (SELECT k, len(ids) AS n, list_max(list_transform(ids, lambda x: len(x))) AS m, list_sum(flatten(ids)) AS total FROM w)
+    SELECT k, max(n) OVER b AS chunks, max(m) OVER b AS width, CAST(total AS BIGINT) AS total FROM s WINDOW b AS (PARTITION BY k % 8)""",
+)
+def pad_chunks(spark, sf):
+    lengths = F.transform(F.split("text", "\n"), lambda x: F.transform(F.split(x, " "), F.length))
+    padded = tk.pad_chunks(token_input(spark, sf).select("k", lengths.alias("ids")), "ids", F.col("k") % 8)
+    total = F.aggregate(F.flatten("ids"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return padded.select(
+        "k",
+        F.size("ids").cast("long").alias("chunks"),
+        F.size(F.element_at("ids", -1)).cast("long").alias("width"),
+        total.alias("total"),
+    )
+
+
 @query(
     "job_token_features",
     f"""WITH {TOKEN_SQL} SELECT token, CAST(id AS BIGINT) AS token_id, n, round(list_sum(embedding), 3) + 0.0 AS weight
@@ -813,6 +858,69 @@ def batch_label_cases(spark, sf):
     return labelled(spark, sf).select("conv_id", "turn", "category", "confidence_score", "processing_status")
 
 
+@query("label_pending", f"WITH {LABEL_SQL} SELECT conv_id, turn, category, confidence_score, processing_status FROM lab")
+def label_pending(spark, sf):
+    """Half of the conversations have their results; the others are labelled, four calls at a time."""
+    cases = texts(spark, sf, "conversations")
+    done = stage(labelling.label_cases(cases.filter("conv_id % 2 = 0"), line_labeller), "labelled")
+    out = labelling.label_pending(cases, done, ["conv_id", "turn"], line_labeller, in_flight=4)
+    return out.select("conv_id", "turn", "category", "confidence_score", "processing_status")
+
+
+@query(
+    "label_error_rate",
+    f"WITH {LABEL_SQL} SELECT round(avg(CASE WHEN processing_status <> 'success' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS error_rate FROM lab",
+)
+def label_error_rate(spark, sf):
+    return rounded(labelling.error_rate(labelled(spark, sf)), "error_rate")
+
+
+@query(
+    "reject_unexpected_fields",
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'note' ELSE '' END AS extra,
+      CASE WHEN turn % 3 = 0 THEN 0 ELSE 1 END AS valid FROM conversations""",
+)
+def reject_unexpected_fields(spark, sf):
+    note = F.when(F.col("turn") % 3 == 0, "seen").alias("note")
+    body = F.to_json(F.struct("role", "turn", note))  # a null field is left out
+    extra = unexpected_fields(("role", "turn"), F.json_object_keys(body))
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.array_join(extra, ",").alias("extra"), (F.size(extra) == 0).cast("int").alias("valid")
+    )
+
+
+CLAIM_ROWS = tuple(fv.CLAIM_ACTIONS.items())
+CUSTOMER_ROWS = tuple(fv.CUSTOMER_ACTIONS.items())
+
+
+def action_sql(rows) -> str:
+    """A row's action by its number; one number in each round has an action that is not listed."""
+    return "[" + ", ".join(f"'{code}'" for code, _ in (*rows, ("OTHER", None))) + "]"
+
+
+@query(
+    "decode_actions",
+    f"""WITH claims(code, claim) AS (VALUES {sql_list(CLAIM_ROWS)}), customers(code, customer) AS (VALUES {sql_list(CUSTOMER_ROWS)}),
+    e AS (SELECT event_id, {action_sql(CLAIM_ROWS)}[event_id % {len(CLAIM_ROWS) + 1} + 1] AS a,
+                 {action_sql(CUSTOMER_ROWS)}[user_id % {len(CUSTOMER_ROWS) + 1} + 1] AS b FROM events)
+    SELECT event_id, claim, customer, CASE WHEN customer IS NULL THEN NULL WHEN claim = 0 THEN CASE customer WHEN 0 THEN 0.0::DOUBLE ELSE 1.0 END
+             WHEN claim = 1 THEN 1.0 WHEN claim = 2 THEN CASE customer WHEN 0 THEN 2.0 ELSE 1.0 END END AS label
+    FROM e LEFT JOIN claims c ON c.code = a LEFT JOIN customers u ON u.code = b""",
+)
+def decode_actions(spark, sf):
+    def action(rows, number):
+        codes = F.array(*[F.lit(code) for code, _ in (*rows, ("OTHER", None))])
+        return F.element_at(codes, (F.col(number) % (len(rows) + 1) + 1).cast("int"))
+
+    none = F.lit(None).cast("int")
+    out = table(spark, sf, "events").select("event_id", action(CLAIM_ROWS, "event_id").alias("a"), action(CUSTOMER_ROWS, "user_id").alias("b"))
+    for column, rows, name in (("a", CLAIM_ROWS, "claim"), ("b", CUSTOMER_ROWS, "customer")):
+        codes = local_table(spark, rows, "code string, class int")
+        out = lookup_with_default(out, codes, F.col(column), "class", none, name, table_key="code")
+    label = labelling.combined_label(F.col("claim"), F.col("customer")).alias("label")
+    return out.select("event_id", "claim", "customer", label)
+
+
 @query(
     "run_summary",
     f"""WITH {LABEL_SQL} SELECT count(*) AS total, count(*) FILTER (processing_status = 'success') AS successful,

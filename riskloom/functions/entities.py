@@ -18,16 +18,24 @@ _DAY = (
 _ONES = r"(?:one|two|three|four|five|six|seven|eight|nine|ten|twenty|thirty|fifty|sixty|seventy|eighty|ninety)"
 _STATE = "(?:" + "|".join((*fv.STATE_NAMES, *fv.STATE_CODES)) + ")"
 
+# brackets that close again, at most two deep; unrolled, so that no text is scanned twice
+_BRACKETS = r"\([^\s()<>]*(?:\([^\s()<>]+\)[^\s()<>]*)*\)"
+
 # fixed values: entity name and pattern, in order of masking
 PATTERNS = (
-    ("URL", r"(?i)\b(?:https?://|www\d{0,3}[.]|[a-z0-9.\-]+[.][a-z]{2,4}/)[^\s<>]*[^\s`!()\[\]{};:'\".,<>?]"),
+    (
+        "URL",
+        rf"(?i)\b(?:https?://|www\d{{0,3}}[.]|[a-z0-9.\-]+[.][a-z]{{2,4}}/)(?:[^\s()<>]|{_BRACKETS})"
+        rf"[^\s()<>]*(?:{_BRACKETS}[^\s()<>]*)*(?:{_BRACKETS}|[^\s`!()\[\]{{}};:'\".,<>?«»“”‘’])",
+    ),
     ("EMAIL", r"[\w-]+@(?:[\w-]+\.)+[\w-]+"),
     ("ORDER_ID", r"\b[0-9]{3}-[0-9]{7}-[0-9]{7}\b"),
     (
         "TRACKING_ID",
         r"\b1Z ?[0-9A-Z]{3} ?[0-9A-Z]{3} ?[0-9A-Z]{2} ?[0-9A-Z]{4} ?[0-9A-Z]{3} ?[0-9A-Z]\b"
-        r"|\b[kKJj][0-9]{10}\b|\b\d{30}\b|\b\d{20}\b|\bE[A-Z]\d{9}[A-Z]{2}\b|\b9\d{15,21}\b|\b[A-Za-z]{2}[0-9]+US\b"
-        r"|\b\d{4}(?:\s?\d{4}){4}\s?\d{2}\b|\b\d{15}\b|\b\d{12}\b",
+        r"|\b[kKJj][0-9]{10}\b|\b\d{30}\b|\b\d{20}\b|\bE[A-Z]\d{9}[A-Z]{2}\b|\b9\d{15,21}\b|\b91[0-9]+\b|\b[A-Za-z]{2}[0-9]+US\b"
+        r"|\b\d{4}(?:\s?\d{4}){4}\s?\d{2}\b|\b\d{2}(?:\s?\d{3}){2}\s?\d{2}\b|\b[A-Za-z]{2}(?:\s?\d{3}){3}\s?[A-Za-z]{2}\b"
+        r"|\b96\d{20}\b|\b\d{15}\b|\b\d{12}\b|\b(?:98\d{4}\d?\d{4}|98\d{2}) ?\d{4} ?\d{4}(?: ?\d{3})?\b",
     ),
     ("PHONE", r"(?:\(\+?\d{1,2}\)\s*|\b\d{1,2}-)?(?:\b[2-9]\d{2}-|\([2-9]\d{2}\) )\d{3}-\d{4}\b"),
     ("ASIN", r"\b(?:[0-9]{9}[0-9X]|[A-Z][A-Z0-9]{9})\b"),
@@ -40,11 +48,12 @@ PATTERNS = (
     ("MON_DAY", rf"\b{_MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?\b"),
     ("WEEKDAY", rf"\b{_DAY}\b"),
     ("TIME", r"\b(?:[01]?[0-9]|2[0-3])[:.][0-5][0-9](?:[:.][0-5][0-9])?(?: ?[AaPp][Mm])?\b"),
+    ("ADDRESS", rf"\b(?:[A-Z][a-z.\-]+ ?){{1,6}}, {_STATE} \d{{5}}(?:-\d{{4}})?\b"),
     ("STATE_ZIP", rf"\b{_STATE} \d{{5}}(?:-\d{{4}})?\b"),
     ("ZIP", r"\b\d{5}(?:-\d{4})?\b"),
     ("STATE", rf"\b{_STATE}\b"),
     ("STREET", r"\b\d+ (?:[A-Za-z0-9.\-]+ ){1,6}(?:Avenue|Lane|Road|Boulevard|Drive|Street|Ave|Dr|Rd|Blvd|Ln|St)\b\.?"),
-    ("DECIMAL", r"\b\d*\.\d+\b"),
+    ("DECIMAL", r"\b\d*\.?\d+(?: bps)?\b"),
 )
 
 
@@ -60,6 +69,7 @@ _FIRST = {
     "MON_DAY": r"[JFMASOND]",
     "WEEKDAY": r"[MTWFS]",
     "TIME": r"\d",
+    "ADDRESS": r"[A-Z]",
     "STATE_ZIP": r"[A-Z]",
     "ZIP": r"\d",
     "STATE": r"[A-Z]",

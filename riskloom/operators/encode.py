@@ -70,7 +70,8 @@ def class_weight_column(label: Column, weights: Sequence[float], n_classes: int)
         raise ValueError("one weight per class is needed")
     if n_classes == 2:
         return F.when(label == 1, weights[1] / weights[0]).otherwise(1.0)
-    return F.element_at(F.array(*[F.lit(float(w)) for w in weights]), label.cast("int") + 1)
+    # element_at takes a NULL index into an array without NULLs for the last place
+    return F.when(label.isNotNull(), F.element_at(F.array(*[F.lit(float(w)) for w in weights]), label.cast("int") + 1))
 
 
 def assemble_features(

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from riskloom.functions import fixed_values as fv
 
 RESULT = T.StructType(
     [
@@ -28,11 +31,12 @@ def label_cases(
     labeller: Callable[[dict], dict],
     max_retries: int = 5,
     pause: Callable[[float], None] = time.sleep,
+    in_flight: int = 1,
 ) -> DataFrame:
     """Add category, confidence, status and error to each case; a failing case becomes an error row.
 
-    Rows stream through Arrow batches, partition by partition. A throttled call is
-    repeated after ``min(32, 2^attempt + U)`` seconds.
+    Rows stream through Arrow batches, partition by partition; a task makes ``in_flight`` calls
+    at a time. A throttled call is repeated after ``min(32, 2^attempt + U)`` seconds.
     """
     schema = T.StructType([*df.schema.fields, *RESULT.fields])
 
@@ -51,18 +55,27 @@ def label_cases(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.name for f in RESULT.fields]
-        for pdf in batches:
-            answers = [attempt(case) for case in pdf.to_dict("records")]
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(answers, columns=names)], axis=1)
+        with ThreadPoolExecutor(in_flight) as calls:
+            for pdf in batches:
+                answers = list(calls.map(attempt, pdf.to_dict("records")))
+                yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(answers, columns=names)], axis=1)
 
     return df.mapInPandas(run, schema)
 
 
-def label_pending(df: DataFrame, done: DataFrame, key: str, labeller, **kwargs) -> DataFrame:
-    """Label only the rows that have no finished result, and return all results."""
-    fresh = label_cases(df.join(done.select(key), key, "left_anti"), labeller, **kwargs)
+def label_pending(df: DataFrame, done: DataFrame, key: Sequence[str], labeller, **kwargs) -> DataFrame:
+    """Label only the rows that have no result yet, and return all results."""
+    fresh = label_cases(df.join(done.select(*key), list(key), "left_anti"), labeller, **kwargs)
     return done.unionByName(fresh, allowMissingColumns=True)
 
 
 def error_rate(df: DataFrame) -> DataFrame:
     return df.agg(F.avg((F.col("processing_status") != "success").cast("double")).alias("error_rate"))
+
+
+def combined_label(claim: Column, customer: Column) -> Column:
+    """The label of a claim's class (row) together with a customer action's class (column); NULL without one of them."""
+    rows = F.array(*[F.array(*[F.lit(x) for x in row]) for row in fv.LABEL_COMBINATION])
+    # element_at takes a NULL index into an array without NULLs for the last place
+    both = claim.isNotNull() & customer.isNotNull()
+    return F.when(both, F.element_at(F.element_at(rows, claim + 1), customer + 1))

@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.functions.text import text_normalize, tokens
+from riskloom.functions.text import squeeze, text_normalize, tokens
 from riskloom.plans.prefix import ordered_index
 from riskloom.plans.staging import stage
 
 UNKNOWN, PAD = 1, 0
 
 
-def token_rows(df: DataFrame, key: str, text: str, max_length: int | None = None) -> DataFrame:
-    """``(key, pos, token)`` in order; texts without a token give no row."""
-    words = tokens(text_normalize(F.col(text)))
+def token_rows(df: DataFrame, key: str, text: str, max_length: int | None = None, lower: bool = True) -> DataFrame:
+    """``(key, pos, token)`` in order, in lower case or as written; texts without a token give no row."""
+    words = tokens((text_normalize if lower else squeeze)(F.col(text)))
     if max_length:
         words = F.slice(words, 1, max_length)
     return df.select(key, F.posexplode(words).alias("pos", "token"))
 
 
-def token_vocabulary(df: DataFrame, key: str, text: str) -> DataFrame:
+def token_vocabulary(df: DataFrame, key: str, text: str, lower: bool = True) -> DataFrame:
     """``(token, token_id, n)``: ids follow the sorted tokens, after pad 0 and unknown 1."""
-    counts = token_rows(df, key, text).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = token_rows(df, key, text, lower=lower).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return ordered_index(counts, ["token"], name="token_id").withColumn("token_id", F.col("token_id") + 2)
 
 
@@ -45,12 +45,22 @@ def tokenize_chunks(df: DataFrame, key: str, text: str, vocabulary: DataFrame, m
     )
 
 
-def embed_tokens(df: DataFrame, key: str, text: str, vectors: DataFrame, dim: int, max_length: int = 100) -> DataFrame:
-    """``(key, embeddings, mask)``, padded to ``max_length``: a zero vector and mask 0 where unknown.
-
-    ``vectors(token, vector)``; one group is one text, at most ``max_length`` long.
+def embed_tokens(
+    df: DataFrame,
+    key: str,
+    text: str,
+    vectors: DataFrame,
+    dim: int,
+    max_length: int = 100,
+    pad: bool = True,
+    lower: bool = True,
+) -> DataFrame:
+    """``(key, embeddings, mask)``: a zero vector and mask 0 where unknown, padded to ``max_length`` if asked.
+
+    ``vectors(token, vector)``, with tokens in lower case or, without ``lower``, as written in the
+    texts; one group is one text, at most ``max_length`` long.
     """
-    rows = token_rows(df, key, text, max_length).join(vectors, "token", "left")
+    rows = token_rows(df, key, text, max_length, lower).join(vectors, "token", "left")
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     item = F.struct("pos", F.coalesce("vector", zero).alias("v"), F.col("vector").isNotNull().cast("int").alias("m"))
     found = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("t"))
@@ -58,12 +68,11 @@ def embed_tokens(df: DataFrame, key: str, text: str, vectors: DataFrame, dim: in
     have = F.coalesce(F.size("t"), F.lit(0))
     have = F.when(have < 0, 0).otherwise(have)
     listed = F.coalesce(F.col("t"), F.array().cast(found.schema["t"].dataType))
+    missing = F.lit(max_length) - have if pad else F.lit(0)
     return all_rows.select(
         key,
-        F.concat(F.transform(listed, lambda x: x["v"]), F.array_repeat(zero, F.lit(max_length) - have)).alias("embeddings"),
-        F.concat(
-            F.transform(listed, lambda x: x["m"]), F.array_repeat(F.lit(0), F.lit(max_length) - have)
-        ).alias("mask"),
+        F.concat(F.transform(listed, lambda x: x["v"]), F.array_repeat(zero, missing)).alias("embeddings"),
+        F.concat(F.transform(listed, lambda x: x["m"]), F.array_repeat(F.lit(0), missing)).alias("mask"),
     )
 
 

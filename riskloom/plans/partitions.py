@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SETTING = "spark.riskloom.scanPartitions"
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small scan over the cores before costly per-row work.
+    """Spread a scan over as many partitions as the session's ``spark.riskloom.scanPartitions`` names.
 
-    A small file has few row groups, and its partitions can be empty. A scan with at
-    least two partitions per core, as any large table has, is returned as it is and
-    not shuffled.
+    Set it only for inputs of few row groups, which fewer tasks read than there are cores.
+    Unset, as it should be on large tables, the scan is not shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    wanted = df.sparkSession.conf.get(SETTING, None)
+    return df.repartition(int(wanted)) if wanted else df

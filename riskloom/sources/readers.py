@@ -23,16 +23,31 @@ def _has_files(spark: SparkSession, folder: str, pattern: str) -> bool:
     return not files.select("path").isEmpty()
 
 
-def scan_shards(spark: SparkSession, folder: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """All ``part-*`` shards of a folder, one read per format, stacked on the union of their columns."""
+def scan_shards(
+    spark: SparkSession,
+    folder: str,
+    sep: str = ",",
+    multi_line: bool = False,
+    schemas: Mapping[str, T.StructType | str] | None = None,
+) -> DataFrame:
+    """All ``part-*`` shards of a folder, one read per format, stacked on the union of their columns.
+
+    ``schemas`` by format (csv, json, parquet). Without one, the schema of text shards is
+    inferred, which reads them once more.
+    """
     frames = []
+    schemas = schemas or {}
     for fmt, endings in SHARD_ENDINGS.items():
         pattern = f"part-*.{{{','.join(endings)}}}"
         if not _has_files(spark, folder, pattern):
             continue
         reader = spark.read.option("pathGlobFilter", pattern)
+        given = fmt in schemas
+        if given:
+            reader = reader.schema(schemas[fmt])
         if fmt == "csv":
-            frames.append(reader.csv(folder, header=True, sep=sep, inferSchema=True))
+            # a given schema is checked against the header's names
+            frames.append(reader.csv(folder, header=True, sep=sep, inferSchema=not given, enforceSchema=not given))
         elif fmt == "json":
             rows = reader.json(folder, multiLine=multi_line)
             frames.append(flatten(rows) if multi_line else rows)

@@ -74,18 +74,16 @@ def merge_batches(
 def sink_multi_format(df: DataFrame, root: str, status: str = "processing_status") -> None:
     """The same rows as Parquet, CSV and JSON Lines, and a summary."""
     root = root.rstrip("/")
-    kept = df.persist()
-    try:
-        kept.write.parquet(f"{root}/results.parquet")
-        nested = [f.name for f in kept.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
-        flat = kept.withColumns({c: F.to_json(c) for c in nested}) if nested else kept
-        flat.write.option("header", True).csv(f"{root}/results.csv")
-        kept.write.json(f"{root}/results.jsonl")
-        if status in kept.columns:
-            run_summary(kept, status).write.json(f"{root}/summary.json")
-            value_counts(kept, "category").write.json(f"{root}/categories.json")
-    finally:
-        kept.unpersist()
+    df.write.parquet(f"{root}/results.parquet")
+    # the others come from the written file, so no row is computed twice
+    kept = df.sparkSession.read.schema(df.schema).parquet(f"{root}/results.parquet")
+    nested = [f.name for f in kept.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
+    flat = kept.withColumns({c: F.to_json(c) for c in nested}) if nested else kept
+    flat.write.option("header", True).csv(f"{root}/results.csv")
+    kept.write.json(f"{root}/results.jsonl")
+    if status in kept.columns:
+        run_summary(kept, status).write.json(f"{root}/summary.json")
+        value_counts(kept, "category").write.json(f"{root}/categories.json")
 
 
 def prediction_columns(df: DataFrame, id_col: str, label: str, probs: str, n_classes: int) -> DataFrame:

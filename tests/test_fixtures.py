@@ -3,10 +3,10 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from riskloom.functions import dialogue as dg, formats, numbers, responses as rs, text as tx
-from riskloom.operators import binning, calibrate, curves, currency, encode, impute, labelling, metrics, quality, risk
+from riskloom.functions import dialogue as dg, entities, formats, numbers, responses as rs, text as tx
+from riskloom.operators import binning, calibrate, curves, currency, encode, impute, labelling, metrics, quality, risk, tokens
 from riskloom.operators.chain import chain, column_chains
 from riskloom.plans import lookup
 
@@ -343,6 +343,69 @@ def test_labelling_retries_and_errors(spark):
     assert sorted(r.id for r in left.collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("in_flight", [1, 3])
+def test_resume_labels_only_the_rest(spark, in_flight):
+    df = spark.createDataFrame([(i, "en") for i in range(9)], "id int, lang string")
+    done = spark.createDataFrame([(i, "en", "Old", 0.5, "success", None) for i in range(4)], T.StructType([*df.schema.fields, *labelling.RESULT.fields]))
+    out = labelling.label_pending(df, done, ["id", "lang"], lambda case: {"category": f"New{case['id']}", "confidence_score": 1}, in_flight=in_flight)
+    assert {r.id: r.category for r in out.collect()} == {i: "Old" if i < 4 else f"New{i}" for i in range(9)}
+    assert labelling.error_rate(out).first()[0] == 0.0
+
+
+@pytest.mark.parametrize(
+    "text, masked",
+    [
+        ("see https://a.com/x(1) now", "see URL now"),
+        ("(see www.shop.org/a(b(c))d).", "(see URL)."),
+        ("https://a.com/x(1", "URL(DECIMAL"),
+        ("a https://" + "." * 5000, "a https://" + "." * 5000),
+        ("mail to a.b-c@shop.example.com", "mail to a.EMAIL"),
+        ("track 9102, or 9612345678901234567890", "track TRACKING_ID, or TRACKING_ID"),
+        ("9812345678 1234 5678 and 9812 1234 1234 123", "TRACKING_ID and TRACKING_ID"),
+        ("RA123456785CN by 12 345 678 90", "TRACKING_ID by TRACKING_ID"),
+        ("1Z 999 AA1 01 2345 678 4", "TRACKING_ID"),
+        ("order 123-1234567-1234567", "order ORDER_ID"),
+        ("up 25.5 bps to 7", "up DECIMAL to DECIMAL"),
+        ("pay $12.50 or 20%", "pay DOLLAR_AMOUNT or PERCENTAGE"),
+        ("in New Orleans, Louisiana 70112-1234.", "in ADDRESS."),
+        ("at TX 75001, or 90210", "at STATE_ZIP, or ZIP"),
+        ("on 12/31/2020 at 10:30 pm", "on DATE at TIME"),
+        ("Monday, March 3", "WEEKDAY, MON_DAY"),
+        ("call (206) 555-0100", "call PHONE"),
+    ],
+)
+def test_entity_mask(spark, text, masked):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(entities.entity_mask(F.col("t"))).first()[0] == masked
+
+
+def test_embed_as_written_without_padding(spark):
+    df = spark.createDataFrame([(1, "Big  box"), (2, ""), (3, None)], "k int, t string")
+    vectors = spark.createDataFrame([("Big", [1.0, 2.0]), ("big", [9.0, 9.0])], "token string, vector array<float>")
+    out = {r.k: (r.embeddings, r["mask"]) for r in tokens.embed_tokens(df, "k", "t", vectors, 2, 5, pad=False, lower=False).collect()}
+    assert out == {1: ([[1.0, 2.0], [0.0, 0.0]], [1, 0]), 2: ([], []), 3: ([], [])}
+    padded = {r.k: r["mask"] for r in tokens.embed_tokens(df, "k", "t", vectors, 2, 3).collect()}
+    assert padded == {1: [1, 0, 0], 2: [0, 0, 0], 3: [0, 0, 0]}
+
+
+def test_pad_chunks(spark):
+    df = spark.createDataFrame([(1, [[1], [2, 3]]), (2, [[4, 5, 6]])], "k int, ids array<array<int>>")
+    out = {r.k: r.ids for r in tokens.pad_chunks(df, "ids", F.lit(0)).collect()}
+    assert out == {1: [[1, 0, 0], [2, 3, 0]], 2: [[4, 5, 6], [0, 0, 0]]}
+
+
+def test_combined_label(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (2, 0), (2, 1), (None, 0), (2, None)], "a int, b int")
+    got = [r[0] for r in df.select(labelling.combined_label(F.col("a"), F.col("b"))).collect()]
+    assert got == [0.0, 1.0, 1.0, 2.0, 1.0, None, None]
+
+
+def test_sketched_edges_are_near_the_ranks(spark):
+    df = spark.range(10000).select(F.col("id").cast("double").alias("v"), F.lit(None).cast("double").alias("e"))
+    rows = {r["var"]: r.edges for r in binning.approximate_quantile_edges(df, ["v", "e"], 10, accuracy=1000).collect()}
+    assert len(rows["v"]) == 11 and all(abs(e - 1000 * i) <= 10000 / 1000 for i, e in enumerate(rows["v"]))
+
+
 # ---- numbers and formats
 
 

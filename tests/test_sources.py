@@ -17,6 +17,10 @@ def test_shards_of_three_formats(spark, tmp_path):
     spark.createDataFrame([(3, "y")], "a int, b string").write.mode("append").parquet(str(tmp_path))
     rows = {r.a: (r.b, r.c) for r in readers.scan_shards(spark, str(tmp_path)).collect()}
     assert rows == {1: ("x", None), 2: (None, 0.5), 3: ("y", None)}
+    given = {"csv": "a int, b string", "json": "a int, c double", "parquet": "a int, b string"}
+    assert sorted(map(str, readers.scan_shards(spark, str(tmp_path), schemas=given).collect())) == sorted(
+        map(str, readers.scan_shards(spark, str(tmp_path)).selectExpr("int(a) a", "b", "c").collect())
+    )
 
 
 def test_no_shards_is_an_error(spark, tmp_path):
