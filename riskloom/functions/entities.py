@@ -34,8 +34,9 @@ PATTERNS = (
         "TRACKING_ID",
         r"\b1Z ?[0-9A-Z]{3} ?[0-9A-Z]{3} ?[0-9A-Z]{2} ?[0-9A-Z]{4} ?[0-9A-Z]{3} ?[0-9A-Z]\b"
         r"|\b[kKJj][0-9]{10}\b|\b\d{30}\b|\b\d{20}\b|\bE[A-Z]\d{9}[A-Z]{2}\b|\b9\d{15,21}\b|\b91[0-9]+\b|\b[A-Za-z]{2}[0-9]+US\b"
+        r"|\b(?:98\d{4}\d?\d{4}|98\d{2}) ?\d{4} ?\d{4}(?: ?\d{3})?\b"  # before the shorter forms it can begin with
         r"|\b\d{4}(?:\s?\d{4}){4}\s?\d{2}\b|\b\d{2}(?:\s?\d{3}){2}\s?\d{2}\b|\b[A-Za-z]{2}(?:\s?\d{3}){3}\s?[A-Za-z]{2}\b"
-        r"|\b96\d{20}\b|\b\d{15}\b|\b\d{12}\b|\b(?:98\d{4}\d?\d{4}|98\d{2}) ?\d{4} ?\d{4}(?: ?\d{3})?\b",
+        r"|\b96\d{20}\b|\b\d{15}\b|\b\d{12}\b",
     ),
     ("PHONE", r"(?:\(\+?\d{1,2}\)\s*|\b\d{1,2}-)?(?:\b[2-9]\d{2}-|\([2-9]\d{2}\) )\d{3}-\d{4}\b"),
     ("ASIN", r"\b(?:[0-9]{9}[0-9X]|[A-Z][A-Z0-9]{9})\b"),
