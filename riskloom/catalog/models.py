@@ -16,6 +16,7 @@ from riskloom.operators.encode import class_weight_column
 from riskloom.operators.quality import oot_split
 from riskloom.operators.split import random_split
 from riskloom.plans.cutoffs import hash_fraction
+from riskloom.operators import scoring
 from riskloom.plans.partitions import spread
 from riskloom.plans.staging import stage
 from riskloom.streaming import score as st
@@ -196,6 +197,68 @@ def stream_score(spark, sf):
     return rounded(out.select("l_orderkey", "l_linenumber", "score"), "score")
 
 
+REQUEST_SCHEMA = "l_quantity double, l_extendedprice double, l_tax double, l_discount double, supp string, line string"
+REQUEST_SQL = """req AS (SELECT l_orderkey % 8 AS k, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id FROM lineitem),
+    rec AS (SELECT row_id, CAST(unnest(CASE WHEN k = 7 THEN [0, 1] ELSE [0] END) AS INTEGER) AS pos,
+      CASE k WHEN 0 THEN 'invalid record' WHEN 1 THEN 'empty input' WHEN 2 THEN 'unsupported content type' END AS error FROM req)"""
+
+
+def requests(rows):
+    """A request per line item: CSV, JSON, arrays of two records, and bodies that cannot be scored."""
+    fields = {
+        **{c: F.col(c) for c in FEATURES[:4]},
+        "supp": F.col("l_suppkey").cast("string"),
+        "line": F.col("l_linenumber").cast("string"),
+    }
+    k = F.col("l_orderkey") % 8
+    record = F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
+    csv = F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("")) for c in fields.values()])
+    body = (
+        F.when(k == 0, "{oops").when(k == 1, " ").when(k < 5, csv)
+        .when(k == 7, F.concat(F.lit("["), record, F.lit(","), record, F.lit("]"))).otherwise(record)
+    )
+    media = F.when(k == 2, "image/png").when(k.isin(3, 4), "text/csv").otherwise("application/json")
+    row_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return rows.select(row_id.alias("row_id"), body.alias("body"), media.alias("media"))
+
+
+def fitted_scorer(spark, sf):
+    history = spread(risk_frame(spark, sf).filter("y <> -1"))
+    return scoring.fit_scorer(history, "y", ["supp", "line"], FEATURES[:4], REQUEST_SCHEMA, SMALL, 0.01, 5)
+
+
+@query(
+    "score_requests",
+    f"""WITH {REQUEST_SQL} SELECT row_id, pos, error, CASE WHEN error IS NULL THEN 1 ELSE 0 END AS scored,
+      CASE WHEN error IS NULL THEN 1 END AS in_range FROM rec""",
+)
+def score_requests(spark, sf):
+    """Bodies to records, features, trained trees, calibrated scores and output records."""
+    out = fitted_scorer(spark, sf).score(requests(table(spark, sf, "lineitem")), "row_id")
+    whole = F.col("json").contains("calibrated-score") & F.col("csv").rlike(r"^[01]\.\d{4},[01]\.\d{4},class-[01]$")
+    in_range = F.col("score").between(0, 1) & F.col("calibrated").between(0, 1)
+    return out.select("row_id", "pos", "error", F.coalesce(whole.cast("int"), F.lit(0)).alias("scored"), in_range.cast("int").alias("in_range"))
+
+
+@query(
+    "stream_score_requests",
+    f"""WITH {REQUEST_SQL} SELECT error, count(*) AS n, count(*) FILTER (error IS NULL) AS scored, 1 AS same_as_batch FROM rec GROUP BY error""",
+)
+def stream_score_requests(spark, sf):
+    """The same chain on arriving files, compared with the batch's records by sums of hashes."""
+    scorer = fitted_scorer(spark, sf)
+    lines = table(spark, sf, "lineitem")
+    batch = scorer.score(requests(lines), "row_id")
+    stream = st.replay(spark, f"{sf}/lineitem.parquet", lines.schema, lambda rows: scorer.score(requests(rows), "row_id"))
+    digest = F.xxhash64("row_id", "pos", "error", "score", "calibrated", "json", "csv").cast("decimal(38,0)")
+    both = batch.withColumn("_side", F.lit(1)).unionAll(stream.withColumn("_side", F.lit(-1)))
+    return both.groupBy("error").agg(
+        F.count_if(F.col("_side") == -1).alias("n"),
+        F.count_if((F.col("_side") == -1) & F.col("json").isNotNull()).alias("scored"),
+        (F.sum(digest * F.col("_side")) == 0).cast("int").alias("same_as_batch"),
+    )
+
+
 @query(
     "stream_dialogue",
     f"""WITH raw AS ({"WITH " + MESSAGES_SQL + " SELECT * FROM dlg"}),

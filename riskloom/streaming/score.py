@@ -11,7 +11,7 @@ from riskloom.functions.dialogue import dialogue_chunk
 from riskloom.functions.formats import prediction_csv, prediction_json
 from riskloom.functions.text import each, emoji_remove, text_normalize
 from riskloom.operators.model import FeatureState
-from riskloom.operators.quality import to_number
+from riskloom.operators.scoring import literal_features, literals
 from riskloom.plans.staging import new_stage_path
 
 
@@ -49,17 +49,8 @@ def replay(
 def stream_score(
     requests: DataFrame, state: FeatureState, fills: dict[str, float], defaults: dict[str, float], predict, keep=("id",)
 ) -> DataFrame:
-    """Map, fill, force numbers, predict and format records; stateless, so append mode holds no state.
-
-    Risk bins are joined stream-static. Fill values and defaults (one per column)
-    are literals, as a stream plan cannot hold a scalar subquery.
-    """
-    df = requests
-    for c in state.categorical:
-        bins = state.risk.bins.filter(F.col("var") == c).select(F.col("key").alias("_k"), F.col("value").alias("_v"))
-        df = df.join(bins, F.col(c).cast("string") == F.col("_k"), "left")
-        df = df.withColumn(c, F.coalesce("_v", F.lit(defaults[c]))).drop("_k", "_v")
-    df = df.withColumns({c: F.coalesce(to_number(F.col(c)), F.lit(fills[c])) for c in state.numeric})
+    """Map, fill, force numbers, predict and format records; stateless, so append mode holds no state."""
+    df = literal_features(requests, state, fills, defaults)
     df = predict(df)
     raw = F.array(1.0 - F.col("score"), F.col("score"))
     return df.select(
@@ -67,13 +58,6 @@ def stream_score(
     )
 
 
-def literals(state: FeatureState) -> tuple[dict[str, float], dict[str, float]]:
-    """Fill values and risk defaults of a fitted state: one number per column."""
-    fills = {r["var"]: r["value"] for r in state.fills.collect()}
-    defaults = {r["var"]: r["default_value"] for r in state.risk.defaults.collect()}
-    return fills, defaults
-
-
 def stream_dialogue(rows: DataFrame, key: list[str], messages, max_tokens: int) -> DataFrame:
     """Messages to cleaned chunks, one row per chunk."""
     clean = each(lambda m: text_normalize(emoji_remove(m)))(messages)
