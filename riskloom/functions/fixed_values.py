@@ -222,6 +222,10 @@ SERVICE_SIGNATURES = {
         "To respond to this customer, please reply to this e-mail or visit your seller account at the following link:",
         "Sincerely",
     ),
+    "ja": (
+        "購入者様へのご連絡は、直接こちらのメールにご返信いただくか、以下セラーアカウントからご返信ください。",
+        "今後とも.*をよろしくお願いいたします",
+    ),
     "fr": (
         "Nous vous remercions de répondre directement à ce client en répondant à cet e-mail ou en vous rendant dans votre compte vendeur:",
         "Cordialement",
@@ -281,6 +285,7 @@ RETURN_NOTICES = {
     "it": r"Gentili .* e .*[:,]\s+questa e-mail vi viene inviata da .* quale notifica e conferma della richiesta di autorizzazione ad effettuare il reso degli articoli elencati di seguito",
     "tr": r"Sayın .* ve .*[:,]\s+Bu not, aşağıdaki ürünler için bir iade onayının istendiğine dair sizi bilgilendirmek ve bunu teyit etmek üzere .* tarafından gönderilmiştir",
     "nl": r"Beste .* en .*[:,]\s+.* stuurt je deze e-mail om te bevestigen dat er autorisatie voor een retourzending is aangevraagd voor de onderstaande items",
+    "ja": r"このメールは、出品者様および購入者様の両方にお送りしております。.*よりお知らせいたします。以下の商品について返品が依頼されました。",
     "sv": r"Kära .* och .*[:,]\s+Detta e-postmeddelande skickas till dig av .* för att meddela och bekräfta att ett returtillstånd har begärts för följande artiklar",
 }
 
@@ -298,6 +303,17 @@ RETURN_SIGNATURES = {
     "pl": (r"Żądanie otrzymano:", "Pozdrawiamy,"),
 }
 
+# fixed values: opening sentence of a notice that a return was cancelled, by language (regular expressions)
+RETURN_CANCEL_NOTICES = {
+    "en": r"Dear .* and .*, This note has been sent by .* to inform you and confirm that .* has cancelled the refund request for the following order",
+    "fr": r"Chers .* et .*, Cet e-mail vous est envoyé par .* pour vous faire part du fait que .* a annulé sa demande de retour pour la commande suivante",
+    "tr": r"Sayın .* ve .*,\s+Bu not, .* adlı alıcının aşağıdaki siparişle ilgili iade talebini iptal ettiğine dair sizi bilgilendirmek ve bunu teyit etmek üzere .* tarafından gönderilmiştir",
+}
+
+# fixed values: return signature and message opening of another form: pattern and words it contains
+RETURN_SIGNATURE_JA = (r"(?s)返品リクエストの送信日:.*今後とも.*をよろしくお願いいたします。.*", "返品リクエストの送信日:")
+SELLER_MESSAGE_JA = (r"(?s)出品者.*からのメッセージ：\s+", "からのメッセージ：")
+
 # fixed values: text that opens a cancelled return, by language
 RETURN_CANCELLED = {"en": "Request cancelled:", "fr": "Demande annulée:", "tr": "İptal edilen talep:"}
 
@@ -344,6 +360,7 @@ QUOTATION_STARTS = {
     "es": (
         (r"Enviado desde mi \w+", "Enviado desde mi "),
         (r"El .*(?=escribió\s*:)", "escribió"),
+        (r"<\[dirección de correo electrónico eliminada\]>.*(?=escribió\s*:)", "escribió"),
     ),
     "it": (
         (r"-{2,} *Messaggio originale *-{2,}", "Messaggio originale"),

@@ -227,11 +227,18 @@ def template_patterns(brand: str) -> dict[str, list[tuple[str, str, str]]]:
         "return signature": [
             (lang, rf"(?s){start}.* {close}\s+{brand}.*", close)
             for lang, (start, close) in fv.RETURN_SIGNATURES.items()
+        ]
+        + [("ja", *fv.RETURN_SIGNATURE_JA)],
+        "cancel notice": [
+            # the words after the last open span
+            (lang, rf"(?s){start}.*(?={reason[lang]}\s*)", start.split(".* ")[-1])
+            for lang, start in fv.RETURN_CANCEL_NOTICES.items()
         ],
         "cancelled return": [(lang, rf"(?s){start}.*", start) for lang, start in fv.RETURN_CANCELLED.items()],
         "seller message": [
             (lang, rf"{start} [\w\-\s]+:\s+(?=\w)", start) for lang, start in fv.SELLER_MESSAGE_OPENINGS.items()
-        ],
+        ]
+        + [("ja", *fv.SELLER_MESSAGE_JA)],
     }
 
 

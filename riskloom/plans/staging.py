@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_owners: list[list[str]] = []
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -28,7 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_stage_path(spark: SparkSession, name: str = "stage") -> str:
-    return f"{shared_dir(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
+    return path
+
+
+@contextmanager
+def staged_job(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end of the block, the tables staged inside it.
+
+    Write the job's result inside the block: DataFrames built there read staged tables.
+    """
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for path in _owners.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -205,6 +205,24 @@ def test_template_and_quotation(text_row):
     assert one(text_row("nothing quoted"), tx.quotation_cut(F.col("t"))) == "nothing quoted"
 
 
+@pytest.mark.parametrize(
+    "lang, mail, left",
+    [
+        ("ja", "本文 返品リクエストの送信日: 5月1日 敬具 今後ともShopをよろしくお願いいたします。 Shop", "本文 "),
+        ("ja", "出品者 山田 からのメッセージ： こんにちは", "こんにちは"),
+        ("ja", "このメールは、出品者様および購入者様の両方にお送りしております。 Shopよりお知らせいたします。以下の商品について返品が依頼されました。 靴 返品理由: 小さい", "返品理由: 小さい"),
+        ("ja", "はい 購入者様へのご連絡は、直接こちらのメールにご返信いただくか、以下セラーアカウントからご返信ください。 a 今後ともShop をよろしくお願いいたします", "はい "),
+        ("en", "Dear Ann and Bob, This note has been sent by Shop to inform you and confirm that Ann has cancelled the refund request for the following order 7 Return reason: late", "Return reason: late"),
+        ("fr", "Chers A et B, Cet e-mail vous est envoyé par Shop pour vous faire part du fait que A a annulé sa demande de retour pour la commande suivante 7 Raison du retour: x", "Raison du retour: x"),
+        ("tr", "Sayın A ve B, Bu not, A adlı alıcının aşağıdaki siparişle ilgili iade talebini iptal ettiğine dair sizi bilgilendirmek ve bunu teyit etmek üzere Shop tarafından gönderilmiştir 7 İade nedeni: x", "İade nedeni: x"),
+        ("de", "本文 返品リクエストの送信日: 今後ともShopをよろしくお願いいたします。", "本文 返品リクエストの送信日: 今後ともShopをよろしくお願いいたします。"),
+    ],
+)
+def test_mail_templates(spark, lang, mail, left):
+    df = spark.createDataFrame([(mail, lang)], "t string, lang string")
+    assert df.select(tx.template_strip(F.col("t"), F.col("lang"), "Shop")).first()[0] == left
+
+
 def test_dialogue_split(text_row):
     raw = "[bom]   Hello   [eom][bom]   [eom][bom]World[eom]"
     assert one(text_row(raw), dg.dialogue_split(F.col("t"))) == ["Hello", "World"]

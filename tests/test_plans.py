@@ -1,5 +1,8 @@
 """Plan helpers: correctness under skew, and the shapes of the physical plans."""
 
+from pathlib import Path
+from urllib.parse import urlsplit
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from riskloom.operators import curves, quality, risk, split
 from riskloom.plans.cutoffs import hash_fraction
 from riskloom.plans.prefix import ordered_index, running_totals
 from riskloom.plans.quantiles import exact_quantiles
-from riskloom.plans.staging import shared_dir, stage
+from riskloom.plans.staging import shared_dir, stage, staged_job
 
 
 def plan(df) -> str:
@@ -90,6 +93,15 @@ def test_fit_is_one_pass(spark):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_staged_tables_have_an_owner(spark):
+    kept = stage(spark.range(3), "kept")
+    with staged_job(spark):
+        inner = stage(spark.range(4), "inner")
+        files = [urlsplit(f).path for f in inner.inputFiles()]
+        assert inner.count() == 4 and all(Path(f).exists() for f in files)
+    assert kept.count() == 3 and not any(Path(f).exists() for f in files)
+
+
 def test_split_loses_no_row(spark):
     """A class of one row, a NULL label, and ratios that want nothing."""
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "b")], "id int, y string")
