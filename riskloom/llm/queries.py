@@ -42,7 +42,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_warc_segments(spark: SparkSession, sf: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf, "pages"), least_revisit=1000)
-    pages = warc.read_pages(spark, warc.archive_paths(archives))
+    pages = warc.read_pages(archives)
     revisit = F.col("record_type") == "revisit"
     size = F.when(revisit, F.col("stated")).otherwise(F.octet_length("payload").cast("long"))
     return pages.select(

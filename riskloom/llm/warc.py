@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from riskloom.llm.common import KeyFilter, new_stage_path, stage
 
@@ -182,11 +182,10 @@ def write_archives(
     return stage(typed.mapInArrow(writer, "path string, records long, bytes long"), "archives")
 
 
-def parse_archive(data: bytes) -> Iterator[dict]:
-    """The records of an archive, compressed or not, in order."""
-    stream = io.BytesIO(data)
-    lines = gzip.GzipFile(fileobj=stream) if data[:2] == b"\x1f\x8b" else stream
-    reader = io.BufferedReader(lines, 1 << 16) if data[:2] == b"\x1f\x8b" else lines
+def parse_archive(stream: io.BufferedReader) -> Iterator[dict]:
+    """The records of an archive, compressed or not, in order; one record is held at a time."""
+    packed = stream.peek(2)[:2] == b"\x1f\x8b"
+    reader = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16) if packed else stream
     while True:
         line = reader.readline()
         if not line:
@@ -214,28 +213,46 @@ def parse_archive(data: bytes) -> Iterator[dict]:
         }
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(segmented: bool | None):
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
     kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    for batch in batches:
-        for content in batch.column("content"):
-            rows: list[dict] = []
-            held = 0
-            for record in parse_archive(content.as_py()):
-                rows.append(record)
-                held += len(record["block"])
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
-
-
-def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All records of the archives, one row each, with their raw block."""
-    if not paths:
-        return spark.createDataFrame([], RECORD_SCHEMA)
-    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(_reader, RECORD_SCHEMA)
+
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in batch.column("path").to_pylist():
+                files, path = fs.FileSystem.from_uri(uri)
+                rows: list[dict] = []
+                held = 0
+                with files.open_input_stream(path, compression=None) as source:
+                    for record in parse_archive(io.BufferedReader(source, 1 << 20)):
+                        if segmented is not None and segmented != (record["segment"] is not None):
+                            continue
+                        rows.append(record)
+                        held += len(record["block"])
+                        if held > 4 << 20:
+                            yield packed(rows)
+                            rows, held = [], 0
+                if rows:
+                    yield packed(rows)
+
+    return run
+
+
+def read_records(archives: DataFrame, segmented: bool | None = None, per_task: int = 8) -> DataFrame:
+    """All records of the archives named in ``path``, one row each, with their raw block.
+
+    ``segmented``: only records in segments, or only records in one piece. The tasks open the
+    archives themselves, ``per_task`` each where there are many, so their names stay out of the driver.
+    """
+    n = archives.count()
+    least = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(n, max(least, -(-n // per_task))))
+    return archives.select("path").repartition(tasks).mapInArrow(_reader(segmented), RECORD_SCHEMA)
 
 
 def join_segments(segments: list[dict], total: int | None) -> bytes | None:
@@ -272,17 +289,17 @@ def _joined(segments: pa.Array, total: pa.Array) -> pa.Array:
     return pa.array([join_segments(s.as_py(), t.as_py()) for s, t in zip(segments, total, strict=True)], pa.binary())
 
 
-def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Per page: ``record_id, record_type, page_id, refers_to, digest, payload, stated, valid``.
+def read_pages(archives: DataFrame) -> DataFrame:
+    """Per page of the archives named in ``path``:
+    ``record_id, record_type, page_id, refers_to, digest, payload, stated, valid``.
 
     ``payload`` is null for revisits, whose length is ``stated`` in their HTTP header.
     """
-    records = read_records(spark, paths)
     head = ["record_id", "record_type", "page_id", "refers_to", "digest"]
-    whole = records.filter(F.col("segment").isNull()).select(*head, "block")
+    whole = read_records(archives, segmented=False).select(*head, "block")
     key = F.when(F.col("record_type") == "continuation", F.col("origin")).otherwise(F.col("record_id"))
     first = F.col("record_type") != "continuation"
-    parts = records.filter(F.col("segment").isNotNull()).groupBy(key.alias("record_id"))
+    parts = read_records(archives, segmented=True).groupBy(key.alias("record_id"))
     parts = parts.agg(
         *[F.max(F.when(first, F.col(c))).alias(c) for c in head[1:]],
         F.max("total").alias("_total"),
@@ -294,7 +311,3 @@ def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
     payload = F.when(~revisit, F.col("_d.payload"))
     valid = F.coalesce(F.when(revisit, F.col("_d.stated").isNotNull()).otherwise(F.sha1(payload) == F.col("digest")), F.lit(False))
     return pages.select(*head, payload.alias("payload"), F.col("_d.stated").alias("stated"), valid.alias("valid"))
-
-
-def archive_paths(archives: DataFrame) -> list[str]:
-    return [row["path"] for row in archives.select("path").toLocalIterator()]

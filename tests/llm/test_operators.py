@@ -182,7 +182,7 @@ def test_archives_round_trip(spark):
     rows += [(5, "u", None), (6, "u", ""), (None, "n", big), (7, "http://c/", "WARC/1.1\r\n\r\n" * 200)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_id", F.lit("x"))
     archives = warc.write_archives(pages, segment_bytes=1000, chunk_bytes=300, archive_bytes=4000)
-    got = warc.read_pages(spark, warc.archive_paths(archives)).collect()
+    got = warc.read_pages(archives).collect()
     assert len(got) == len(rows) and all(r["valid"] for r in got)
     by_id = {int(r["page_id"]) if r["page_id"] else None: r for r in got}
     for i, _, html in rows:
@@ -206,7 +206,22 @@ def test_broken_segments_are_told():
 
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.read_pages(spark, warc.archive_paths(warc.write_archives(pages))).count() == 0
+    assert warc.read_pages(warc.write_archives(pages)).count() == 0
+
+
+def test_plain_archive_and_kinds_of_records(spark, tmp_path):
+    import gzip
+
+    big = b"ab" * 900
+    records = warc.records_of("a", 1, "u", big, hashlib.sha1(big).hexdigest(), None, 500, 100)
+    records += warc.records_of("b", 2, "u", b"x", hashlib.sha1(b"x").hexdigest(), None, 500, 100)
+    path = tmp_path / "plain.warc"
+    path.write_bytes(b"".join(gzip.decompress(r) for r in records))
+    archives = spark.createDataFrame([(path.as_uri(),)], "path string")
+    assert warc.read_records(archives).count() == len(records)
+    assert warc.read_records(archives, segmented=False).count() == 1
+    got = {r["page_id"]: r for r in warc.read_pages(archives).collect()}
+    assert got["1"]["payload"] == big and got["2"]["payload"] == b"x" and all(r["valid"] for r in got.values())
 
 
 # URL rules
