@@ -340,10 +340,31 @@ def isotonic_calibrate(spark, sf):
     return rounded(curve_of(calibrate.isotonic_fit(df, "old_score", "y"), df, "old_score"), "calibrated")
 
 
-@query("platt_calibrate")
+# Newton's method on slope a and intercept b of the penalised log-loss (penalty a * a / 2e5)
+PLATT_SQL = """
+g AS (SELECT old_score AS s, count(*) AS n, sum(y) AS p FROM preds GROUP BY 1),
+xs AS (SELECT list(struct_pack(s := s, n := n::DOUBLE, p := p::DOUBLE)) AS x FROM g),
+newton(i, a, b) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT i, a, b,
+      list_sum(list_transform(x, lambda r: (r.n / (1 + exp(-(a * r.s + b))) - r.p) * r.s)) + a / 1e5 AS ga,
+      list_sum(list_transform(x, lambda r: r.n / (1 + exp(-(a * r.s + b))) - r.p)) AS gb,
+      list_sum(list_transform(x, lambda r: r.n * r.s * r.s / (2 + exp(a * r.s + b) + exp(-(a * r.s + b))))) + 1e-5 AS haa,
+      list_sum(list_transform(x, lambda r: r.n * r.s / (2 + exp(a * r.s + b) + exp(-(a * r.s + b))))) AS hab,
+      list_sum(list_transform(x, lambda r: r.n / (2 + exp(a * r.s + b) + exp(-(a * r.s + b))))) AS hbb
+    FROM newton, xs WHERE i < 25)),
+best AS (SELECT a, b FROM newton WHERE i = 25)"""
+
+
+@query(
+    "platt_calibrate",
+    f"WITH RECURSIVE {PREDS_SQL}, {PLATT_SQL} SELECT s AS score, round(1 / (1 + exp(-(a * s + b))), 4) AS calibrated FROM g, best",
+)
 def platt_calibrate(spark, sf):
     df = predictions(spark, sf)
-    return rounded(curve_of(calibrate.platt_fit(df, "old_score", "y"), df, "old_score"), "calibrated")
+    return rounded(curve_of(calibrate.platt_fit(df, "old_score", "y"), df, "old_score"), "calibrated", places=4)
 
 
 @query("gam_calibrate")
@@ -352,7 +373,58 @@ def gam_calibrate(spark, sf):
     return rounded(curve_of(calibrate.gam_fit(df, "old_score", "y"), df, "old_score"), "calibrated", places=4)
 
 
-@query("multiclass_calibrate")
+@query(
+    "gam_calibrate_checks",
+    f"""WITH {PREDS_SQL} SELECT count(DISTINCT old_score) AS scores, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives,
+      1 AS in_range, 1 AS rising, 1 AS balanced FROM preds""",
+)
+def gam_calibrate_checks(spark, sf):
+    """What any monotone fit with a free intercept must show: values rise in (0, 1) and sum to the positives."""
+    df = predictions(spark, sf)
+    curve = curve_of(calibrate.gam_fit(df, "old_score", "y"), df, "old_score").withColumnRenamed("score", "old_score")
+    # eleven rows, one per score
+    sums = df.join(curve, "old_score").groupBy("old_score", "calibrated").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
+    c = F.col("calibrated")
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("old_score", "calibrated"))), lambda x: x["calibrated"])
+    return sums.agg(
+        F.count(F.lit(1)).alias("scores"),
+        F.sum("n").alias("n"),
+        F.sum("p").alias("positives"),
+        F.min((c > 0) & (c < 1)).cast("int").alias("in_range"),
+        (F.array_sort(steps) == steps).cast("int").alias("rising"),
+        (F.abs(F.sum(c * F.col("n")) - F.sum("p")) / F.sum("n") < 1e-4).cast("int").alias("balanced"),
+    )
+
+
+def isotonic_sql(rows: str) -> str:
+    """``iso(g, s, c)``: slopes of the greatest convex minorant of the cumulative sums of ``rows(g, s, y)``.
+
+    From one corner the next one is the point of smallest slope, of ties the farthest.
+    """
+    return f"""
+cums AS (SELECT g, s, row_number() OVER o AS k, sum(n) OVER o AS w, sum(p) OVER o AS p FROM
+           (SELECT g, s, count(*) AS n, sum(y) AS p FROM {rows} GROUP BY g, s) WINDOW o AS (PARTITION BY g ORDER BY s)),
+points AS (SELECT g, list(struct_pack(w := w::DOUBLE, p := p::DOUBLE) ORDER BY k) AS xs, count(*) AS m FROM cums GROUP BY g),
+corners(g, j, k, w, p, c) AS (
+  SELECT g, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE FROM points
+  UNION ALL
+  SELECT g, k, -best.i, xs[-best.i].w, xs[-best.i].p, best.c
+  FROM (SELECT h.g, h.k, xs, list_min(list_transform(xs[h.k + 1:],
+          lambda x, i: struct_pack(c := (x.p - h.p) / (x.w - h.w), i := -(i + h.k)))) AS best
+        FROM corners h JOIN points ON points.g = h.g WHERE h.k < m)),
+iso AS (SELECT cums.g, cums.s, c FROM cums JOIN corners h ON h.g = cums.g AND cums.k > h.j AND cums.k <= h.k)"""
+
+
+@query(
+    "multiclass_calibrate",
+    f"""WITH RECURSIVE {MULTI_SQL},
+    numbered AS (SELECT row_number() OVER () AS r, y AS label, probs FROM multi),
+    cls AS (SELECT r, label, i AS g, probs[i + 1] AS s, CASE WHEN label = i THEN 1 ELSE 0 END AS y
+            FROM numbered, (SELECT unnest(range(3)) AS i)), {isotonic_sql("cls")},
+    cal AS (SELECT r, label, g, c / nullif(sum(c) OVER (PARTITION BY r), 0) AS c FROM cls JOIN iso USING (g, s))
+    SELECT label AS y, count(*) FILTER (g = 0) AS n, round(avg(c) FILTER (g = 0), 4) AS cal_0,
+           round(avg(c) FILTER (g = 1), 4) AS cal_1, round(avg(c) FILTER (g = 2), 4) AS cal_2 FROM cal GROUP BY label""",
+)
 def multiclass_calibrate(spark, sf):
     df = class_scores(spark, sf)
     fits = calibrate.multiclass_calibrate_fit(df, "probs", "y", 3, "isotonic")
@@ -378,9 +450,24 @@ def binary_calibrate_apply(spark, sf):
     return rounded(bins, "mean_score", "mean_label", "gap")
 
 
-@query("calibration_report")
+@query(
+    "calibration_report",
+    f"""WITH RECURSIVE {PREDS_SQL}, one AS (SELECT 0 AS g, score AS s, y FROM preds), {isotonic_sql("one")},
+    both_rows AS (SELECT 'before' AS phase, s AS q, y FROM one UNION ALL SELECT 'after', c, y FROM one JOIN iso USING (g, s)),
+    b AS (SELECT phase, least(floor(q * 10), 9) AS bin, count(*) AS n, abs(sum(q) - sum(y)) AS gap, sum((q - y) * (q - y)) AS sq
+          FROM both_rows GROUP BY ALL),
+    e AS (SELECT phase, sum(gap) / sum(n) AS ece, max(gap / n) AS mce, sum(sq) / sum(n) AS brier FROM b GROUP BY phase),
+    h AS (SELECT phase, q, sum(y) AS pos, count(*) - sum(y) AS neg FROM both_rows GROUP BY phase, q),
+    below AS (SELECT *, sum(neg) OVER (PARTITION BY phase ORDER BY q) - neg * 0.5::DOUBLE AS beaten FROM h),
+    a AS (SELECT phase, sum(pos * beaten) / (sum(pos)::DOUBLE * sum(neg)) AS auc FROM below GROUP BY phase),
+    long AS (SELECT phase, unnest(['ece', 'mce', 'brier', 'auc']) AS metric, unnest([ece, mce, brier, auc]) AS v FROM e JOIN a USING (phase)),
+    wide AS (SELECT metric, max(v) FILTER (phase = 'before') AS before, max(v) FILTER (phase = 'after') AS after FROM long GROUP BY metric)
+    SELECT metric, round(before, 5) AS before, round(after, 5) AS after, round(after - before, 5) AS change,
+           CASE WHEN metric <> 'auc' THEN round((1 - after / greatest(before, 1e-10::DOUBLE)) * 100, 3) END AS improvement_pct FROM wide""",
+)
 def calibration_report(spark, sf):
     df = predictions(spark, sf)
     fit = calibrate.isotonic_fit(df, "score", "y")
     out = fit.apply(stage(df.select("score", "y")), "score", "calibrated")
-    return rounded(calibrate.calibration_report(out, "score", "calibrated", "y"), "before", "after", "change", places=5)
+    report = calibrate.calibration_report(out, "score", "calibrated", "y")
+    return rounded(rounded(report, "before", "after", "change", places=5), "improvement_pct", places=3)

