@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import curves, quality, risk, split
+from riskloom.operators import calibrate, curves, quality, risk, split
 from riskloom.plans.cutoffs import hash_fraction
 from riskloom.plans.prefix import ordered_index, running_totals
 from riskloom.plans.quantiles import exact_quantiles
@@ -144,3 +144,27 @@ def test_large_lookup_is_not_broadcast(spark):
         assert out.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("rows_per_task", [64, 1 << 18])
+def test_isotonic_pools_by_ranges_with_a_score_per_row(spark, rows_per_task):
+    rng = np.random.default_rng(4)
+    scores = rng.permutation(3000) / 3000.0
+    labels = (rng.random(3000) < scores).astype(int)
+    df = spark.createDataFrame(list(zip(scores.tolist(), labels.tolist())) + [(None, 1), (float("nan"), 1), (0.5, None)], "s double, y int")
+    blocks = calibrate.pooled_blocks(calibrate.score_weights(df, "s", "y"), rows_per_task)
+    assert blocks.count() < 600 and blocks.agg(F.sum("n")).first()[0] == 3000
+
+    order = np.argsort(scores)
+    means, sizes = [], []
+    for y in labels[order].astype(float):
+        means.append(y)
+        sizes.append(1)
+        while len(means) > 1 and means[-2] >= means[-1]:
+            y, n = means.pop(), sizes.pop()
+            means[-1] = (means[-1] * sizes[-1] + y * n) / (sizes[-1] + n)
+            sizes[-1] += n
+    want = np.repeat(means, sizes)
+    fit = calibrate.isotonic_fit(df, "s", "y", rows_per_task)
+    got = fit.apply(df.filter("s is not null and not isnan(s) and y is not null"), "s", "c").orderBy("s").toPandas()["c"]
+    assert np.allclose(got, want)
