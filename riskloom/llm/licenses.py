@@ -12,10 +12,11 @@ rows) learns the families and an "unknown" class:
 
 A part of the training units is kept aside to calibrate the unknown class: a temperature is
 fitted to the log-loss, and the least probability of a family is set so that no more than
-``false_rate`` of the unknown units kept aside pass. A prediction then has to be confirmed by
-comparison with the family's templates (share of a template's pairs found in the unit); if it is
-not, the unit is unknown. After a find, its template's features are removed and the unit is
-judged again, so one unit may hold several licences.
+``false_rate`` of the unknown units kept aside pass. In a window, every span of words that holds
+enough of a template (share of its pairs and triples) is classified by its own features, the
+fullest first, and counts if the classifier names that template's family. A find takes its
+features away in its span only, and a span that is refused leaves the others as they are, so one
+unit may hold several licences, cut ones beside whole ones too.
 
 A unit without any template pair has no features; it is unknown by training, and skipped.
 Null and empty texts hold no licence. Repeated rows give repeated results. With no documents at
@@ -24,7 +25,8 @@ all the model still has the templates. Other columns are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +79,8 @@ TEMPLATES = {
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 UNKNOWN = "unknown"
+#: place of the first word, and the pair or triple
+Hit = tuple[int, bytes]
 WINDOW = 64
 _PLAIN = bytes(b if chr(b).isalnum() or b in b"\n" or b > 127 else 32 for b in range(256))
 
@@ -108,27 +112,76 @@ class LicenseModel:
     temperature: float = 1.0
     least: float = 0.5
     coverage: float = 0.75
+    follow: dict[bytes, set[bytes]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for a, b in (g.split(b" ") for g in self.vocabulary if g.count(b" ") == 1):
+            self.follow.setdefault(a, set()).add(b)
 
     def probabilities(self, indices: set[int]) -> np.ndarray:
         z = (self.intercept + self.weights[:, sorted(indices)].sum(axis=1)) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def judge(self, words: list[bytes]) -> list[tuple[str, float]]:
-        """The confirmed families of a unit with their probabilities."""
-        have = {g for g in grams(words) if g in self.vocabulary}
-        out: list[tuple[str, float]] = []
-        while have:
-            p = self.probabilities({self.vocabulary[g] for g in have})
-            best = int(np.argmax(p))
-            if self.names[best] == UNKNOWN or p[best] < self.least:
-                break
-            share, template = max((len(t & have) / len(t), len(t), t) for k, t in self.templates if k == best)[::2]
-            if share < self.coverage:
-                break
-            out.append((self.names[best], float(p[best])))
-            have -= template
-        return out
+    def candidates(self, hits: list[Hit], barred: set[tuple[int, Hit]]) -> Iterator[tuple[tuple[bool, int, int, int], list[Hit]]]:
+        """Rank and features of the fullest span of every template that has one with enough of it.
+
+        A span is close if it is no longer than one and a half templates; a wider one counts
+        where there is no close one. Of spans that hold as much, the shortest is taken.
+        """
+        for number, (_, template) in enumerate(self.templates):
+            own = [h for h in hits if h[1] in template and (number, h) not in barred]
+            if len({g for _, g in own}) < self.coverage * len(template):
+                continue
+            for close in (True, False):
+                reach = len(template) * 3 // 4 + 3 if close else WINDOW
+                best, span = (0, 0), own
+                for at, (start, _) in enumerate(own):
+                    inside: set[bytes] = set()
+                    end = at
+                    for k in range(at, len(own)):
+                        if own[k][0] >= start + reach:
+                            break
+                        if own[k][1] not in inside:
+                            inside.add(own[k][1])
+                            end = k
+                    if (len(inside), start - own[end][0]) > best or not best[0]:
+                        best, span = (len(inside), start - own[end][0]), own[at : end + 1]
+                if best[0] >= self.coverage * len(template):
+                    yield (close, best[0], -len(template), -number), span
+                    break
+
+    def notices(self, words: list[bytes]) -> list[tuple[int, str, float]]:
+        """Place of the first word, family and probability of every confirmed notice.
+
+        A window owns the notices that begin in its first half. The fullest span is judged
+        first, by the features that lie in it. Confirmed, its template's features are taken away
+        there and nowhere else; refused, they are barred for that template only. So the rest is
+        judged whatever became of a notice beside it, until no template has enough features.
+        """
+        half = WINDOW // 2
+        hits: dict[int, list[Hit]] = {}
+        for k, (a, b) in enumerate(zip(words, words[1:], strict=False)):
+            if a in self.follow and b in self.follow[a]:
+                block = hits.setdefault(k // half, [])
+                block += [(k, g) for g in (a + b" " + b, b" ".join(words[k : k + 3])) if g in self.vocabulary]
+        out: list[tuple[int, str, float]] = []
+        claimed: set[Hit] = set()
+        for block in sorted(hits):
+            rest = [h for b in (block, block + 1) for h in dict.fromkeys(hits.get(b, ())) if h not in claimed]
+            barred: set[tuple[int, Hit]] = set()
+            while found := max(self.candidates(rest, barred), default=None):
+                (_, _, _, number), span = found
+                family, start, end = self.templates[-number][0], span[0][0], span[-1][0]
+                p = self.probabilities({self.vocabulary[g] for k, g in rest if start <= k <= end})
+                if int(np.argmax(p)) != family or p[family] < self.least:
+                    barred |= {(-number, h) for h in span}
+                    continue
+                rest = [h for h in rest if h not in set(span)]
+                if start // half == block:
+                    claimed |= set(span)
+                    out.append((start, self.names[family], float(p[family])))
+        return sorted(out)
 
 
 def _units(name: int, text: str, filler: list[bytes], rng: np.random.Generator, times: int) -> list[tuple[int, list[bytes]]]:
@@ -202,21 +255,15 @@ def train(
     return model
 
 
-def find(text: bytes, model: LicenseModel, starts: frozenset[bytes]) -> list[tuple[int, str, float]]:
-    """(line, family, probability) of every confirmed notice of a text."""
+def find(text: bytes, model: LicenseModel) -> list[tuple[int, str, float]]:
+    """(line, family, probability) of every confirmed notice of a text, once per line and family."""
     out: list[tuple[int, str, float]] = []
     for number, line in enumerate(text.translate(_PLAIN).lower().split(b"\n")):
-        words = line.split()
-        at = [k for k, pair in enumerate(zip(words, words[1:], strict=False)) if b" ".join(pair) in starts]
-        if not at:
-            continue
         seen: set[str] = set()
-        for start, unit in windows(words):
-            if any(start <= k < start + WINDOW for k in at):
-                for name, p in model.judge(unit):
-                    if name not in seen:
-                        seen.add(name)
-                        out.append((number, name, p))
+        for _, name, p in model.notices(line.split()):
+            if name not in seen:
+                seen.add(name)
+                out.append((number, name, p))
     return out
 
 
@@ -227,11 +274,10 @@ FOUND_TYPE = pa.list_(pa.struct([("line", pa.int32()), ("license", pa.string()),
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **training: float) -> DataFrame:
     """Per row: id and ``found``, the notices of the whole text with line number, family and probability."""
     model = train(docs.sparkSession, docs, id_col, text_col, **training)
-    starts = frozenset(g for g in model.vocabulary if g.count(b" ") == 1)
 
     @F.arrow_udf(FOUND)
     def scan(texts: pa.Array) -> pa.Array:
         keys = ("line", "license", "probability")
-        return pa.array([[dict(zip(keys, f, strict=True)) for f in find(t, model, starts)] for t in text_bytes(texts)], FOUND_TYPE)
+        return pa.array([[dict(zip(keys, f, strict=True)) for f in find(t, model)] for t in text_bytes(texts)], FOUND_TYPE)
 
     return docs.select(F.col(id_col), scan(F.col(text_col).cast("string")).alias("found"))

@@ -452,3 +452,32 @@ def test_licenses(spark, awkward, empty):
     assert got[7] == [(0, "cc-by-nc-4.0")] and got[8] == [(0, "cc-by-sa-4.0")]
     assert all(r["found"] == [] for r in licenses.license_scan(awkward).collect())
     assert licenses.license_scan(empty).count() == 0
+
+
+APACHE = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+GPL3 = "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"
+
+
+def scanned(spark, texts):
+    """Per text its notices: line and family."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.license_scan(docs).collect()
+    return [[(f["line"], f["license"]) for f in r["found"]] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_licenses_beside_each_other(spark):
+    cut = " ".join(MIT.split()[:13])
+    two = "This work is licensed under the GNU General Public License, version {}."
+    expected = {
+        cut: [],
+        f"{cut} Licensed under the ISC License.": ["isc"],
+        f"Licensed under the ISC License. {cut}": ["isc"],
+        f"{' '.join(GPL3.split()[6:])}. All rights reserved.": ["all-rights-reserved"],
+        "Licensed under the MIT License. Licensed under the BSD License.": ["bsd", "mit"],
+        "Licensed under the MIT License or licensed under the Apache License, Version 2.0.": ["apache-2.0", "mit"],
+        two.format(2) + " " + two.format(3): ["gpl-2.0", "gpl-3.0"],
+    }
+    expected |= {"word " * at + f"{APACHE} {GPL3} {MIT}": ["apache-2.0", "gpl-3.0", "mit"] for at in range(0, 80, 3)}
+    got = scanned(spark, expected)
+    assert {t: sorted(name for _, name in f) for t, f in zip(expected, got, strict=True)} == expected
