@@ -1,7 +1,9 @@
 """Licence scan by a trained paragraph classifier.
 
-Units are windows of ``WINDOW`` words of a line, half overlapping, so that a notice inside a
-long line is seen whole; every line of every text is covered. Features are the word pairs and
+Units are windows of ``WINDOW`` words of a paragraph, half overlapping, so that a notice is seen
+whole wherever it begins and however it is wrapped; every paragraph of every text is covered. A
+paragraph is a run of lines up to one without a word (blank, or signs only); a notice that goes
+on after such a line is two. A notice's line is that of its first word. Features are the word pairs and
 triples that occur in the templates. A multinomial logistic regression (Spark ML, on sparse
 rows) learns the families and an "unknown" class:
 
@@ -25,6 +27,8 @@ all the model still has the templates. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -89,6 +93,22 @@ def words_of(line: bytes) -> list[bytes]:
     return line.translate(_PLAIN).lower().split()
 
 
+def paragraphs(text: bytes) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
+    """Words of every run of lines up to one without words; and per line the place after its last word, and its number."""
+    words: list[bytes] = []
+    ends: list[tuple[int, int]] = []
+    for number, line in enumerate(text.translate(_PLAIN).lower().split(b"\n")):
+        own = line.split()
+        if own:
+            words += own
+            ends.append((len(words), number))
+        elif words:
+            yield words, ends
+            words, ends = [], []
+    if words:
+        yield words, ends
+
+
 def grams(words: list[bytes]) -> list[bytes]:
     """Word pairs and triples."""
     pairs = [b" ".join(p) for p in zip(words, words[1:], strict=False)]
@@ -96,7 +116,7 @@ def grams(words: list[bytes]) -> list[bytes]:
 
 
 def windows(words: list[bytes]) -> list[tuple[int, list[bytes]]]:
-    """Start and words of the windows of a line."""
+    """Start and words of the windows of a paragraph."""
     if len(words) <= WINDOW:
         return [(0, words)]
     return [(at, words[at : at + WINDOW]) for at in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
@@ -200,7 +220,7 @@ def training_units(sample: list[bytes], times: int = 24, seed: int = 7) -> tuple
     rng = np.random.default_rng(seed)
     names = [*sorted(TEMPLATES), UNKNOWN]
     unknown = len(names) - 1
-    lines = [w for text in sample for line in text.split(b"\n") for _, w in windows(words_of(line)) if w]
+    lines = [w for text in sample for words, _ in paragraphs(text) for _, w in windows(words)]
     known = {g for texts in TEMPLATES.values() for t in texts for g in grams(words_of(t.encode()))}
     filler = [w for line in lines[:2000] for w in line[:20]]
     units = [u for k, name in enumerate(names[:-1]) for t in TEMPLATES[name] for u in _units(k, t, filler, rng, times)]
@@ -256,13 +276,14 @@ def train(
 
 
 def find(text: bytes, model: LicenseModel) -> list[tuple[int, str, float]]:
-    """(line, family, probability) of every confirmed notice of a text, once per line and family."""
+    """(line of the first word, family, probability) of every confirmed notice of a text, once per line and family."""
     out: list[tuple[int, str, float]] = []
-    for number, line in enumerate(text.translate(_PLAIN).lower().split(b"\n")):
-        seen: set[str] = set()
-        for _, name, p in model.notices(line.split()):
-            if name not in seen:
-                seen.add(name)
+    for words, ends in paragraphs(text):
+        seen: set[tuple[int, str]] = set()
+        for place, name, p in model.notices(words):
+            number = ends[bisect_right(ends, (place, math.inf))][1]
+            if (number, name) not in seen:
+                seen.add((number, name))
                 out.append((number, name, p))
     return out
 

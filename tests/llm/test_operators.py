@@ -1,6 +1,7 @@
 """Operators against brute-force versions, on small tables with awkward rows."""
 
 import hashlib
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -481,3 +482,19 @@ def test_licenses_beside_each_other(spark):
     expected |= {"word " * at + f"{APACHE} {GPL3} {MIT}": ["apache-2.0", "gpl-3.0", "mit"] for at in range(0, 80, 3)}
     got = scanned(spark, expected)
     assert {t: sorted(name for _, name in f) for t, f in zip(expected, got, strict=True)} == expected
+
+
+def test_licenses_wrapped(spark):
+    def wrapped(text, width, lead="", end="\n"):
+        return end.join(lead + line for line in textwrap.wrap(text, width))
+
+    expected = {f"Title\n\n{wrapped(t, w, lead, end)}\n\nmore words": [(2, name)]
+                for t, name in ((MIT, "mit"), (GPL3, "gpl-3.0"), (APACHE, "apache-2.0"))
+                for w in (20, 40, 72) for lead, end in (("", "\n"), (" * ", "\r\n"), ("# ", "\n"))}
+    filler = "\n".join("some words on a line" for _ in range(30))
+    expected |= {
+        f"{filler}\n{wrapped(MIT, 30)}\n{filler}\n{wrapped(GPL3, 30)}\n{wrapped(MIT, 30)}": [(30, "mit"), (65, "gpl-3.0"), (69, "mit")],
+        "All rights reserved.\nAll rights reserved.\n\nAll rights\nreserved.": [(k, "all-rights-reserved") for k in (0, 1, 3)],
+        "All rights\n\nreserved.": [],
+    }
+    assert dict(zip(expected, scanned(spark, expected), strict=True)) == expected
