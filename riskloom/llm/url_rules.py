@@ -1,11 +1,11 @@
 """URL filter: explicit host and path rules, and token rules mined by FP-growth.
 
-A URL's tokens are its host labels, its path segments' words and its scheme. Spark's FP-growth
+A URL's tokens are its scheme, its host labels, and the words of path, query and fragment. Spark's FP-growth
 mines, from labelled URLs, token combinations that go with the label "block"; rules stay if
 their support, confidence and lift are high enough and no rule with fewer tokens is as
 confident. A rule is filed in an inverted index under its rarest token. URLs meet the index by
-their tokens, and a rule matches when all its tokens are there. Only distinct hosts and paths
-are matched, so a hot host costs one row per path.
+their tokens, and a rule matches when all its tokens are there. Only distinct URLs
+are matched, so a page that is met often costs one row.
 
 Null URLs and URLs without ``://`` have an empty host and path and no tokens; they are allowed.
 Labels of null ids, and null labels, teach nothing; with no labels there are no mined rules.
@@ -48,11 +48,26 @@ def listed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = R
     return found, verdict
 
 
-def tokens(host: Column, path: Column) -> Column:
-    """Distinct host labels and path words, marked by where they stand."""
-    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
-    words = F.transform(F.split(F.lower(path), r"[^\p{L}\p{N}]+"), lambda x: F.concat(F.lit("p:"), x))
-    return F.array_distinct(F.filter(F.concat(labels, words), lambda x: F.length(x) > 2))
+def tokens(url: Column) -> Column:
+    """Distinct scheme, host labels, and words of path, query and fragment, marked by where they stand.
+
+    The fragment is what follows the first ``#`` after the scheme, the query what stands between
+    the first ``?`` and it.
+    """
+    at = F.coalesce(F.instr(url, "://"), F.lit(0))
+    scheme = F.when(at > 0, ascii_lower(F.substring(url, F.lit(1), at - 1)))
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+    host, path = host_and_path(url)
+    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+    fragment = F.regexp_extract(rest, r"^[^#]*#([\s\S]*)", 1)
+
+    def marked(mark: str, words: Column) -> Column:
+        return F.transform(words, lambda x: F.concat(F.lit(mark), x))
+
+    found = [marked("s:", F.array(F.coalesce(scheme, F.lit("")))), marked("h:", F.split(host, r"\."))]
+    for mark, text in (("p:", path), ("q:", query), ("f:", fragment)):
+        found.append(marked(mark, F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")))
+    return F.array_distinct(F.filter(F.concat(*found), lambda x: F.length(x) > 2))
 
 
 def mine_rules(
@@ -68,11 +83,14 @@ def mine_rules(
     n = baskets.count()
     if n < min_count:
         return spark.createDataFrame([], "tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(
-        (F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK) & (F.coalesce("lift", F.lit(0.0)) >= min_lift)
-    )
-    rules = stage(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n)).fit(baskets)
+    # only rules for "block" are wanted: a combination with it over the same one without it
+    sets = stage(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "sets")
+    both = sets.filter(F.array_contains("items", BLOCK)).select(F.array_remove("items", BLOCK).alias("tokens"), F.col("freq").alias("_both"))
+    alone = sets.filter(~F.array_contains("items", BLOCK)).select(F.col("items").alias("tokens"), "freq")
+    confidence, blocked = F.col("_both") / F.col("freq"), baskets.filter(F.array_contains("items", BLOCK)).count()
+    rules = both.join(alone, "tokens").filter((confidence >= min_confidence) & (confidence * n >= min_lift * blocked))
+    rules = stage(rules.select("tokens", confidence.alias("confidence"), (F.col("_both") / n).alias("support")), "rules")
     # drop a rule if one with fewer of its tokens is as confident: look its parts up, one token left out at a time
     part = F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part")
     parts = rules.select("tokens", "confidence", part)
@@ -106,21 +124,21 @@ def judge(
     with its id says quality 0 or toxic 1, "allow" when it says neither.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
-    rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
-    urls = stage(rows.select("host", "path").distinct().withColumn("_tokens", tokens(F.col("host"), F.col("path"))), "urls")
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), host.alias("host"), path.alias("path"))
+    urls = stage(rows.select("_url").distinct().withColumn("_tokens", tokens(F.col("_url"))), "urls")
 
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     known = labels.filter(F.coalesce("quality", "toxic").isNotNull()).groupBy(F.col(label_id).alias("_id"))
     known = known.agg(F.max(bad).alias("_block"))
-    labelled = rows.join(known, "_id").withColumn("_tokens", tokens(F.col("host"), F.col("path")))
+    labelled = rows.join(known, "_id").withColumn("_tokens", tokens(F.col("_url")))
     index = inverted_index(mine_rules(labelled, **mining), urls)
 
-    met = urls.select("host", "path", "_tokens", F.explode("_tokens").alias("token")).join(index, "token")
+    met = urls.select("_url", "_tokens", F.explode("_tokens").alias("token")).join(index, "token")
     matched = met.filter(F.size(F.array_except("tokens", "_tokens")) == 0)
-    mined = stage(matched.groupBy("host", "path").agg(F.max("confidence").alias("confidence")), "matched")
+    mined = stage(matched.groupBy("_url").agg(F.max("confidence").alias("confidence")), "matched")
 
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
     learnt = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
-    return rows.join(mined, ["host", "path"], "left").select(
+    return rows.join(mined, "_url", "left").select(
         F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, learnt).alias("verdict"), "confidence"
     )

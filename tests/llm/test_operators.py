@@ -260,6 +260,14 @@ def test_mined_rules_need_their_tokens(spark):
     assert [int(got[u][3] == "block") for u in urls] == bad
 
 
+def test_mined_rules_see_scheme_query_and_fragment(spark):
+    for bad, good in (("http://a.com/x?ref=spam&n={}", "http://a.com/x?ref=home&n={}"), ("HTTP://a.com/x?n={}", "https://a.com/x?n={}"),
+                      ("http://a.com/x?n={}#Ad", "http://a.com/x?n={}#top?ad")):
+        urls = [(bad, good)[i % 2].format(i) for i in range(120)]
+        got = judged(spark, urls, [(i, i % 2, 0) for i in range(100)], min_confidence=0.9)
+        assert [got[u][3] for u in urls] == ["block", "allow"] * 60
+
+
 # weighted sampling
 
 
