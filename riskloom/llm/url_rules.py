@@ -2,8 +2,8 @@
 
 A URL's tokens are its scheme, its host labels, and the words of path, query and fragment. Spark's FP-growth
 mines, from labelled URLs, token combinations that go with the label "block"; rules stay if
-their support, confidence and lift are high enough and no rule with fewer tokens is as
-confident. A rule is filed in an inverted index under its rarest token. URLs meet the index by
+enough blocked URLs have them and their confidence is high enough, and if no rule with fewer
+tokens is as confident. A rule is filed in an inverted index under its rarest token. URLs meet the index by
 their tokens, and a rule matches when all its tokens are there. Only distinct URLs
 are matched, so a page that is met often costs one row.
 
@@ -70,12 +70,10 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(*found), lambda x: F.length(x) > 2))
 
 
-def mine_rules(
-    labelled: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.5, min_lift: float = 1.5
-) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_count: int = 20, min_confidence: float = 0.5) -> DataFrame:
     """``tokens, confidence, support`` of the rules for "block" from ``_tokens, _block`` rows.
 
-    A combination needs ``min_support`` of the rows and at least ``min_count`` of them.
+    At least ``min_count`` blocked rows have the tokens of a rule, however many rows there are.
     """
     spark = labelled.sparkSession
     items = F.when(F.col("_block"), F.array_append("_tokens", F.lit(BLOCK))).otherwise(F.col("_tokens"))
@@ -83,13 +81,14 @@ def mine_rules(
     n = baskets.count()
     if n < min_count:
         return spark.createDataFrame([], "tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n)).fit(baskets)
+    # the miner rounds up support times rows; half a row less keeps that at min_count
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n).fit(baskets)
     # only rules for "block" are wanted: a combination with it over the same one without it
     sets = stage(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "sets")
     both = sets.filter(F.array_contains("items", BLOCK)).select(F.array_remove("items", BLOCK).alias("tokens"), F.col("freq").alias("_both"))
     alone = sets.filter(~F.array_contains("items", BLOCK)).select(F.col("items").alias("tokens"), "freq")
-    confidence, blocked = F.col("_both") / F.col("freq"), baskets.filter(F.array_contains("items", BLOCK)).count()
-    rules = both.join(alone, "tokens").filter((confidence >= min_confidence) & (confidence * n >= min_lift * blocked))
+    confidence = F.col("_both") / F.col("freq")
+    rules = both.join(alone, "tokens").filter(confidence >= min_confidence)
     rules = stage(rules.select("tokens", confidence.alias("confidence"), (F.col("_both") / n).alias("support")), "rules")
     # drop a rule if one with fewer of its tokens is as confident: look its parts up, one token left out at a time
     part = F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part")

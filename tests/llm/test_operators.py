@@ -262,12 +262,27 @@ def test_mined_rules_need_their_tokens(spark):
 
 def test_mined_rules_see_scheme_query_and_fragment(spark):
     for bad, good in (("http://a.com/x?ref=spam&n={}", "http://a.com/x?ref=home&n={}"), ("HTTP://a.com/x?n={}", "https://a.com/x?n={}"),
-                      ("http://a.com/x?n={}#Ad", "http://a.com/x?n={}#top?ad")):
+                      ("http://a.com/x?n={}#Ad", "http://a.com/x?n={}#top?x")):
         urls = [(bad, good)[i % 2].format(i) for i in range(120)]
         got = judged(spark, urls, [(i, i % 2, 0) for i in range(100)], min_confidence=0.9)
         assert [got[u][3] for u in urls] == ["block", "allow"] * 60
 
 
+def test_mined_rules_where_most_are_blocked(spark):
+    urls = [f"http://a.com/{'news' if i % 10 == 0 else 'casino'}/" + f"?n={i}" for i in range(320)]
+    got = judged(spark, urls, [(i, int(i % 10 == 0), 0) for i in range(300)], min_confidence=0.95)
+    assert [got[u][3] for u in urls] == ["block" if "casino" in u else "allow" for u in urls]
+    # support is a count: 20 of 147 rows are enough (20 / 147 * 147 is more than 20), 19 are not
+    for bad in (20, 19):
+        urls = [f"http://a.com/{'casino' if i < bad else 'news'}/?n={i}" for i in range(147)]
+        got = judged(spark, urls, [(i, int(i >= bad), 0) for i in range(147)])
+        assert Counter(v[3] for v in got.values())["block"] == (bad if bad == 20 else 0)
+    # nor does a share of the rows count
+    rows = [(["p:casino"], True)] * 20 + [(["p:news"], False)] * 30_000
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "_tokens array<string>, _block boolean")).collect()
+    assert [(r["tokens"], r["confidence"]) for r in rules] == [(["p:casino"], 1.0)]
+
+
 # weighted sampling
 
 
