@@ -5,23 +5,27 @@ Each query applies its operator to the whole table and derives the result's colu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm import (
+    decontamination,
     exact_dedup,
     licenses,
     mixing,
     packing,
+    periodic_runs,
     quality_gam,
     simhash,
     token_scan,
     url_rules,
     warc,
     weighted_sampling,
+    zone_clustering,
 )
-from riskloom.llm.common import table
+from riskloom.llm.common import WORD, table
 
 
 def op1_pareto_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,6 +97,59 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_zone_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    found = zone_clustering.cluster(table(spark, sf, "embeddings"), k=40, rounds=5, seed="2")
+    each, total = zone_clustering.inertias(found)
+    rows = [
+        (i, each.get(i, 0), total, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest())
+        for i, c in enumerate(found.centroids)
+    ]
+    facts = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.assigned.join(F.broadcast(facts), "cluster")  # 40 rows
+
+
+def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), size=10)
+    n_hit = F.aggregate("passages", F.lit(0).cast("long"), lambda done, p: done + p["n_words"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Every document; the text of about one in ten becomes periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), 0)).alias("w"))
+    n, g = F.size("w").cast("long"), F.floor(F.col("h") / 10)
+    a = F.when(n > 0, g % n)
+    placed = words.withColumns({"a": a, "p": 1 + F.floor((n - a) / (3 + g % 8))})
+    periodic = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_periods(table(spark, sf, "documents")), min_length=6, min_exponent=4)
+    none = F.lit(None).cast(periodic_runs.RUN)
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate("runs", none, lambda done, r: F.when(done.isNull() | more(r, done), r).otherwise(done))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,10 +163,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_gam,
         op9_best_fit_packing,
         op10_license_scan,
+        op11_zone_clustering,
+        op12_decontamination,
+        op13_periodic_runs,
     )
 }
 
+def clustering_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The rounds written out one after the other; centroids as rows (c, i, x)."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, e
+  FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v ORDER BY h LIMIT {k}))"""
+    ]
+    distance = "list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.r, c.c, CAST({distance} AS BIGINT) AS d FROM v, c{n} c) GROUP BY r)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""m{n} AS MATERIALIZED (
+  SELECT c, list(x ORDER BY i) AS e
+  FROM (SELECT c, i, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS x
+        FROM (SELECT a{n}.c, unnest(range({dims})) AS i, unnest(v.e) AS x FROM a{n} JOIN v USING (r)) GROUP BY c, i) GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(m{n}.e, c{n}.e) AS e FROM c{n} LEFT JOIN m{n} USING (c))"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)"""
+
+
 ORACLE = {
+    "op11_zone_clustering": clustering_sql(),
+    "op12_decontamination": r"""
+WITH i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS b FROM i WHERE len(w) > 0),
+p AS (SELECT DISTINCT item, list_slice(w, b, b + 9) AS words FROM s),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+l AS (SELECT DISTINCT len(words) AS n FROM p),
+x AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS b FROM d JOIN l ON len(w) >= n),
+h AS (SELECT x.r, x.b, x.n, p.item FROM x JOIN d USING (r) JOIN p ON p.words = list_slice(d.w, x.b, x.b + x.n - 1)),
+hit AS (SELECT r, count(DISTINCT b) AS n_hit FROM (SELECT r, unnest(range(b, b + n)) AS b FROM h) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""",
     "op1_pareto_mix": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS m FROM documents),
