@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling.
 
 Terms are five-word shingles weighted by their number of occurrences. For every sample k and
-term, gamma variates r and c and a uniform b follow from the term's hash, and with weight w
+term, gamma variates r and c of shape 2 and a uniform b follow from hash bits, and with weight w
 
     t = floor(ln w / r + b),   ln a = ln c - r (t - b + 1)
 
@@ -9,10 +9,12 @@ the term of the smallest a is the sample, identified by the term and t. Two docu
 same sample with a probability equal to the generalised Jaccard similarity of their weights
 (sum of minima over sum of maxima), so the share of equal components estimates it.
 
-The variates come from a table of 65,536 triples addressed by the mixed hash; ``ln a`` of
-weight one is a table itself, so the common case costs a multiplication and a lookup, and only
-repeated terms take logarithms. Ties of a are broken by the mixed hash, consistently in all
-documents. A component is written as 16 bits, a document as ``samples`` components in hex.
+Every (term, sample) has variates of its own, drawn in an order that makes the common weight of
+one cheap. With w = 1, t is 0 and a is exponential of rate 1, so a increases with a uniform: the
+mixed hash itself is compared. Only repeated terms need the rest, drawn given a: r (1 - b) and
+r b are independent exponentials of rate 1, and given a the first is ln(1 + e / a) with another
+such exponential e, hence c = a + e. The a of a repeated term is turned back into the scale of
+hashes. A component is written as 16 bits, a document as ``samples`` components in hex.
 
 Documents are dealt to buckets by id ranges and sorted by falling id inside them, so texts are
 shuffled once; the first document of each bucket is also sent to the bucket before it, as the
@@ -34,29 +36,42 @@ from pyspark.sql import DataFrame, Window, functions as F
 from riskloom.llm.common import chunks, stage
 
 SHINGLE = 5
-TABLE_BITS = 16
-MASK32 = np.uint64(0xFFFFFFFF)
 NONE = 0xFFFF
 
 
+def _mix(h: np.ndarray, factor: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(factor)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    """Hashes as numbers above 0 and below 1."""
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
 class Sampler:
     """Signatures of ``samples`` components; the same seed gives the same signatures everywhere."""
 
     def __init__(self, samples: int = 128, seed: int = 42):
         rng = np.random.default_rng(seed)
-        size = 1 << TABLE_BITS
         self.samples = samples
-        self.r, self.ln_c, self.b = rng.gamma(2.0, 1.0, size), np.log(rng.gamma(2.0, 1.0, size)), rng.random(size)
-        self.single = self._ordered(self.ln_c - self.r * (1.0 - self.b))
         self.factor = rng.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = rng.integers(0, 1 << 63, samples, dtype=np.uint64)
         self.place = rng.integers(0, 1 << 63, SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.words: dict[bytes, int] = {}
 
     @staticmethod
-    def _ordered(ln_a: np.ndarray) -> np.ndarray:
-        """ln a as a whole number in the upper 32 bits, in the same order."""
-        return np.clip((ln_a + 64.0) * float(1 << 25), 0, float((1 << 32) - 1)).astype(np.uint64) << np.uint64(32)
+    def _heavy(mixed: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a in the scale of hashes, identity) of terms with weight e**ln_w."""
+        a = -np.log1p(-_uniform(mixed))
+        e, v = -np.log(_uniform(_mix(mixed, 0xD6E8FEB86659FD93))), -np.log(_uniform(_mix(mixed, 0xA0761D6478BD642F)))
+        r = np.log1p(e / a) + v
+        t = np.floor((ln_w + v) / r)
+        least = np.exp(np.log(a + e) - r * (t + 1.0) + v)
+        key = np.minimum(-np.expm1(-least) * 2.0**64, 2.0**64 - 2048.0).astype(np.uint64)
+        first = t == 0  # as with weight one
+        return np.where(first, mixed, key), np.where(first, mixed, _mix(mixed + t.astype(np.uint64), 0xE7037ED1A0B428DB))
 
     def _word_hashes(self, words: list[bytes]) -> np.ndarray:
         from xxhash import xxh64_intdigest
@@ -95,21 +110,21 @@ class Sampler:
         starts = np.concatenate(([0], np.cumsum([len(found[i][0]) for i in filled])))[:-1]
         heavy = np.flatnonzero(weights > 1)
         ln_w = np.log(weights[heavy])
+        owner = np.repeat(np.arange(len(filled)), np.diff(np.append(starts, len(hashes))))[heavy]
         best = np.empty((self.samples, len(filled)), dtype=np.uint64)
         for k in range(self.samples):
-            mixed = hashes * self.factor[k] + self.shift[k]
-            at = mixed >> np.uint64(64 - TABLE_BITS)
-            name = (mixed >> np.uint64(16)) & MASK32
-            key = self.single[at] | name
-            if len(heavy):
-                row = at[heavy]
-                r, b = self.r[row], self.b[row]
-                t = np.floor(ln_w / r + b)
-                name_t = (name[heavy] ^ (t.astype(np.uint64) * np.uint64(0x9E3779B1))) & MASK32
-                key[heavy] = self._ordered(self.ln_c[row] - r * (t - b + 1.0)) | name_t
-            best[k] = np.minimum.reduceat(key, starts)
-        # 16 of the name's 32 bits; the value that stands for "no terms" is never used
-        out[filled] = np.minimum(best.T & np.uint64(0xFFFF), np.uint64(NONE - 1)).astype(np.uint16)
+            key = hashes * self.factor[k]
+            key += self.shift[k]
+            if not len(heavy):
+                best[k] = np.minimum.reduceat(key, starts)
+                continue
+            key[heavy], identity = self._heavy(key[heavy], ln_w)
+            best[k] = least = np.minimum.reduceat(key, starts)
+            won = np.flatnonzero(key[heavy] == least[owner])
+            best[k][owner[won]] = identity[won]
+        best = _mix(best, 0xD6E8FEB86659FD93)
+        # 16 bits of the identity; the value that stands for "no terms" is never used
+        out[filled] = np.minimum(best.T >> np.uint64(48), np.uint64(NONE - 1)).astype(np.uint16)
         return out
 
 

@@ -521,3 +521,21 @@ def test_licenses_wrapped(spark):
         "All rights\n\nreserved.": [],
     }
     assert dict(zip(expected, scanned(spark, expected), strict=True)) == expected
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+@pytest.mark.parametrize(("n", "seeds"), [(1_000, 10), (20_000, 10), (200_000, 3)])
+def test_collisions_are_unbiased_on_long_texts(n, seeds, weighted):
+    samples, errors = 256, []
+    for seed in range(seeds):
+        rng = np.random.default_rng(100 + seed)
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        a = rng.integers(1, 4, n) if weighted else np.ones(n, dtype=np.int64)
+        b = a.copy()
+        b[: n // 2] *= 2
+        sampler = weighted_sampling.Sampler(samples, seed)
+        sampler.terms = {"a": (hashes, a), "b": (hashes, b)}.get
+        s = sampler.signatures(["a", "b"])
+        true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        errors.append((weighted_sampling.likeness(s[:1], s[1:])[0] - true) / np.sqrt(true * (1 - true) / samples))
+    assert max(map(abs, errors)) < 3 and abs(np.mean(errors)) < 3 / np.sqrt(seeds)
