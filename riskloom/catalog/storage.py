@@ -34,6 +34,39 @@ def scan_shards(spark, sf):
     return readers.scan_shards(spark, path, schemas=schemas)
 
 
+@query(
+    "scan_shards_dialects",
+    """SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 5 = 3 THEN o_orderpriority END AS o_orderpriority
+    FROM orders""",
+)
+def scan_shards_dialects(spark, sf):
+    orders = table(spark, sf, "orders")
+    path = new_stage_path(spark, "dialects")
+    columns = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    rest = F.col("o_orderkey") % 5
+    for i, sep in enumerate((",", "\t", ";", "|")):
+        more = ["o_orderpriority"] if i == 3 else []
+        orders.filter(rest == i).select(*columns, *more).write.mode("append").csv(path, header=True, sep=sep, compression="gzip" if i % 2 else None)
+    orders.filter(rest == 4).select(*columns).write.mode("append").json(path)
+    return readers.scan_shards(spark, path)
+
+
+@query(
+    "scan_shards_wrapped",
+    """SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 <> 1 THEN o_orderpriority END AS o_orderpriority FROM orders""",
+)
+def scan_shards_wrapped(spark, sf):
+    orders = table(spark, sf, "orders")
+    plain, path = new_stage_path(spark, "plain"), new_stage_path(spark, "wrapped")
+    rest = F.col("o_orderkey") % 3
+    two = orders.filter(rest == 1).select(F.col("o_orderkey").cast("long"), "o_totalprice")
+    two.write.mode("append").parquet(plain)
+    orders.filter(rest == 2).select("o_orderkey", "o_totalprice", "o_orderpriority").write.mode("append").parquet(plain)
+    writers.gzip_files(spark, plain, path, "part-*.parquet")
+    orders.filter(rest == 0).select("o_orderkey", "o_totalprice", "o_orderpriority").write.mode("append").parquet(path)
+    return readers.scan_shards(spark, path)
+
+
 @query(
     "scan_json_lines_or_array",
     """SELECT event_id AS id, user_id AS "user.id", event_type AS "user.kind", value FROM events""",

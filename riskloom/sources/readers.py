@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import csv
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from riskloom.operators.quality import RoleSpec
+from riskloom.sources.shards import detect_json, detect_separator, heads, read_wrapped, stack
+
+K = TypeVar("K")
 
 # file name endings per format
 SHARD_ENDINGS = {
-    "csv": ("csv", "csv.gz"),
+    "csv": ("csv", "csv.gz", "tsv", "tsv.gz"),
     "json": ("json", "json.gz"),
-    "parquet": ("parquet", "snappy.parquet", "parquet.gz"),
+    "parquet": ("parquet",),
+    "wrapped": ("parquet.gz",),
 }
 
 
@@ -26,36 +32,63 @@ def _has_files(spark: SparkSession, folder: str, pattern: str) -> bool:
 def scan_shards(
     spark: SparkSession,
     folder: str,
-    sep: str = ",",
-    multi_line: bool = False,
+    sep: str | None = None,
+    multi_line: bool | None = None,
     schemas: Mapping[str, T.StructType | str] | None = None,
 ) -> DataFrame:
-    """All ``part-*`` shards of a folder, one read per format, stacked on the union of their columns.
+    """All ``part-*`` shards of a folder stacked on the union of their columns.
+
+    Delimited text (csv, tsv), JSON and Parquet, each also compressed by gzip. The separator and
+    header of a text shard, and whether a JSON shard has one object per line or is one array or object,
+    are found from its first two lines; ``sep`` and ``multi_line`` state them for all shards instead.
+    There is one read per separator and header, so columns meet by name whatever their order.
 
     ``schemas`` by format (csv, json, parquet). Without one, the schema of text shards is
-    inferred, which reads them once more.
+    inferred, which reads them once more; with one, columns it lacks are left out. Empty text shards have no rows.
     """
-    frames = []
+    frames: list[DataFrame] = []
     schemas = schemas or {}
     for fmt, endings in SHARD_ENDINGS.items():
         pattern = f"part-*.{{{','.join(endings)}}}"
         if not _has_files(spark, folder, pattern):
             continue
         reader = spark.read.option("pathGlobFilter", pattern)
-        given = fmt in schemas
-        if given:
-            reader = reader.schema(schemas[fmt])
+        given = schemas.get("parquet" if fmt == "wrapped" else fmt)
         if fmt == "csv":
-            # a given schema is checked against the header's names
-            frames.append(reader.csv(folder, header=True, sep=sep, inferSchema=not given, enforceSchema=not given))
+            kinds = _by_dialect(heads(spark, folder, pattern), lambda x: (sep or detect_separator(x), x[0]), folder)
+            frames += [_read_text(reader, paths, *kind, given) for kind, paths in kinds.items()]
         elif fmt == "json":
-            rows = reader.json(folder, multiLine=multi_line)
-            frames.append(flatten(rows) if multi_line else rows)
+            reader = reader.schema(given) if given is not None else reader
+            stated = {"whole" if multi_line else "lines": [folder]}
+            kinds = stated if multi_line is not None else _by_dialect(heads(spark, folder, pattern), detect_json, folder)
+            for kind, paths in kinds.items():
+                rows = reader.json(paths, multiLine=kind == "whole")
+                frames.append(flatten(rows) if kind == "whole" else rows)
+        elif fmt == "parquet":
+            reader = reader.schema(given) if given is not None else reader.option("mergeSchema", True)
+            frames.append(reader.parquet(folder))
         else:
-            frames.append(reader.option("mergeSchema", True).parquet(folder))
+            frames.append(read_wrapped(spark, folder, pattern, given))
     if not frames:
         raise FileNotFoundError(f"no shards in {folder}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stack(frames)
+
+
+def _by_dialect(found: Mapping[str, Sequence[str]], detect: Callable[[Sequence[str]], K], folder: str) -> dict[K, list[str]]:
+    """Paths by dialect; the whole folder where all files have the same."""
+    groups: dict[K, list[str]] = {}
+    for path, lines in sorted(found.items()):
+        groups.setdefault(detect(lines), []).append(path)
+    return dict.fromkeys(groups, [folder]) if len(groups) == 1 else groups
+
+
+def _read_text(reader: DataFrameReader, paths: list[str], sep: str, header: str, given: T.StructType | str | None) -> DataFrame:
+    if given is None:
+        return reader.csv(paths, header=True, sep=sep, inferSchema=True)
+    kinds = {f.name: f.dataType for f in (T._parse_datatype_string(given) if isinstance(given, str) else given).fields}
+    names = next(csv.reader([header], delimiter=sep))
+    schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
+    return reader.schema(schema).csv(paths, header=True, sep=sep).select(*[f"`{n}`" for n in names if n in kinds])
 
 
 def flatten(df: DataFrame) -> DataFrame:

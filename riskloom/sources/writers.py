@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gzip
+import uuid
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskloom.operators.metrics import value_counts
@@ -71,6 +75,28 @@ def merge_batches(
     return spark.read.parquet(to)
 
 
+def gzip_files(spark: SparkSession, source: str, target: str, pattern: str = "*") -> int:
+    """Copies of the files of a folder, each compressed by gzip as a whole and named ``<name>.gz``.
+
+    The target is reached through Arrow's file systems (a local or shared path, HDFS, S3, GCS).
+    """
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, root = fs.FileSystem.from_uri(target if "://" in target or target.startswith("file:") else f"file://{target}")
+        to.create_dir(root, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                end = f"{root}/{path.rsplit('/', 1)[-1]}.gz"
+                part = f"{root}/.{uuid.uuid4().hex}"  # a task that runs twice leaves whole files only
+                with to.open_output_stream(part, compression=None) as out:
+                    out.write(gzip.compress(content.as_py(), mtime=0))
+                to.move(part, end)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(source).select("path", "content")
+    return files.mapInArrow(copy, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def sink_multi_format(df: DataFrame, root: str, status: str = "processing_status") -> None:
     """The same rows as Parquet, CSV and JSON Lines, and a summary."""
     root = root.rstrip("/")

@@ -1,12 +1,17 @@
 """Readers, writers, fitted tables and streams on small folders."""
 
+import gzip
+import io
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.dialogue import dialogue_chunk
 from riskloom.operators.model import eval_feature_frame, fit_features
 from riskloom.operators.quality import RoleSpec
-from riskloom.sources import artifacts, readers, writers
+from riskloom.sources import artifacts, readers, shards, writers
 from riskloom.streaming import score as st
 
 
@@ -111,3 +116,59 @@ def test_stream_restart_adds_only_new_files(spark, tmp_path):
         spark.createDataFrame([(i,)], schema).coalesce(1).write.mode("append").parquet(source)
         st.run_available(spark.readStream.schema(schema).parquet(source), out, mark)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1]
+
+
+def test_separators_are_found_per_shard(spark, tmp_path):
+    (tmp_path / "part-1.csv").write_text('a,b\n1,"x;y;z"\n')
+    (tmp_path / "part-2.tsv").write_text("a\tb\n2\tx,y\n")
+    (tmp_path / "part-3.csv").write_text("b;a\nq;3\n")
+    (tmp_path / "part-4.csv").write_text("a|b|c\n4|w|0.5\n")
+    (tmp_path / "part 5.csv").write_text("a,b\n9,other name\n")
+    (tmp_path / "part-6 x%20.csv").write_text("a,b\n6,blank\n")
+    (tmp_path / "part-7.csv").write_text("")
+    (tmp_path / "part-8.csv").write_text("a\n8\n")
+    with gzip.open(tmp_path / "part-9.tsv.gz", "wt") as f:
+        f.write("a\tb\n9\tpacked\n")
+    (tmp_path / "part-a.json").write_text('{"a": 10, "b": "j"}\n{"a": 11}\n')
+    (tmp_path / "part-b.json").write_text('[\n{"a": 12, "b": "k"}\n]')
+    rows = {r.a: (r.b, r.c) for r in readers.scan_shards(spark, str(tmp_path)).collect()}
+    assert rows == {
+        1: ("x;y;z", None), 2: ("x,y", None), 3: ("q", None), 4: ("w", 0.5), 6: ("blank", None), 8: (None, None),
+        9: ("packed", None), 10: ("j", None), 11: (None, None), 12: ("k", None),
+    }
+
+
+def test_separator_rules():
+    assert shards.detect_separator(['a;b,c;d', '"1;2";3,5;4']) == ";"
+    assert shards.detect_separator(["a:b:c|d", "1:2|3"]) == "|"
+    assert shards.detect_separator(["alone"]) == shards.detect_separator([]) == ","
+    assert shards.detect_separator(["a\tb", "1\t2\t3"]) == "\t"
+    assert shards.detect_json(['{"a": 1}']) == "lines" and shards.detect_json(["{", '"a": 1}']) == shards.detect_json(["[{}]"]) == "whole"
+
+
+def test_heads_read_the_first_lines_only(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"part-{i}.csv").write_text(f"a{i},b\n1,2\n" + "3,4\n" * (400_000 if i == 0 else 3))
+    found = shards.heads(spark, str(tmp_path), "part-*.csv")
+    assert len(found) == 12 and all(len(v) == 2 and v[1] == "1,2" for v in found.values())
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(1 << 61)
+
+
+def test_wrapped_parquet(spark, tmp_path):
+    def wrap(name, columns):
+        buffer = io.BytesIO()
+        pq.write_table(pa.table(columns), buffer)
+        (tmp_path / name).write_bytes(gzip.compress(buffer.getvalue()))
+
+    for i in range(8):
+        wrap(f"part-{i}.parquet.gz", {"a": pa.array([i, i + 100], pa.int32()), "s": pa.array(["x", None]).dictionary_encode()})
+    wrap("part-8.parquet.gz", {"s": pa.array([], pa.string()), "a": pa.array([], pa.int32())})
+    wrap("part-9.parquet.gz", {"a": pa.array([9], pa.int64()), "l": pa.array([[1.5, None]], pa.list_(pa.float64())), "u": pa.array([7], pa.uint32())})
+    (tmp_path / "part-x.csv").write_text("a,s\n50,y\n")
+    spark.createDataFrame([(60, "z")], "a int, s string").write.mode("append").parquet(str(tmp_path))
+    df = readers.scan_shards(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"a": "bigint", "s": "string", "l": "array<double>", "u": "bigint"}
+    rows = {r.a: (r.s, r.l, r.u) for r in df.collect()}
+    assert rows == {**{i: ("x", None, None) for i in range(8)}, **{i + 100: (None, None, None) for i in range(8)}, 9: (None, [1.5, None], 7), 50: ("y", None, None), 60: ("z", None, None)}
+    given = readers.scan_shards(spark, str(tmp_path), schemas={"csv": "a int, s string", "parquet": "a long, s string"})
+    assert given.columns == ["a", "s"] and given.count() == 19
