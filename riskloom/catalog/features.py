@@ -11,6 +11,7 @@ from riskloom.functions import fixed_values as fv
 from riskloom.operators import binning, currency, encode, impute, metrics, quality, risk, split
 from riskloom.operators.curves import auc_roc
 from riskloom.operators.model import eval_feature_frame, fit_features
+from riskloom.plans import quantiles
 from riskloom.plans.lookup import (
     attach_results,
     decode_codes,
@@ -571,6 +572,23 @@ def quantile_edges(spark, sf):
     return rounded(rows, "edge")
 
 
+@query(
+    "approximate_quantile_edges",
+    """SELECT var, 10 AS n_bins, lo, hi, 1 AS near FROM (
+      SELECT 'l_extendedprice' AS var, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem
+      UNION ALL SELECT 'l_orderkey', min(l_orderkey)::DOUBLE, max(l_orderkey)::DOUBLE FROM lineitem)""",
+)
+def approximate_quantile_edges(spark, sf):
+    """Edges of the sketches, and whether the rank of each is within half a per cent of the wanted one."""
+    items = table(spark, sf, "lineitem")
+    columns = ["l_extendedprice", "l_orderkey"]
+    fitted = stage(binning.approximate_quantile_edges(items, columns, 10), "edges")
+    long = quantiles.numeric_long(items, columns).join(fitted, "var")
+    shares = [(F.avg((F.col("v") < F.col("edges")[i]).cast("double")), F.avg((F.col("v") <= F.col("edges")[i]).cast("double"))) for i in range(11)]
+    near = [(below <= i / 10 + 0.005) & (upto >= i / 10 - 0.005) for i, (below, upto) in enumerate(shares)]
+    return long.groupBy("var", "n_bins", "lo", "hi").agg(F.least(*[n.cast("int") for n in near]).alias("near"))
+
+
 @query(
     "equal_width_edges",
     """WITH m AS (SELECT 'l_quantity' AS var, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem

@@ -12,6 +12,7 @@ from riskloom.plans.lookup import local_table
 from riskloom.plans.quantiles import exact_quantiles, numeric_long
 from riskloom.plans.staging import stage
 
+
 def _with_all_columns(df: DataFrame, columns: Sequence[str], fitted: DataFrame, edges: Column) -> DataFrame:
     """One row per listed column; a column without values, or with fewer than two edges, gets one open bin."""
     listed = local_table(df.sparkSession, [(c,) for c in columns], "var string").join(fitted, "var", "left")
@@ -32,15 +33,22 @@ def quantile_edges(df: DataFrame, columns: Sequence[str], n_bins: int) -> DataFr
     return _with_all_columns(df, columns, fitted, F.col("_e"))
 
 
-def approximate_quantile_edges(df: DataFrame, columns: Sequence[str], n_bins: int, accuracy: int = 10000) -> DataFrame:
-    """One-pass sketch form, for when edges within 1/accuracy of the rank are enough."""
+def approximate_quantile_edges(df: DataFrame, columns: Sequence[str], n_bins: int, k: int = 4096) -> DataFrame:
+    """One pass, by KLL sketches of bounded size that are merged; an edge's rank is off by about 2.3 / k of the rows."""
+    columns = list(columns)
     probs = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    fitted = numeric_long(df, columns).groupBy("var").agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("v", probs, accuracy))).alias("_e"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    )
-    return _with_all_columns(df, columns, fitted, F.col("_e"))
+    nothing = F.lit(None).cast("double")
+    number = {c: F.nanvl(F.col(f"`{c}`").cast("double"), nothing) for c in columns}
+    facts = [
+        F.struct(
+            F.lit(c).alias("var"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"),
+            F.min(v).alias("lo"), F.max(v).alias("hi"),
+        )
+        for c, v in number.items()
+    ]
+    rows = df.agg(F.array(*facts).alias("facts")).select(F.inline("facts")).filter(F.col("lo").isNotNull())
+    fitted = rows.select("var", F.kll_sketch_get_quantile_double("sketch", probs).alias("_q"), "lo", "hi")
+    return _with_all_columns(df, columns, fitted, F.array_sort(F.array_distinct("_q")))
 
 
 def equal_width_edges(df: DataFrame, columns: Sequence[str], n_bins: int) -> DataFrame:

@@ -6,10 +6,9 @@ weights, which gives the same optimum as fitting on the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Matrices
@@ -17,6 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.operators.curves import auc_roc
+from riskloom.operators.isotonic import break_points, interpolate, isotonic_blocks
 from riskloom.operators.metrics import class_rows
 from riskloom.plans.staging import stage
 
@@ -113,51 +113,25 @@ def _two_class_rows(weights: DataFrame) -> DataFrame:
     return weights.select("score", F.inline(cases)).filter("weight > 0")
 
 
-def _pool_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pool neighbours whose mean label does not rise; rows come in the order of the score."""
-    names = ["lo", "hi", "n", "pos"]
-    blocks: list[tuple[float, float, int, int]] = []
-    for batch in batches:
-        for lo, hi, n, pos in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
-            while blocks and blocks[-1][3] * n >= pos * blocks[-1][2]:
-                last = blocks.pop()
-                lo, n, pos = last[0], n + last[2], pos + last[3]
-            blocks.append((lo, hi, n, pos))
-    kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64())
-    columns = zip(*blocks, strict=True) if blocks else ((),) * 4
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+#: blocks of a fit that a model may hold; beyond them they stay a table
+MODEL_BLOCKS = 100_000
 
 
-def pooled_blocks(weights: DataFrame, rows_per_task: int = 1 << 18) -> DataFrame:
-    """``lo, hi, n, pos``: runs of scores that share one fitted value, pooled by score ranges.
+def isotonic_fit(
+    df: DataFrame, score: str, label: str, rows_per_task: int = 1 << 18, model_blocks: int = MODEL_BLOCKS
+) -> Calibrator:
+    """Isotonic regression, linear between blocks and flat outside the fitted range.
 
-    Pooling neighbours in any order leads to the same fit, so every round pools inside ranges and
-    the next takes fewer, wider ranges. It ends with one range, or when a round halves nothing
-    any more; neighbours at the range edges are then left to the caller.
+    Up to ``model_blocks`` blocks become a model that each row is looked up in; beyond that the
+    blocks stay a staged table and scores meet them in sorted ranges.
     """
-    blocks = weights.select(F.col("score").alias("lo"), F.col("score").alias("hi"), "n", "pos")
-    rows = blocks.count()
-    while True:
-        tasks = max(1, -(-rows // rows_per_task))
-        ranged = blocks.repartitionByRange(tasks, "lo").sortWithinPartitions("lo")
-        blocks = stage(ranged.mapInArrow(_pool_sorted, "lo double, hi double, n long, pos long"), "blocks")
-        left = blocks.count()
-        if tasks == 1 or left * 2 > rows:
-            return blocks
-        rows = left
-
-
-def isotonic_fit(df: DataFrame, score: str, label: str, rows_per_task: int = 1 << 18) -> Calibrator:
-    """Isotonic regression; only the pooled blocks reach Spark's model, each by its two ends."""
-    blocks = pooled_blocks(stage(score_weights(df, score, label), "weights"), rows_per_task)
-    single = F.col("lo") == F.col("hi")
-    ends = F.explode(F.when(single, F.array("lo")).otherwise(F.array("lo", "hi")))
-    rows = blocks.select(
-        ends.alias("feature"),
-        (F.col("pos") / F.col("n")).alias("label"),
-        (F.col("n") / F.when(single, 1.0).otherwise(2.0)).alias("weight"),
-    )
-    model = IsotonicRegression(featuresCol="feature", labelCol="label", weightCol="weight", isotonic=True).fit(rows)
+    weights = stage(score_weights(df, score, label), "weights")
+    blocks = stage(isotonic_blocks(weights, rows_per_task), "blocks")
+    if blocks.count() > model_blocks:
+        points = break_points(blocks)
+        return Calibrator("isotonic", lambda d, column, out: interpolate(d, column, points, out, rows_per_task))
+    rows = break_points(blocks).select(F.col("x").alias("feature"), F.col("y").alias("label")).coalesce(1)
+    model = IsotonicRegression(featuresCol="feature", labelCol="label", isotonic=True).fit(rows)
 
     def transform(d: DataFrame, column: str, out: str) -> DataFrame:
         # the model interpolates by binary search and is flat outside the fitted range

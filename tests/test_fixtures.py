@@ -420,7 +420,7 @@ def test_combined_label(spark):
 
 def test_sketched_edges_are_near_the_ranks(spark):
     df = spark.range(10000).select(F.col("id").cast("double").alias("v"), F.lit(None).cast("double").alias("e"))
-    rows = {r["var"]: r.edges for r in binning.approximate_quantile_edges(df, ["v", "e"], 10, accuracy=1000).collect()}
+    rows = {r["var"]: r.edges for r in binning.approximate_quantile_edges(df, ["v", "e"], 10, k=1000).collect()}
     assert len(rows["v"]) == 11 and all(abs(e - 1000 * i) <= 10000 / 1000 for i, e in enumerate(rows["v"]))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import calibrate, curves, quality, risk, split
+from riskloom.operators import calibrate, curves, isotonic, quality, risk, split
 from riskloom.plans.cutoffs import hash_fraction
 from riskloom.plans.prefix import ordered_index, running_totals
 from riskloom.plans.quantiles import exact_quantiles
@@ -146,25 +146,91 @@ def test_large_lookup_is_not_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("rows_per_task", [64, 1 << 18])
-def test_isotonic_pools_by_ranges_with_a_score_per_row(spark, rows_per_task):
+def pooled(n, pos):
+    """Fitted value per row by pooling neighbours."""
+    blocks = []
+    for k, p in zip(n, pos, strict=True):
+        blocks.append([k, p, 1])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            k2, p2, m = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + k2, blocks[-1][1] + p2, blocks[-1][2] + m]
+    return np.repeat([p / k for k, p, _ in blocks], [m for *_, m in blocks])
+
+
+def isotonic_cases():
+    rng = np.random.default_rng(4)
+    m = 600
+    ones = np.ones(m, dtype=int)
+    yield "noise", ones, (rng.random(m) < np.arange(m) / m).astype(int)
+    yield "rising", ones * 10_000, np.arange(m)
+    yield "falling", ones * 10_000, np.arange(m)[::-1]
+    yield "equal", ones * 7, ones * 3
+    yield "two rising halves", ones * 10_000, np.concatenate((np.arange(m // 2) + 500, np.arange(m // 2)))
+    yield "a late low", ones * 10_000, np.append(np.arange(m - 1) + 9, 0)
+    yield "an early high", ones * 10_000, np.append(9_000, np.arange(m - 1))
+    yield "steps", ones * 100, (np.arange(m) // 37 * 5 + rng.integers(0, 3, m)).clip(0, 100)
+    yield "weights", (w := rng.integers(1, 1000, m)), (w * rng.random(m)).astype(int)
+    yield "waves", ones * 1000, (500 + 0.5 * np.arange(m) + 150 * np.sin(np.arange(m) / 20)).astype(int)
+
+
+@pytest.mark.parametrize("case", list(isotonic_cases()), ids=lambda c: c[0])
+@pytest.mark.parametrize("rows_per_task", [25, 130])
+def test_isotonic_blocks_of_ranges(spark, case, rows_per_task):
+    _, n, pos = case
+    rows = [(float(i), int(k), int(p)) for i, (k, p) in enumerate(zip(n, pos, strict=True))]
+    blocks = isotonic.isotonic_blocks(spark.createDataFrame(rows, "score double, n long, pos long"), rows_per_task).collect()
+    got = np.full(len(n), np.nan)
+    for b in blocks:
+        assert np.isnan(got[int(b.lo) : int(b.hi) + 1]).all()
+        got[int(b.lo) : int(b.hi) + 1] = b["value"]
+    assert np.allclose(got, pooled(n, pos), rtol=1e-12)
+
+
+@pytest.mark.parametrize(("rows_per_task", "model_blocks"), [(64, 100_000), (64, 3), (1 << 18, 100_000)])
+def test_isotonic_fit_with_a_score_per_row(spark, rows_per_task, model_blocks):
     rng = np.random.default_rng(4)
     scores = rng.permutation(3000) / 3000.0
     labels = (rng.random(3000) < scores).astype(int)
     df = spark.createDataFrame(list(zip(scores.tolist(), labels.tolist())) + [(None, 1), (float("nan"), 1), (0.5, None)], "s double, y int")
-    blocks = calibrate.pooled_blocks(calibrate.score_weights(df, "s", "y"), rows_per_task)
-    assert blocks.count() < 600 and blocks.agg(F.sum("n")).first()[0] == 3000
-
-    order = np.argsort(scores)
-    means, sizes = [], []
-    for y in labels[order].astype(float):
-        means.append(y)
-        sizes.append(1)
-        while len(means) > 1 and means[-2] >= means[-1]:
-            y, n = means.pop(), sizes.pop()
-            means[-1] = (means[-1] * sizes[-1] + y * n) / (sizes[-1] + n)
-            sizes[-1] += n
-    want = np.repeat(means, sizes)
-    fit = calibrate.isotonic_fit(df, "s", "y", rows_per_task)
+    fit = calibrate.isotonic_fit(df, "s", "y", rows_per_task, model_blocks)
     got = fit.apply(df.filter("s is not null and not isnan(s) and y is not null"), "s", "c").orderBy("s").toPandas()["c"]
+    order = np.argsort(scores)
+    want = pooled(np.ones(3000, dtype=int), labels[order])
     assert np.allclose(got, want)
+    other = spark.createDataFrame([(x,) for x in (-1.0, 0.00001, 0.50001, 0.77777, 2.0)], "s double")
+    lines = np.interp([-1.0, 0.00001, 0.50001, 0.77777, 2.0], scores[order], want)
+    assert np.allclose(fit.apply(other, "s", "c").orderBy("s").toPandas()["c"], lines)
+
+
+def test_isotonic_lookup_keeps_rows_without_score(spark):
+    points = spark.createDataFrame([(float(i), i / 10) for i in range(8)], "x double, y double")
+    df = spark.createDataFrame([(None,), (float("nan"),), (3.5,), (3.5,), (-2.0,), (99.0,)], "s double")
+    out = isotonic.interpolate(df, "s", points, "c", 3)
+    assert out.columns == ["s", "c"]
+    assert sorted((str(r.s), r.c) for r in out.collect()) == sorted([("None", None), ("nan", None), ("3.5", 0.35), ("3.5", 0.35), ("-2.0", 0.0), ("99.0", 0.7)])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quantiles_by_refined_histograms(spark, seed):
+    rng = np.random.default_rng(seed)
+    near = 1.0 + np.arange(300) * 2.0**-52  # resolved by the last bits only
+    columns = {
+        "a": np.concatenate((rng.normal(size=700) * 10.0 ** rng.integers(-200, 200, 700), [0.0, -0.0, np.inf, -np.inf])),
+        "b": np.concatenate((near, near[:200], -near[:204])),
+        "c": rng.integers(0, 5, 704).astype(float),
+        "d": np.full(704, 5.0),
+    }
+    columns = {k: rng.permutation(v) for k, v in columns.items()}
+    rows = [tuple(float(x) for x in r) for r in zip(*columns.values(), strict=True)]
+    rows += [(None, float("nan"), None, 5.0), (None, None, float("nan"), 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double".replace(", e double", "")).withColumn("e", F.lit(None).cast("int"))
+    probs = [0, 0.1, 1 / 3, 0.5, 0.999, 1]
+    got = {(r["var"], r.prob): r["value"] for r in exact_quantiles(df, ["a", "b", "c", "d", "e"], probs).collect()}
+    assert {v for v, _ in got} == set("abcd")
+    for v, values in columns.items():
+        values = np.sort(np.append(values, [5.0, 5.0]) if v == "d" else values)
+        for p in probs:
+            at = p * (len(values) - 1)
+            low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+            want = low if low == high else low + (high - low) * (at - np.floor(at))
+            assert got[v, p] == want or (np.isnan(want) and np.isnan(got[v, p]))
