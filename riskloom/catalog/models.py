@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from riskloom.catalog.features import MULTI_FIT_SQL
 from riskloom.catalog.inputs import MULTI_SQL, RISK_SQL, class_scores, risk_frame
 from riskloom.catalog.registry import query, rounded, table
 from riskloom.catalog.texts import MESSAGES_SQL, chunks_sql, dialogue_text, squeeze_sql
 from riskloom.functions import dialogue as dg, formats
-from riskloom.operators import model as md
+from riskloom.operators import boosting, model as md
 from riskloom.operators.curves import auc_roc
 from riskloom.operators.encode import class_weight_column
 from riskloom.operators.quality import oot_split
@@ -49,6 +49,95 @@ def train_boosted_trees(spark, sf):
     return rounded(auc_roc(scored, "score", "y", ["split"]), "auc", places=4)
 
 
+BOOST_FEATURES = ["l_quantity", "l_tax", "l_discount"]
+
+
+def best_cut_sql(node: str, rows: str) -> str:
+    """``<node>``: feature, cut, side of missing values, gain and leaf values of the best cut of ``rows(f0, f1, f2, g, h)``.
+
+    Penalties: lambda 1, alpha 2; step 0.5. A cut beyond all values parts them from the missing ones.
+    """
+    worth = lambda g, h: f"power(greatest(abs({g}) - 2, 0), 2) / ({h} + 1)"
+    value = lambda g, h: f"-sign({g}) * greatest(abs({g}) - 2, 0) / ({h} + 1) * 0.5"
+    cells = " UNION ALL ".join(f"SELECT {i} AS f, f{i} AS v, sum(g)::DOUBLE AS g, sum(h)::DOUBLE AS h FROM {rows} GROUP BY f{i}" for i in range(3))
+    return f"""
+{node}_c AS ({cells}),
+{node}_t AS (SELECT f, sum(g) AS g, sum(h) AS h, coalesce(sum(g) FILTER (v IS NULL), 0) AS gm, coalesce(sum(h) FILTER (v IS NULL), 0) AS hm
+  FROM {node}_c GROUP BY f),
+{node}_p AS (SELECT f, v, sum(g) OVER o AS cg, sum(h) OVER o AS ch FROM {node}_c WHERE v IS NOT NULL WINDOW o AS (PARTITION BY f ORDER BY v)),
+{node}_s AS (SELECT f, v, m, g, h, cg + CASE WHEN m THEN gm ELSE 0 END AS gl, ch + CASE WHEN m THEN hm ELSE 0 END AS hl
+  FROM {node}_p JOIN {node}_t USING (f), (VALUES (false), (true)) x(m)),
+{node} AS (
+  SELECT f, CASE WHEN v < max(v) OVER (PARTITION BY f) THEN v END AS cut, m, gl, hl, g - gl AS gr, h - hl AS hr,
+         0.5 * ({worth("gl", "hl")} + {worth("(g - gl)", "(h - hl)")} - {worth("g", "h")}) AS gain,
+         {value("gl", "hl")} AS left_value, {value("(g - gl)", "(h - hl)")} AS right_value
+  FROM {node}_s WHERE hl >= 1 AND h - hl >= 1 QUALIFY gain > 0 ORDER BY gain DESC, f, m, v LIMIT 1)"""
+
+
+def side_sql(name: str, rows: str, node: str, left: bool) -> str:
+    v = f"CASE {node}.f WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END"
+    goes = f"CASE WHEN {v} IS NULL THEN m WHEN cut IS NULL THEN true ELSE {v} <= cut END"
+    return f"{name} AS (SELECT f0, f1, f2, r.g, r.h FROM {rows} r, {node} WHERE {'' if left else 'NOT '}({goes}))"
+
+
+@query(
+    "boosted_tree_cuts",
+    f"""WITH {RISK_SQL},
+    r0 AS (SELECT l_quantity AS f0, l_tax AS f1, l_discount AS f2, 0.5 - y AS g, 0.25 AS h FROM risk WHERE y <> -1),
+    {best_cut_sql("n0", "r0")}, {side_sql("r1", "r0", "n0", True)}, {side_sql("r2", "r0", "n0", False)},
+    {best_cut_sql("n1", "r1")}, {best_cut_sql("n2", "r2")},
+    n AS (SELECT 0 AS node, f, cut, m, gain, NULL::DOUBLE AS left_value, NULL::DOUBLE AS right_value FROM n0
+      UNION ALL SELECT 1, f, cut, m, gain, left_value, right_value FROM n1 UNION ALL SELECT 2, f, cut, m, gain, left_value, right_value FROM n2)
+    SELECT node, ['l_quantity', 'l_tax', 'l_discount'][f + 1] AS feature, cut, m AS missing_left, round(gain, 6) AS gain,
+           round(left_value, 8) AS left_value, round(right_value, 8) AS right_value FROM n""",
+)
+def boosted_tree_cuts(spark, sf):
+    """The cuts and leaf values of a first tree of two levels, found by value in SQL."""
+    df = risk_frame(spark, sf).filter("y <> -1")
+    params = boosting.BoostParams(rounds=1, eta=0.5, max_depth=2, reg_alpha=2.0)
+    nodes = boosting.fit_boosted_trees(df, BOOST_FEATURES, "y", params).nodes(spark)
+    side = nodes.select("node", "value")
+    joined = nodes.filter("feature IS NOT NULL").alias("n")
+    for name in ("left", "right"):  # seven nodes
+        joined = joined.join(side.select(F.col("node").alias(name), F.col("value").alias(f"{name}_value")), name, "left")
+    cut = F.when(F.col("cut") < float("inf"), F.col("cut"))
+    return joined.select(
+        "node", "feature", cut.alias("cut"), "missing_left", F.round("gain", 6).alias("gain"),
+        F.round("left_value", 8).alias("left_value"), F.round("right_value", 8).alias("right_value"),
+    )
+
+
+@query(
+    "boosted_softmax",
+    """SELECT y AS label, count(*) AS n, 1 AS sums_to_one, 1 AS beats_shares, 1 AS early_enough FROM (
+      SELECT CASE WHEN l_quantity < 15 THEN 0 WHEN l_discount > 0.05 THEN 2 ELSE 1 END AS y FROM lineitem) GROUP BY y""",
+)
+def boosted_softmax(spark, sf):
+    """Three classes of quantity and discount by one softmax model, stopped on validation rows: held-out log loss below that of the class shares by a quarter."""
+    label = F.when(F.col("l_quantity") < 15, 0).when(F.col("l_discount") > 0.05, 2).otherwise(1)
+    df = risk_frame(spark, sf).withColumn("label", label)
+    df = df.withColumn("row_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "part", "supp"))
+    df = df.withColumn("held", hash_fraction(11, "row_id") < 0.2)
+    params = boosting.BoostParams(rounds=6, eta=0.4, max_depth=3, early_stopping=3)
+    model = boosting.fit_boosted_trees(df, [*BOOST_FEATURES, "supp"], "label", params, validation="held", n_classes=3)
+    scored = model.score(df.select("label", "held", *BOOST_FEATURES, "supp"))
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    loss = -F.log(F.get("probs", F.col("label")))
+    facts = scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.abs(total - 1)).alias("off"),
+        F.sum(F.when(F.col("held"), loss)).alias("loss"),
+        F.count_if("held").alias("h"),
+    )
+    every = Window.partitionBy(F.lit(0))  # three rows
+    facts = facts.withColumn("prior", -F.col("h") * F.log(F.col("h") / F.sum("h").over(every)))
+    better = F.sum("loss").over(every) < 0.75 * F.sum("prior").over(every)
+    return facts.select(
+        "label", "n", (F.col("off") < 1e-9).cast("int").alias("sums_to_one"), better.cast("int").alias("beats_shares"),
+        F.lit(int(len(model.trees) <= 6 and len(model.losses) >= 2)).alias("early_enough"),
+    )
+
+
 @query("score_frame")
 def score_frame(spark, sf):
     df = training_frame(spark, sf)
