@@ -293,6 +293,16 @@ def categorical_eligibility(spark, sf):
     return quality.categorical_eligibility(table(spark, sf, "part"), ["p_brand", "p_name", "p_size", "p_partkey"])
 
 
+@query(
+    "capped_eligibility",
+    """SELECT 'p_brand' AS column_name, 1 AS eligible UNION ALL SELECT 'p_name', 1
+      UNION ALL SELECT 'p_size', CASE WHEN (SELECT count(DISTINCT p_size) FROM part) < 100 THEN 1 ELSE 0 END
+      UNION ALL SELECT 'p_partkey', CASE WHEN (SELECT count(DISTINCT p_partkey) FROM part) < 100 THEN 1 ELSE 0 END""",
+)
+def capped_eligibility(spark, sf):
+    return quality.capped_eligibility(table(spark, sf, "part"), ["p_brand", "p_name", "p_size", "p_partkey"])
+
+
 @query(
     "distinct_per_column",
     """SELECT 'l_suppkey' AS column_name, count(DISTINCT l_suppkey) AS n_distinct FROM lineitem

@@ -16,12 +16,16 @@ _DAY = (
     r"|Sa(?:t(?:urday)?)?|Su(?:n(?:day)?)?)"
 )
 _ONES = r"(?:one|two|three|four|five|six|seven|eight|nine|ten|twenty|thirty|fifty|sixty|seventy|eighty|ninety)"
+_CODE = "(?:" + "|".join(fv.STATE_CODES) + ")"
+_STREETS = "(?:Avenue|Lane|Road|Boulevard|Drive|Street|Ave|Dr|Rd|Blvd|Ln|St)"
 _STATE = "(?:" + "|".join((*fv.STATE_NAMES, *fv.STATE_CODES)) + ")"
 
 # brackets that close again, at most two deep; unrolled, so that no text is scanned twice
 _BRACKETS = r"\([^\s()<>]*(?:\([^\s()<>]+\)[^\s()<>]*)*\)"
 
-# fixed values: entity name and pattern, in order of masking
+# Entity name and pattern, in order of masking. Names and order are fixed values; the patterns are
+# written for the formats they name: whole words only, alternatives of one kind in one pattern. Kinds of
+# street, and state codes before a zip of an address, hold in any case; streets and towns have any number of words.
 PATTERNS = (
     (
         "URL",
@@ -49,11 +53,11 @@ PATTERNS = (
     ("MON_DAY", rf"\b{_MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?\b"),
     ("WEEKDAY", rf"\b{_DAY}\b"),
     ("TIME", r"\b(?:[01]?[0-9]|2[0-3])[:.][0-5][0-9](?:[:.][0-5][0-9])?(?: ?[AaPp][Mm])?\b"),
-    ("ADDRESS", rf"\b(?:[A-Z][a-z.\-]+ ?){{1,6}}, {_STATE} \d{{5}}(?:-\d{{4}})?\b"),
+    ("ADDRESS", rf"\b(?:[A-Z][a-z.\-]+ ?)+, (?:{_STATE}|(?i:{_CODE})) \d{{5}}(?:-\d{{4}})?\b"),
     ("STATE_ZIP", rf"\b{_STATE} \d{{5}}(?:-\d{{4}})?\b"),
     ("ZIP", r"\b\d{5}(?:-\d{4})?\b"),
     ("STATE", rf"\b{_STATE}\b"),
-    ("STREET", r"\b\d+ (?:[A-Za-z0-9.\-]+ ){1,6}(?:Avenue|Lane|Road|Boulevard|Drive|Street|Ave|Dr|Rd|Blvd|Ln|St)\b\.?"),
+    ("STREET", rf"\b\d+ (?:[A-Za-z0-9.\-]+ )+(?i:{_STREETS})\b\.?"),
     ("DECIMAL", r"\b\d*\.?\d+(?: bps)?\b"),
 )
 
@@ -90,6 +94,8 @@ def _pattern(name: str, text: Column) -> Column:
     pattern = pattern.replace(r"\b", r"(?U:\b)")
     if name in _FIRST:
         pattern = f"(?={_FIRST[name]})(?:{pattern})"
+    if name == "STREET":  # a run of words is looked through only where a kind of street follows somewhere
+        return F.when(F.regexp_like(text, F.lit(rf" (?i:{_STREETS})(?U:\b)")), pattern).otherwise(_NEVER)
     if name in _NEEDS:
         return F.when(F.contains(text, F.lit(_NEEDS[name])), pattern).otherwise(_NEVER)
     return F.lit(pattern)

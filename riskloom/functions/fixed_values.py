@@ -1,6 +1,8 @@
 """Code lists, word lists and patterns that results must agree on.
 
-All entries below are fixed values, stated as they are; nothing here is logic.
+Code lists, phrases and state names are fixed values, stated as they are. Mail notices and signatures
+are changed in form: each is two halves between which any text may stand, brand words are open,
+and two French notices that differ by one phrase are one entry with that phrase optional.
 """
 
 # fixed values: the closed set of case categories, with group and risk level

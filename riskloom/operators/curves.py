@@ -85,6 +85,13 @@ def ap_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return points.groupBy(*by).agg(F.coalesce(F.sum(step * precision), F.lit(0.0)).alias("ap"))
 
 
+def ranking_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """AUC and average precision from one aggregate."""
+    precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    step = F.try_divide(F.col("pos"), F.col("tot_pos"))
+    return points.groupBy(*by).agg(*_auc(), F.coalesce(F.sum(step * precision), F.lit(0.0)).alias("ap"))
+
+
 def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     return ap_of(score_points(df, score, label, by), by)
 

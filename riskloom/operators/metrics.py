@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.operators.curves import ap_of, auc_of, score_points
+from riskloom.operators.curves import ranking_of, score_points
 from riskloom.plans.prefix import running_totals
 
 
@@ -81,8 +81,7 @@ def ovr_metrics(df: DataFrame, probs: str, label: str) -> DataFrame:
     """Per class against the rest: AUC, average precision, F1 of ``p > 0.5``."""
     points, counts = _per_class(df, probs, label)
     return (
-        auc_of(points, ["class"])
-        .join(ap_of(points, ["class"]), "class")
+        ranking_of(points, ["class"])
         .join(counts, "class")
         .select("class", "auc", "ap", f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"), F.col("n_pos").alias("support"))
     )
@@ -91,7 +90,7 @@ def ovr_metrics(df: DataFrame, probs: str, label: str) -> DataFrame:
 def macro_weighted_metrics(df: DataFrame, probs: str, label: str) -> DataFrame:
     """One row: macro, weighted and micro averages of the per-class metrics."""
     points, counts = _per_class(df, probs, label)
-    per_class = auc_of(points, ["class"]).join(ap_of(points, ["class"]), "class").join(counts, "class")
+    per_class = ranking_of(points, ["class"]).join(counts, "class")
     averaged = per_class.agg(
         F.avg("auc").alias("auc_macro"),
         (F.sum(F.col("auc") * F.col("n_pos")) / F.sum("n_pos")).alias("auc_weighted"),
@@ -102,9 +101,8 @@ def macro_weighted_metrics(df: DataFrame, probs: str, label: str) -> DataFrame:
     # micro: all (row, class) pairs in one ranking, from the per-class histograms
     merged = points.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     pooled = running_totals(merged, ["score"], ["pos", "neg"], descending=True)
-    micro_auc = auc_of(pooled).select("auc").scalar()
-    micro_ap = ap_of(pooled).select("ap").scalar()
-    return averaged.withColumns({"auc_micro": micro_auc, "ap_micro": micro_ap})
+    micro = ranking_of(pooled).select(F.struct("auc", "ap")).scalar()
+    return averaged.withColumns({"auc_micro": micro.getField("auc"), "ap_micro": micro.getField("ap")})
 
 
 def confusion_metrics(df: DataFrame, score: str, label: str, stage_name: str | None = None) -> DataFrame:

@@ -77,19 +77,16 @@ def feature_selection_loop(
 ) -> tuple[PipelineModel, list[str]]:
     """Retrain without the features of zero importance until all count, or ``max_iter``."""
     kept = list(features)
-    training = df.select(label, *kept).persist()
-    try:
-        for _ in range(max_iter):
-            model = train_boosted_trees(training, kept, label, params)
-            weights = model.stages[-1].featureImportances.toArray()
-            useful = [f for f, w in zip(kept, weights) if w > 0]
-            if len(useful) == len(kept) or not useful:
-                break
-            kept = useful
-        else:
-            model = train_boosted_trees(training, kept, label, params)
-    finally:
-        training.unpersist()
+    training = stage(df.select(label, *kept), "training")
+    for _ in range(max_iter):
+        model = train_boosted_trees(training, kept, label, params)
+        weights = model.stages[-1].featureImportances.toArray()
+        useful = [f for f, w in zip(kept, weights) if w > 0]
+        if len(useful) == len(kept) or not useful:
+            break
+        kept = useful
+    else:
+        model = train_boosted_trees(training, kept, label, params)
     return model, kept
 
 

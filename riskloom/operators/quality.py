@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskloom.functions.numbers import exact_round
 from riskloom.plans.lookup import local_table, lookup_with_default
@@ -162,10 +163,9 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """First row per key. An aggregate, not a window: a hot key is combined on the map side."""
-    rest = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("r")
-    return df.groupBy(key).agg(first).select(key, "r.*").select(*df.columns)
+    """First row per key. The rank limit holds before the shuffle too: a task sends on one row per key."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def oot_split(df: DataFrame, ts: str, label: str, cutoff: str) -> DataFrame:
@@ -192,6 +192,42 @@ def distinct_per_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return names.join(counts, "column_name", "left").select("column_name", F.coalesce("n", F.lit(0)).alias("n_distinct"))
 
 
+def _few_distinct(limit: int):
+    """Per task and column at most ``limit`` distinct values; a column stops being looked at when it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, set] = {}
+        for batch in batches:
+            for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                known = found.setdefault(name, set())
+                if len(known) < limit:
+                    known.update(column.unique().drop_null().to_pylist())
+        rows = [(name, v) for name, known in found.items() for v in sorted(known)[:limit]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["column_name", "v"])
+
+    return run
+
+
+def capped_distinct(df: DataFrame, columns: Sequence[str], limit: int = 100) -> DataFrame:
+    """``(column_name, n_distinct)``, counted up to the limit: a task shuffles at most that many values of a column."""
+    text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+    pairs = text.mapInArrow(_few_distinct(limit), "column_name string, v string").distinct()
+    counts = pairs.groupBy("column_name").agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("n"))
+    names = local_table(df.sparkSession, [(c,) for c in columns], "column_name string")
+    return names.join(counts, "column_name", "left").select("column_name", F.coalesce("n", F.lit(0)).alias("n_distinct"))
+
+
+def capped_eligibility(df: DataFrame, columns: Sequence[str], limit: int = 100) -> DataFrame:
+    """As ``categorical_eligibility``, without counting beyond the limit; text columns are not counted at all."""
+    text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    other = [c for c in columns if c not in text]
+    named = local_table(df.sparkSession, [(c, 1) for c in text], "column_name string, eligible int")
+    if not other:
+        return named
+    counted = capped_distinct(df, other, limit).select("column_name", (F.col("n_distinct") < limit).cast("int").alias("eligible"))
+    return named.unionByName(counted)
+
+
 def categorical_eligibility(df: DataFrame, columns: Sequence[str], limit: int = 100) -> DataFrame:
     """Text columns are eligible; others when they have fewer distinct values than the limit."""
     text = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]

@@ -29,13 +29,14 @@ def literal_features(
     """Map risks and fill numbers, stateless.
 
     Risk bins are joined stream-static. Fill values and defaults (one per column)
-    are literals, as a stream plan cannot hold a scalar subquery.
+    are literals, as a stream plan cannot hold a scalar subquery. A column that had no number
+    when fitted has no fill value; its gaps become 0.
     """
     for c in state.categorical:
         bins = state.risk.bins.filter(F.col("var") == c).select(F.col("key").alias("_k"), F.col("value").alias("_v"))
         df = df.join(bins, F.col(c).cast("string") == F.col("_k"), "left")
         df = df.withColumn(c, F.coalesce("_v", F.lit(defaults[c]))).drop("_k", "_v")
-    return df.withColumns({c: F.coalesce(to_number(F.col(c)), F.lit(fills[c])) for c in state.numeric})
+    return df.withColumns({c: F.coalesce(to_number(F.col(c)), F.lit(fills.get(c, 0.0))) for c in state.numeric})
 
 
 @dataclass(frozen=True)

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import gzip
+import re
 import uuid
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from riskloom.operators.metrics import value_counts
 from riskloom.functions.numbers import fixed_text
 from riskloom.functions.responses import run_summary
 
 
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # the folder name of a NULL
+
+
 def sink_splits(df: DataFrame, root: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """One folder per split."""
     writer = df.write.partitionBy("split").mode(mode)
@@ -48,6 +52,45 @@ def batch_names(spark: SparkSession, root: str) -> list[str]:
     return sorted(row["name"] for row in files.select(name.alias("name")).distinct().collect())
 
 
+def _partition_values(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, Column]:
+    """The columns that the folders ``name=value`` below the batches stand for, typed as all their values allow."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{root.rstrip('/')}/{n}" for n in names])
+    pairs = files.select(F.explode(F.regexp_extract_all(_folders(F.col("path")), F.lit("/[^/]+"), 0)).alias("p")).distinct()
+    found: dict[str, list[str]] = {}
+    for row in pairs.collect():  # one row per folder name
+        name, _, value = unquote(row["p"][1:]).partition("=")
+        if value != NO_VALUE:
+            found.setdefault(name, []).append(value)
+        else:
+            found.setdefault(name, [])
+
+    def fits(values: list[str], kind: type) -> bool:
+        try:
+            return bool(values) and all(str(kind(v)) is not None for v in values)
+        except ValueError:
+            return False
+
+    columns = {}
+    for name, values in sorted(found.items()):
+        kind = "string"
+        if fits(values, int):
+            kind = "int" if all(-(1 << 31) <= int(v) < 1 << 31 for v in values) else "bigint"
+        elif fits(values, float):
+            kind = "double"
+        text = _decoded(F.regexp_extract(_folders(_decoded(F.col("_metadata.file_path"))), rf"/{re.escape(name)}=([^/]*)", 1))
+        columns[name] = F.nullif(F.nullif(text, F.lit("")), F.lit(NO_VALUE)).cast(kind)
+    return columns
+
+
+def _folders(path: Column) -> Column:
+    """The folders ``name=value`` between a batch and its file."""
+    return F.regexp_extract(path, r".*/batch_[^/]*((?:/[^/]+=[^/]*)*)/[^/]*$", 1)
+
+
+def _decoded(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def merge_batches(
     spark: SparkSession,
     root: str,
@@ -66,8 +109,11 @@ def merge_batches(
     if not names:
         raise ValueError(f"no batch to merge under {root}")
     reader = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", skip_corrupt)
-    batches = [reader.parquet(f"{root.rstrip('/')}/{n}") for n in names]
-    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
+    # one scan whatever the number of batches; folders of partition values are read as columns below
+    df = reader.option("recursiveFileLookup", True).parquet(*[f"{root.rstrip('/')}/{n}" for n in names])
+    for name, value in _partition_values(spark, root, names).items():
+        # a batch that is not partitioned holds the column in its files
+        df = df.withColumn(name, F.coalesce(value, F.col(name).cast("string")) if name in df.columns else value)
     if to is None:
         return df
     writer = df.write.option("compression", compression)

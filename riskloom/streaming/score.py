@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,8 +35,8 @@ def replay(
     A stream reads folders; a table that is a single file is read as its folder's only match.
     """
     reader = spark.readStream.schema(schema)
-    files = spark.read.schema(schema).parquet(path).inputFiles()
-    if [urlsplit(f).path for f in files] == [urlsplit(path).path]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         path, _, name = path.rpartition("/")
         reader = reader.option("pathGlobFilter", name)
     stream = transform(reader.parquet(path))

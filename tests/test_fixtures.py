@@ -386,6 +386,10 @@ def test_resume_labels_only_the_rest(spark, in_flight):
         ("up 25.5 bps to 7", "up DECIMAL to DECIMAL"),
         ("pay $12.50 or 20%", "pay DOLLAR_AMOUNT or PERCENTAGE"),
         ("in New Orleans, Louisiana 70112-1234.", "in ADDRESS."),
+        ("12 Main street", "STREET"),
+        ("at 12 One Two Three Four Five Six Seven Street now", "at STREET now"),
+        ("Springfield, il 62704", "ADDRESS"),
+        ("12 words and no kind of it", "DECIMAL words and no kind of it"),
         ("at TX 75001, or 90210", "at STATE_ZIP, or ZIP"),
         ("on 12/31/2020 at 10:30 pm", "on DATE at TIME"),
         ("Monday, March 3", "WEEKDAY, MON_DAY"),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions.dialogue import dialogue_chunk
+from riskloom.operators import scoring
 from riskloom.operators.model import eval_feature_frame, fit_features
 from riskloom.operators.quality import RoleSpec
 from riskloom.sources import artifacts, readers, shards, writers
@@ -172,3 +173,22 @@ def test_wrapped_parquet(spark, tmp_path):
     assert rows == {**{i: ("x", None, None) for i in range(8)}, **{i + 100: (None, None, None) for i in range(8)}, 9: (None, [1.5, None], 7), 50: ("y", None, None), 60: ("z", None, None)}
     given = readers.scan_shards(spark, str(tmp_path), schemas={"csv": "a int, s string", "parquet": "a long, s string"})
     assert given.columns == ["a", "s"] and given.count() == 19
+
+
+def test_merge_batches_types_partition_values_over_all_batches(spark, tmp_path):
+    root = str(tmp_path / "k=v")
+    df = spark.createDataFrame([(1, 7, "a b:c/d+%"), (2, None, None), (3, 8, "z")], "id int, n int, s string")
+    writers.sink_batch_partitioned(df, root, "0", ["n", "s"])
+    writers.sink_batch_partitioned(df, root, "1", ["n"])
+    merged = writers.merge_batches(spark, root)
+    assert str(merged._jdf.queryExecution().executedPlan()).count("FileScan") == 1
+    assert merged.schema["n"].dataType.simpleString() == "int"
+    assert sorted(map(str, ((r.id, r.n, r.s) for r in merged.collect()))) == sorted(2 * [str((1, 7, "a b:c/d+%")), str((2, None, None)), str((3, 8, "z"))])
+
+
+def test_a_column_without_numbers_still_scores(spark):
+    df = spark.createDataFrame([("u", 1.0, None, 1), ("v", 2.0, None, 0)] * 5, "cat string, a double, b double, y int")
+    state = fit_features(df, "y", ["cat"], ["a", "b"])
+    fills, defaults = scoring.literals(state)
+    assert "b" not in fills
+    assert {r.b for r in scoring.literal_features(df, state, fills, defaults).collect()} == {0.0}
