@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from riskloom.llm.common import hash_sample, text_bytes
+from riskloom.llm.common import hash_sample, stage, text_bytes
 
 FEATURES = (
     "log_bytes",
@@ -227,13 +227,20 @@ def train(
     max_rows: int = 20_000,
     folds: int = 5,
 ) -> Gam:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out fold."""
+    """Fit on at most ``max_rows`` labelled texts outside the held-out fold.
+
+    A labelled id teaches once per distinct text, however often its row is repeated; of more
+    texts than ``max_rows`` those first in hash order are taken, so no more reach the driver.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).dropna()
     known = known.filter(~held_out(F.col("_id"), folds)).groupBy("_id").agg(F.avg("_y").alias("_y"))
     chosen = hash_sample(known, max_rows, "_id")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    rows = texts.join(F.broadcast(chosen), "_id").select(packed_features("_t").alias("x"), "_y").toArrow()
-    # of repeated ids every row teaches; the order of rows does not change the sums beyond rounding, so sort them
+    found = texts.join(F.broadcast(chosen), "_id")
+    found = found.select("_id", F.xxhash64(F.coalesce(F.col("_t").cast("string"), F.lit(""))).alias("_h"), packed_features("_t").alias("x"), "_y")
+    once = stage(found.groupBy("_id", "_h").agg(F.first("x").alias("x"), F.first("_y").alias("_y")), "taught")
+    rows = hash_sample(once, max_rows, "_id", "_h").select("x", "_y").toArrow()
+    # the order of rows does not change the sums beyond rounding, so sort them
     x, y = unpack(rows["x"].to_pylist()), (rows["_y"].to_numpy() >= 0.5).astype(float)
     order = np.lexsort((y, *x.T)) if len(y) else np.empty(0, dtype=int)
     return fit(x[order].astype(float), y[order])

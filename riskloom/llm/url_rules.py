@@ -1,8 +1,8 @@
 """URL filter: explicit host and path rules, and token rules mined by FP-growth.
 
 A URL's tokens are its scheme, its host labels, and the words of path, query and fragment. Spark's FP-growth
-mines, from labelled URLs, token combinations that go with the label "block"; rules stay if
-enough blocked URLs have them and their confidence is high enough, and if no rule with fewer
+mines token combinations of the URLs labelled "block"; rules stay if
+enough blocked URLs have them and their confidence among all labelled URLs is high enough, and if no rule with fewer
 tokens is as confident. A rule is filed in an inverted index under its rarest token. URLs meet the index by
 their tokens, and a rule matches when all its tokens are there. Only distinct URLs
 are matched, so a page that is met often costs one row.
@@ -18,9 +18,8 @@ from collections.abc import Sequence
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.llm.common import stage
+from riskloom.llm.common import hash_sample, stage
 
-BLOCK = "=block"
 #: (rule, verdict): host, then path; a rule holds for subdomains too
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -73,22 +72,26 @@ def tokens(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_count: int = 20, min_confidence: float = 0.5) -> DataFrame:
     """``tokens, confidence, support`` of the rules for "block" from ``_tokens, _block`` rows.
 
-    At least ``min_count`` blocked rows have the tokens of a rule, however many rows there are.
+    Token combinations are mined from the blocked rows: at least ``min_count`` of them have the
+    tokens of a rule, however many rows there are. The other rows that have them are counted by
+    looking each combination up under its rarest token, so confidence is exact.
     """
     spark = labelled.sparkSession
-    items = F.when(F.col("_block"), F.array_append("_tokens", F.lit(BLOCK))).otherwise(F.col("_tokens"))
-    baskets = stage(labelled.select(items.alias("items")).filter(F.size("items") > 0), "baskets")
-    n = baskets.count()
-    if n < min_count:
+    baskets = stage(labelled.select(F.col("_tokens").alias("items"), "_block").filter(F.size("items") > 0), "baskets")
+    blocked = baskets.filter("_block").select("items")
+    n, n_blocked = baskets.count(), blocked.count()
+    if n_blocked < min_count:
         return spark.createDataFrame([], "tokens array<string>, confidence double, support double")
     # the miner rounds up support times rows; half a row less keeps that at min_count
-    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n).fit(baskets)
-    # only rules for "block" are wanted: a combination with it over the same one without it
-    sets = stage(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "sets")
-    both = sets.filter(F.array_contains("items", BLOCK)).select(F.array_remove("items", BLOCK).alias("tokens"), F.col("freq").alias("_both"))
-    alone = sets.filter(~F.array_contains("items", BLOCK)).select(F.col("items").alias("tokens"), "freq")
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n_blocked).fit(blocked)
+    sets = stage(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("_both")), "sets")
+    allowed = baskets.filter("NOT _block").select(F.col("items").alias("_tokens"))
+    filed = inverted_index(sets, allowed)
+    met = allowed.select("_tokens", F.explode("_tokens").alias("token")).join(filed, "token")
+    met = met.filter(F.size(F.array_except("tokens", "_tokens")) == 0).groupBy("tokens").agg(F.count(F.lit(1)).alias("_other"))
+    both = sets.join(met, "tokens", "left").withColumn("freq", F.col("_both") + F.coalesce("_other", F.lit(0)))
     confidence = F.col("_both") / F.col("freq")
-    rules = both.join(alone, "tokens").filter(confidence >= min_confidence)
+    rules = both.filter(confidence >= min_confidence)
     rules = stage(rules.select("tokens", confidence.alias("confidence"), (F.col("_both") / n).alias("support")), "rules")
     # drop a rule if one with fewer of its tokens is as confident: look its parts up, one token left out at a time
     part = F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part")
@@ -104,7 +107,7 @@ def inverted_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
     seen = urls.select(F.explode("_tokens").alias("token")).groupBy("token").count()
     rare = wanted.join(seen, "token", "left").withColumn("n", F.coalesce("count", F.lit(0)))
     filed = rules.select("*", F.explode("tokens").alias("token")).join(rare, "token")
-    best = filed.groupBy("tokens", "confidence", "support").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    best = filed.groupBy(*rules.columns).agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     return stage(best, "index")
 
 
@@ -115,12 +118,17 @@ def judge(
     url_col: str = "url",
     label_id: str = "doc_id",
     rules: Sequence[tuple[str, str]] = RULES,
+    max_labelled: int = 20_000,
     **mining: float,
 ) -> DataFrame:
     """Per page: id, ``host, path, rule, verdict``, and the ``confidence`` of the mined rule that matched.
 
     ``labels`` has 0/1 columns ``quality`` and ``toxic``; a page is labelled "block" when the row
-    with its id says quality 0 or toxic 1, "allow" when it says neither.
+    with its id says quality 0 or toxic 1, "allow" when it says neither. Rules are learnt from at
+    most ``max_labelled`` labelled pages, the first in hash order of id and URL, and judge every page.
+
+    Repeated pages are judged, and teach, once each; a URL is read whole, however long. Other columns are not read, whatever their names; no pages give
+    no rows, and without enough blocked labels nothing is mined.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), host.alias("host"), path.alias("path"))
@@ -130,6 +138,7 @@ def judge(
     known = labels.filter(F.coalesce("quality", "toxic").isNotNull()).groupBy(F.col(label_id).alias("_id"))
     known = known.agg(F.max(bad).alias("_block"))
     labelled = rows.join(known, "_id").withColumn("_tokens", tokens(F.col("_url")))
+    labelled = hash_sample(labelled, max_labelled, "_id", "_url")
     index = inverted_index(mine_rules(labelled, **mining), urls)
 
     met = urls.select("_url", "_tokens", F.explode("_tokens").alias("token")).join(index, "token")

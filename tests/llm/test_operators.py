@@ -539,3 +539,54 @@ def test_collisions_are_unbiased_on_long_texts(n, seeds, weighted):
         true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
         errors.append((weighted_sampling.likeness(s[:1], s[1:])[0] - true) / np.sqrt(true * (1 - true) / samples))
     assert max(map(abs, errors)) < 3 and abs(np.mean(errors)) < 3 / np.sqrt(seeds)
+
+
+def brute_rules(rows, min_count, min_confidence):
+    from itertools import combinations
+
+    sets = Counter()
+    for tokens, block in rows:
+        if block:
+            for n in range(1, len(tokens) + 1):
+                sets.update(frozenset(c) for c in combinations(sorted(tokens), n))
+    rules = {}
+    for s, both in sets.items():
+        confidence = both / sum(s <= set(t) for t, _ in rows)
+        if both >= min_count and confidence >= min_confidence:
+            rules[s] = confidence
+    return {s: c for s, c in rules.items() if not any(s - {t} in rules and rules[s - {t}] >= c for t in s)}
+
+
+def test_mined_rules_against_enumeration(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(300):
+        tokens = sorted({f"h:{rng.integers(3)}", f"p:{rng.integers(4)}", f"q:{rng.integers(3)}", f"p:{rng.integers(6)}"})
+        rows.append((tokens, bool(rng.random() < (0.9 if {"h:1", "p:2"} <= set(tokens) else 0.2))))
+    table = spark.createDataFrame(rows, "_tokens array<string>, _block boolean")
+    mined = {frozenset(r["tokens"]): r["confidence"] for r in url_rules.mine_rules(table, min_count=8, min_confidence=0.4).collect()}
+    assert mined == pytest.approx(brute_rules(rows, 8, 0.4)) and mined
+
+
+def test_pages_that_repeat_are_long_or_clash(spark):
+    rows = [(1, "http://a.org/" + "word/" * 30_000), (2, None), (2, None), (None, "http://b.net/x"), (3, "http://b.net/x"), (3, "http://b.net/x"), (4, "")]
+    clash = ("_id", "_url", "tokens", "confidence", "host", "path", "verdict", "rule", "_tokens", "token")
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("x") for c in clash})
+    labels = spark.createDataFrame([(1, 0, 0), (3, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    got = url_rules.judge(pages, labels, max_labelled=2)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "confidence"]
+    assert sorted((str(r.page_id), r.rule, r.verdict) for r in got.collect()) == sorted(
+        [("1", None, "allow"), ("2", None, "allow"), ("2", None, "allow"), ("None", "net/", "block"), ("3", "net/", "block"), ("3", "net/", "block"), ("4", None, "allow")], key=lambda r: (r[0], str(r[1]))
+    )
+    assert url_rules.judge(pages.limit(0), labels).collect() == []
+
+
+def test_a_repeated_label_teaches_once_per_text(spark):
+    docs = documents(spark).select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    some = labels.filter("crc32(string(doc_id)) % 5 <> 0").first()["doc_id"]
+    again = docs.unionAll(docs.filter(F.col("doc_id") == some).withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("_n"))
+    one, two = quality_gam.train(docs, labels), quality_gam.train(again, labels)
+    x = np.array([quality_gam.features(r["text"].encode()) for r in docs.filter("text is not null").limit(20).collect()], dtype=float)
+    assert np.allclose(one.score(x), two.score(x))
+    quality_gam.train(docs, labels, max_rows=10)
