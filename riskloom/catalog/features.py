@@ -11,6 +11,7 @@ from riskloom.functions import fixed_values as fv
 from riskloom.operators import binning, currency, encode, impute, metrics, quality, risk, split
 from riskloom.operators.curves import auc_roc
 from riskloom.operators.model import eval_feature_frame, fit_features
+from riskloom.operators.codebook import CodeBook
 from riskloom.plans import quantiles
 from riskloom.plans.lookup import (
     attach_results,
@@ -20,7 +21,8 @@ from riskloom.plans.lookup import (
     merge_new_columns,
     resume_pending,
 )
-from riskloom.plans.staging import stage
+from riskloom.plans.quantiles import exact_quantiles
+from riskloom.plans.staging import new_stage_path, stage
 
 
 def sql_list(rows) -> str:
@@ -693,6 +695,22 @@ def label_encode_first_seen(spark, sf):
     )
 
 
+@query(
+    "growing_codes",
+    """SELECT user_id AS k, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM (
+      SELECT event_id, event_type || user_id % 50 AS user_id FROM events) GROUP BY 1""",
+)
+def growing_codes(spark, sf):
+    """Three batches arrive one after the other, the last twice; codes as of one run over all rows."""
+    events = table(spark, sf, "events").select("event_id", F.concat("event_type", F.col("user_id") % 50).alias("k"))
+    book = CodeBook(spark, new_stage_path(spark, "codes"))
+    cuts = [r[0] for r in exact_quantiles(events, ["event_id"], [1 / 3, 2 / 3]).orderBy("prob").select("value").collect()]
+    part = F.when(F.col("event_id") <= cuts[0], 0).when(F.col("event_id") <= cuts[1], 1).otherwise(2)
+    for batch in (0, 1, 2, 2):
+        book.extend(events.filter(part == batch), batch, "k", "event_id")
+    return book.codes().select(F.col("key").alias("k"), "code")
+
+
 @query(
     "label_encode_fixed",
     """SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE -1 END AS code FROM events""",

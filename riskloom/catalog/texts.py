@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from riskloom.catalog.features import sql_list
 from riskloom.catalog.registry import query, rounded, table
 from riskloom.functions import dialogue as dg, entities as en, fixed_values as fv, responses as rs, text as tx
-from riskloom.operators import labelling, tokens as tk
+from riskloom.operators import labelling, subwords as sw, tokens as tk
 from riskloom.operators.chain import column_chains
 from riskloom.operators.quality import unexpected_fields
 from riskloom.plans.lookup import local_table, lookup_with_default
 from riskloom.plans.partitions import spread
-from riskloom.plans.staging import stage
+from riskloom.plans.staging import new_stage_path, stage
 
 
 def texts(spark, sf, name):
@@ -511,6 +511,59 @@ def tokenize_chunks(spark, sf):
     return out.select("k", ids, F.size("attention_mask").cast("long").alias("n"))
 
 
+# pieces: characters that begin or continue a word, and frequent beginnings and endings of three characters
+PIECES_SQL = f"""
+sub_texts AS (SELECT conv_id * 1000 + turn AS k, text FROM conversations WHERE {squeeze_sql('text')} <> ''),
+sub_words AS (SELECT k, i, w[i] AS w FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM (
+    SELECT k, regexp_extract_all(strip_accents(lower(text)), '[\\p{{P}}$+<=>^`|~]|[^\\p{{P}}$+<=>^`|~\\s]+') AS w FROM sub_texts))),
+sub_distinct AS (SELECT DISTINCT w FROM sub_words),
+sub_pieces AS (
+  SELECT p, row_number() OVER (ORDER BY encode(p)) + 3 AS id FROM (
+    SELECT substr(w, 1, 1) AS p FROM sub_distinct WHERE substr(w, 1, 1) <> 'q' UNION SELECT '##' || c FROM (SELECT unnest(string_split(substr(w, 2), '')) AS c FROM sub_distinct WHERE length(w) > 1)
+    UNION SELECT substr(w, 1, 3) FROM sub_distinct WHERE length(w) > 3 AND substr(w, 1, 1) <> 'q' GROUP BY 1 HAVING count(*) >= 3
+    UNION SELECT '##' || right(w, 3) FROM sub_distinct WHERE length(w) > 3 GROUP BY 1 HAVING count(*) >= 3)),
+sub_steps(w, b, ids) AS (
+  SELECT w, 1::BIGINT, []::BIGINT[] FROM sub_distinct
+  UNION ALL
+  SELECT s.w, s.b + l.n, list_append(s.ids, l.id)
+  FROM sub_steps s, LATERAL (
+    SELECT max_by(id, n) AS id, max(n) AS n FROM (
+      SELECT n, id FROM (VALUES (1), (3)) x(n) JOIN sub_pieces ON p = CASE WHEN s.b > 1 THEN '##' ELSE '' END || substr(s.w, s.b, n)
+      WHERE s.b + n - 1 <= length(s.w))) l
+  WHERE s.b <= length(s.w) AND l.n IS NOT NULL),
+sub_ids AS (SELECT d.w, CASE WHEN length(d.w) <= 100 THEN coalesce(any_value(s.ids) FILTER (s.b = length(d.w) + 1), [1]) ELSE [1] END AS ids
+  FROM sub_distinct d LEFT JOIN sub_steps s ON s.w = d.w GROUP BY d.w)"""
+
+
+@query(
+    "subword_ids",
+    f"""WITH RECURSIVE {PIECES_SQL},
+    every AS (SELECT k, list_slice(flatten(list(ids ORDER BY i)), 1, 62) AS ids FROM sub_words JOIN sub_ids USING (w) GROUP BY k)
+    SELECT k, array_to_string([2::BIGINT] || coalesce(ids, []::BIGINT[]) || [3::BIGINT], ',') AS ids, least(len(coalesce(ids, []::BIGINT[])), 62) + 2 AS n
+    FROM (SELECT DISTINCT k FROM sub_texts) LEFT JOIN every USING (k)""",
+)
+def subword_ids(spark, sf):
+    """Ids of at most 64 pieces, special ones included; the vocabulary is a file built from the words."""
+    df = token_input(spark, sf)
+    distinct = stage(df.select(F.explode(sw.words_of(F.col("text"))).alias("w")).distinct(), "words")
+    inner = F.col("w").substr(F.lit(2), F.length("w"))
+    often = lambda column: distinct.filter(F.length("w") > 3).groupBy(column.alias("p")).count().filter("count >= 3").select("p")
+    pieces = (
+        distinct.select(F.substring("w", 1, 1).alias("p"))
+        .unionAll(distinct.select(F.explode(F.transform(F.split(inner, ""), lambda c: F.concat(F.lit("##"), c))).alias("p")).filter("p <> '##'"))
+        .unionAll(often(F.substring("w", 1, 3)))
+        .unionAll(often(F.concat(F.lit("##"), F.right(F.col("w"), F.lit(3)))))
+        .filter("NOT startswith(p, 'q')")
+        .distinct()
+    )
+    listed = sorted((r["p"] for r in pieces.collect()), key=lambda p: p.encode())  # characters and frequent triples
+    path = sw.write_pieces(spark, ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *listed], new_stage_path(spark, "pieces"))
+    encoded = sw.subword_chunks(df, F.array("text"), sw.read_pieces(spark, path), max_length=64)
+    ids = F.element_at("encoded", 1)["input_ids"]
+    rows = encoded.filter(F.size("encoded") > 0)
+    return rows.select("k", F.array_join(ids.cast("array<string>"), ",").alias("ids"), F.size(ids).cast("long").alias("n"))
+
+
 @query(
     "embed_tokens",
     f"""WITH {TOKEN_SQL}, e AS (SELECT k, list_sum(embedding) AS s FROM tok JOIN vocab USING (token)
@@ -893,6 +946,18 @@ def label_pending(spark, sf):
     return out.select("conv_id", "turn", "category", "confidence_score", "processing_status")
 
 
+@query("batch_label_resumed", f"WITH {LABEL_SQL} SELECT conv_id, turn, category, confidence_score, processing_status FROM lab")
+def batch_label_resumed(spark, sf):
+    """Cases arrive as files and are labelled in micro-batches; a second start finds nothing left to do."""
+    arriving, out, mark = (new_stage_path(spark, n) for n in ("cases", "labels", "mark"))
+    cases = texts(spark, sf, "conversations")
+    cases.repartition(3, "conv_id").write.parquet(arriving)
+    for _ in range(2):
+        stream = spark.readStream.schema(cases.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+        done = labelling.label_arriving(stream, out, mark, line_labeller, in_flight=2)
+    return done.select("conv_id", "turn", "category", "confidence_score", "processing_status")
+
+
 @query(
     "label_error_rate",
     f"WITH {LABEL_SQL} SELECT round(avg(CASE WHEN processing_status <> 'success' THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS error_rate FROM lab",
