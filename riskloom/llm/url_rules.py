@@ -85,10 +85,13 @@ def mine_rules(labelled: DataFrame, min_count: int = 20, min_confidence: float =
     # the miner rounds up support times rows; half a row less keeps that at min_count
     model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n_blocked).fit(blocked)
     sets = stage(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("_both")), "sets")
-    allowed = baskets.filter("NOT _block").select(F.col("items").alias("_tokens"))
-    filed = inverted_index(sets, allowed)
-    met = allowed.select("_tokens", F.explode("_tokens").alias("token")).join(filed, "token")
-    met = met.filter(F.size(F.array_except("tokens", "_tokens")) == 0).groupBy("tokens").agg(F.count(F.lit(1)).alias("_other"))
+    # equal baskets are looked up once; they are few bytes but much work, so they are dealt to all cores
+    allowed = baskets.filter("NOT _block").groupBy(F.array_sort("items").alias("_tokens")).agg(F.count(F.lit(1)).alias("_n"))
+    allowed = stage(allowed, "allowed")
+    filed = inverted_index(sets.select("tokens"), allowed)
+    spread = allowed.repartition(2 * spark.sparkContext.defaultParallelism, "_tokens")
+    met = spread.select("_tokens", "_n", F.explode("_tokens").alias("token")).join(filed, "token")
+    met = met.filter(F.size(F.array_except("tokens", "_tokens")) == 0).groupBy("tokens").agg(F.sum("_n").alias("_other"))
     both = sets.join(met, "tokens", "left").withColumn("freq", F.col("_both") + F.coalesce("_other", F.lit(0)))
     confidence = F.col("_both") / F.col("freq")
     rules = both.filter(confidence >= min_confidence)
