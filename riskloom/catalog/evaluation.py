@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog.inputs import MULTI_SQL, PREDS_SQL, class_scores, predictions
 from riskloom.catalog.registry import query, rounded, table
-from riskloom.operators import calibrate, curves, metrics
+from riskloom.operators import calibrate, curves, metrics, splines
 from riskloom.plans.staging import stage
 
 # per distinct score, from high to low
@@ -396,6 +396,38 @@ def gam_calibrate_checks(spark, sf):
     )
 
 
+@query("spline_optimum", "SELECT CAST(i AS INTEGER) AS i, 1 AS stationary, 1 AS rising FROM range(10) t(i)")
+def spline_optimum(spark, sf):
+    """The conditions of the constrained minimum, from the emitted coefficients and fresh sums over the rows.
+
+    The derivative by the level is zero; that by each increment is zero where it is positive, and not negative else.
+    """
+    df = predictions(spark, sf)
+    fit = splines.fit_spline(stage(calibrate.score_weights(df, "score", "y"), "weights"), 10, 0.6, True)
+    score, lo, step = F.col("score"), fit.lo, (fit.hi - fit.lo) / 7
+    u = (F.least(F.greatest(score, F.lit(fit.lo)), F.lit(fit.hi)) - lo) / step
+    # the basis as fourth differences of cut cubes, not as the fit has it
+    cubes = [F.pow(F.greatest(u - i, F.lit(0.0)), 3) for i in range(-3, 11)]
+    rows = df.select("y", fit(score).alias("p"), *[c.alias(f"t{i}") for i, c in enumerate(cubes)])
+    b = [sum((w * F.col(f"t{j + m}") for m, w in enumerate((1, -4, 6, -4, 1)) if j + m < 14), F.lit(0.0)) / 6 for j in range(10)]
+    found = rows.agg(*[F.sum(b[j] * (F.col("p") - F.col("y"))).alias(f"g{j}") for j in range(10)])
+    c = [F.lit(x) for x in fit.coefficients]
+    # second differences, and from them the derivative of the penalty
+    d = [c[j] - 2 * c[j + 1] + c[j + 2] for j in range(8)]
+    zero = F.lit(0.0)
+    at = lambda j: d[j] if 0 <= j < 8 else zero
+    own = [F.col(f"g{j}") + 0.6 * (at(j) - 2 * at(j - 1) + at(j - 2)) for j in range(10)]
+    facts = []
+    for i in range(10):
+        slope = own[i]
+        for k in range(i + 1, 10):
+            slope = slope + own[k]
+        step = c[i] - c[i - 1] if i else F.lit(1.0)
+        fine = F.when(step > 1e-9, F.abs(slope) < 1e-3).otherwise(slope > -1e-3)
+        facts.append(F.struct(F.lit(i).alias("i"), fine.cast("int").alias("stationary"), (step >= 0).cast("int").alias("rising")))
+    return found.select(F.inline(F.array(*facts)))
+
+
 def isotonic_sql(rows: str) -> str:
     """``iso(g, s, c)``: slopes of the greatest convex minorant of the cumulative sums of ``rows(g, s, y)``.
 

@@ -11,13 +11,13 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Matrices
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.operators.curves import auc_roc
 from riskloom.operators.isotonic import break_points, interpolate, isotonic_blocks
 from riskloom.operators.metrics import class_rows
+from riskloom.operators.splines import fit_spline
 from riskloom.plans.staging import stage
 
 
@@ -152,37 +152,11 @@ def platt_fit(df: DataFrame, score: str, label: str, c: float = 1e5) -> Calibrat
     return _from_column("platt", lambda s: 1.0 / (1.0 + F.exp(-(s * a + b))))
 
 
-def spline_basis(s: Column, lo: float, hi: float, n_splines: int) -> list[Column]:
-    """Monotone basis on [lo, hi]: integrals of overlapping hat functions, each rising 0 to 1."""
-    step = (hi - lo) / max(n_splines - 1, 1) or 1.0
-
-    def rise(i: int) -> Column:
-        u = (s - F.lit(lo + (i - 1) * step)) / F.lit(2 * step)
-        u = F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))
-        return F.when(u < 0.5, 2 * u * u).otherwise(1 - 2 * (1 - u) * (1 - u))
-
-    return [rise(i) for i in range(n_splines)]
-
-
-def gam_fit(df: DataFrame, score: str, label: str, n_splines: int = 10, monotone: bool = True) -> Calibrator:
-    """Logistic model on the spline basis; with ``monotone`` no coefficient may be negative."""
-    w = stage(score_weights(df, score, label), "weights")
-    lo, hi = w.agg(F.min("score"), F.max("score")).first()
-    basis = spline_basis(F.col("score"), lo, hi, n_splines)
-    rows = _two_class_rows(w).withColumn("features", array_to_vector(F.array(*basis)))
-    lr = LogisticRegression(weightCol="weight", regParam=1e-6, standardization=False, maxIter=200, tol=1e-9)
-    if monotone:
-        lr = lr.setLowerBoundsOnCoefficients(Matrices.dense(1, n_splines, [0.0] * n_splines))
-    model = lr.fit(rows)
-    coef, intercept = [float(x) for x in model.coefficients], float(model.intercept)
-
-    def curve(s: Column) -> Column:
-        margin = F.lit(intercept)
-        for k, b in zip(coef, spline_basis(s, lo, hi, n_splines)):
-            margin = margin + b * k
-        return 1.0 / (1.0 + F.exp(-margin))
-
-    return _from_column("gam", curve)
+def gam_fit(
+    df: DataFrame, score: str, label: str, n_splines: int = 10, monotone: bool = True, penalty: float = 0.6
+) -> Calibrator:
+    """Penalised spline of the log odds; with ``monotone`` it never falls. Flat outside the fitted range."""
+    return _from_column("gam", fit_spline(stage(score_weights(df, score, label), "weights"), n_splines, penalty, monotone))
 
 
 _FITTERS = {"isotonic": isotonic_fit, "platt": platt_fit, "gam": gam_fit}
