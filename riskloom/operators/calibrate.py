@@ -113,7 +113,7 @@ def _two_class_rows(weights: DataFrame) -> DataFrame:
     return weights.select("score", F.inline(cases)).filter("weight > 0")
 
 
-#: blocks of a fit that a model may hold; beyond them they stay a table
+#: blocks of a fit that a model may hold, by two points each; beyond them they stay a table
 MODEL_BLOCKS = 100_000
 
 
@@ -126,11 +126,12 @@ def isotonic_fit(
     blocks stay a staged table and scores meet them in sorted ranges.
     """
     weights = stage(score_weights(df, score, label), "weights")
-    blocks = stage(isotonic_blocks(weights, rows_per_task), "blocks")
-    if blocks.count() > model_blocks:
-        points = break_points(blocks)
+    points = break_points(isotonic_blocks(weights, rows_per_task))
+    found = points.limit(2 * model_blocks + 1).toArrow()
+    if found.num_rows > 2 * model_blocks:
+        points = stage(points, "points")
         return Calibrator("isotonic", lambda d, column, out: interpolate(d, column, points, out, rows_per_task))
-    rows = break_points(blocks).select(F.col("x").alias("feature"), F.col("y").alias("label")).coalesce(1)
+    rows = df.sparkSession.createDataFrame(found.rename_columns(["feature", "label"]))
     model = IsotonicRegression(featuresCol="feature", labelCol="label", isotonic=True).fit(rows)
 
     def transform(d: DataFrame, column: str, out: str) -> DataFrame:
