@@ -8,7 +8,7 @@
    few values, and k is solved on one row per source and value.
 3. **Certain copies.** ``floor(e)`` whole copies are taken at once.
 4. **Pareto order sampling** for the rest: with inclusion probability ``p = e - floor(e)`` and
-   a uniform number u from the id's hash, documents are ranked by the ratio of random odds
+   a uniform number u from the hash of id and text, documents are ranked by the ratio of random odds
    ``u / (1 - u)`` to inclusion odds ``p / (1 - p)``, and taken in this order while their words
    fit the source's remaining target. The sample size is fixed in words, not random.
 5. **Last document.** Of the documents not reached, the one whose words come nearest to the
@@ -16,11 +16,15 @@
 
 The order is never sorted as a whole: words are summed per source and rank bucket, and only
 the bucket that holds the cut is sorted, so a source with a third of all rows is spread over
-all tasks. All sums are of whole numbers, so reruns agree.
+all tasks. Equal rows are counted before they are sorted. All sums are of whole numbers, so
+reruns agree.
 
 Sizes and states: nulls and empty texts have size 0 and are never taken. A null source is a
-source of its own, last in order. Rows equal in id and size share their fate, so that many
-repeats of one row can overshoot the target by their own words. An empty table gives no rows.
+source of its own, last in order. Rows equal in id and text differ by the hash of their other
+columns; rows equal in all columns stand in a row, and where the cut falls among them, or the
+last document is one of them, as many are taken as fit: they are interchangeable, so they are
+counted, and the count is dealt out again. So repeated rows, and rows without id, do not
+overshoot a target. An empty table gives no rows.
 The per-source tables have one row per source, which are the entries a mix is configured by.
 """
 
@@ -33,6 +37,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from riskloom.llm.common import WORD, stage, unwrap, whole_row
 
 BUCKETS = 4096
+#: equal rows that are dealt out together
+DEAL = 8192
+#: order of the sample; rows that agree in it are interchangeable
+ORDER = ("_q", "_id", "_m", "_r")
 
 
 def word_count(text: Column) -> Column:
@@ -95,14 +103,24 @@ def expected_copies(k: Column, weight: Column, max_copies: float) -> Column:
     return F.coalesce(F.least(F.lit(float(max_copies)), k * weight), F.lit(float(max_copies)))
 
 
-def _rank(id_col: Column, size: Column, expected: Column, seed: str) -> Column:
+def _uniform(id_col: Column, text: Column, seed: str) -> Column:
+    """A number between 0 and 1 from the hash of id and text."""
+    told = F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    return (F.conv(F.substring(F.md5(told), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+
+
+def _rank(u: Column, size: Column, expected: Column) -> Column:
     """Random odds over inclusion odds; null where nothing is left to chance."""
-    head = F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13)
-    u = (F.conv(head, 16, 10).cast("double") + 0.5) / float(2**52)
     p = expected - F.floor(expected)
     return F.when((p > 0) & (size > 0), (u / (1.0 - u)) / (p / (1.0 - p)))
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """Hash of all columns that Spark can hash: not of maps and variants."""
+    kinds = [(f.name, f.dataType.simpleString()) for f in df.schema]
+    return F.xxhash64(F.lit(0), *[F.col(f"`{name}`") for name, kind in kinds if "map<" not in kind and "variant" not in kind])
+
+
 def _bucket(rank: Column) -> Column:
     return F.floor(rank / (1.0 + rank) * float(BUCKETS)).cast("int")
 
@@ -123,65 +141,101 @@ class Mix:
     ):
         self.names = (id_col, text_col, source_col)
         self.max_copies, self.seed = max_copies, seed
-        rows = docs.select(
-            F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_m")
-        )
-        rows = rows.withColumn("_s", _source_key(F.col("_source"))).withColumn("_w", _binary_digits(F.col("_m")))
+        rows = self._keyed(docs, F.col(source_col).alias("_source"))
         self.rows = stage(rows, "sizes")
         classes = stage(self.rows.groupBy("_s", "_source", "_w").agg(F.sum("_m").alias("_m")), "classes")
         targets = source_targets(classes, weights, share, max_copies)
         self.plan = self._cut(stage(_copies_per_weight(classes, targets, max_copies), "shares"))
 
-    def _ranked(self, shares: DataFrame) -> DataFrame:
+    def _keyed(self, docs: DataFrame, *more: Column) -> DataFrame:
+        """Source key, id, size, weight, random number and hash of every row."""
+        id_col, text_col, source_col = self.names
+        rows = docs.select(
+            *more,
+            F.col(id_col).alias("_id"),
+            _source_key(F.col(source_col)).alias("_s"),
+            word_count(F.col(text_col)).alias("_m"),
+            _uniform(F.col(id_col), F.col(text_col), self.seed).alias("_u"),
+            _row_hash(docs).alias("_r"),
+        )
+        return rows.withColumn("_w", _binary_digits(F.col("_m")))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
         e = expected_copies(F.col("_k"), F.col("_w"), self.max_copies)
-        ranked = self.rows.join(shares, "_s").withColumn("_q", _rank(F.col("_id"), F.col("_m"), e, self.seed))
-        return ranked.filter(F.col("_q").isNotNull()).withColumn("_b", _bucket(F.col("_q")))
+        placed = rows.withColumn("_e", e).withColumn("_q", _rank(F.col("_u"), F.col("_m"), F.col("_e")))
+        return placed.withColumn("_b", _bucket(F.col("_q")))
 
     def _cut(self, shares: DataFrame) -> DataFrame:
-        ranked = self._ranked(shares.select("_s", "_k", "_rest"))
+        ranked = self._placed(self.rows.join(shares.select("_s", "_k", "_rest"), "_s")).filter("_q IS NOT NULL")
         buckets = ranked.groupBy("_s", "_rest", "_b").agg(F.sum("_m").alias("_m"))
         running = F.sum("_m").over(Window.partitionBy("_s").orderBy("_b"))  # at most BUCKETS rows of a source
         buckets = buckets.withColumn("_upto", running)
         edge = buckets.filter((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_m") <= F.col("_rest")))
         edge = stage(edge.select("_s", F.col("_b").alias("_edge"), (F.col("_upto") - F.col("_m")).alias("_before")), "edges")
 
-        # inside the bucket of the cut: the rows in order, as long as they fit
-        order = ["_q", "_id", "_m"]
+        # inside the bucket of the cut: equal rows counted, then in order as long as they fit
         inside = ranked.join(edge, "_s").filter("_b = _edge")
-        sum_inside = F.sum("_m").over(Window.partitionBy("_s").orderBy(*order))  # equal rows share their sum
-        fitting = inside.withColumn("_sum", F.col("_before") + sum_inside).filter("_sum <= _rest")
-        last = fitting.groupBy("_s").agg(F.max(F.struct(*order)).alias("_last"), F.max("_sum").alias("_sum"))
+        inside = inside.groupBy("_s", "_rest", "_before", *ORDER).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum(F.col("_n") * F.col("_m")).over(Window.partitionBy("_s").orderBy(*ORDER))
+        inside = inside.withColumn("_sum", F.col("_before") + upto)
+        # of the first equal rows that do not all fit, those that do
+        room = F.floor((F.col("_rest") - F.col("_sum")) / F.col("_m")) + F.col("_n")
+        part = F.when((F.col("_sum") > F.col("_rest")) & (room > 0), F.struct(*ORDER, room.alias("_c")))
+        fits = F.col("_sum") <= F.col("_rest")
+        last = inside.groupBy("_s").agg(
+            F.max(F.when(fits, F.struct(*ORDER))).alias("_last"),
+            F.max(F.when(fits, F.col("_sum"))).alias("_sum"),
+            F.min(part).alias("_part"),
+        )
         cut = shares.join(edge, "_s", "left").join(last, "_s", "left")
-        cut = stage(cut.withColumn("_gap", F.col("_rest") - F.coalesce("_sum", "_before")), "cuts")
+        reached = F.coalesce("_sum", "_before") + F.coalesce(F.col("_part._c") * F.col("_part._m"), F.lit(0))
+        cut = stage(cut.withColumn("_gap", F.col("_rest") - reached), "cuts")
 
         # the row beyond the cut whose words come nearest to the gap
         beyond = ranked.join(cut.select("_s", "_edge", "_last", "_gap"), "_s").filter(~self._before_cut())
         beyond = beyond.withColumn("_d", F.abs(F.col("_m") - F.col("_gap"))).filter("_d < _gap")
         nearest = stage(beyond.groupBy("_s").agg(F.min("_d").alias("_d")), "nearest")
-        filler = beyond.join(nearest, ["_s", "_d"]).groupBy("_s").agg(F.min(F.struct(*order)).alias("_fill"))
+        filler = beyond.join(nearest, ["_s", "_d"]).groupBy("_s", *ORDER).agg(F.count(F.lit(1)).alias("_n"))
+        filler = filler.groupBy("_s").agg(F.min(F.struct(*ORDER, "_n")).alias("_fill"))
         return stage(cut.join(filler, "_s", "left"), "mix")
 
     @staticmethod
     def _before_cut() -> Column:
-        at = F.struct("_q", "_id", "_m")
-        inside = F.coalesce((F.col("_b") == F.col("_edge")) & (at <= F.col("_last")), F.lit(False))
+        inside = F.coalesce((F.col("_b") == F.col("_edge")) & (F.struct(*ORDER) <= F.col("_last")), F.lit(False))
         return F.col("_edge").isNull() | (F.col("_b") < F.col("_edge")) | inside
 
-    def with_copies(self, rows: DataFrame) -> DataFrame:
-        """Add ``_copies`` and the source's figures to rows with ``_s, _id, _m, _w``."""
-        joined = rows.join(self.plan, "_s")
-        e = expected_copies(F.col("_k"), F.col("_w"), self.max_copies)
-        joined = joined.withColumn("_e", e)
-        joined = joined.withColumn("_q", _rank(F.col("_id"), F.col("_m"), F.col("_e"), self.seed))
-        joined = joined.withColumn("_b", _bucket(F.col("_q")))
-        filler = F.coalesce(F.struct("_q", "_id", "_m").eqNullSafe(F.col("_fill")) & F.col("_fill").isNotNull(), F.lit(False))
-        chance = F.col("_q").isNotNull() & (self._before_cut() | filler)
-        copies = F.when(F.col("_m") > 0, F.floor("_e") + F.when(chance, 1).otherwise(0)).otherwise(0)
-        return joined.withColumn("_copies", copies.cast("long"))
+    @staticmethod
+    def _is(name: str) -> Column:
+        """The row is one of those that ``_part`` or ``_fill`` names."""
+        named = F.struct(*[F.col(f"{name}.{c}").alias(c) for c in ORDER])
+        return F.col(name).isNotNull() & F.coalesce(F.struct(*ORDER).eqNullSafe(named), F.lit(False))
+
+    def with_copies(self, rows: DataFrame, *kept: str) -> DataFrame:
+        """``kept``, the source's figures and ``_copies`` of the rows of ``_keyed``."""
+        joined = self._placed(rows.join(self.plan, "_s"))
+        certain, in_part, in_fill = F.floor("_e"), self._is("_part"), self._is("_fill")
+        chance = F.col("_q").isNotNull() & (self._before_cut() | in_fill)
+        copies = F.when(F.col("_m") > 0, certain + F.when(chance, 1).otherwise(0)).otherwise(0)
+        figures = ["source_size", "target"]
+        out = [*kept, *figures]
+        if self.plan.filter("_part IS NOT NULL OR _fill._n > 1").isEmpty():
+            return joined.select(*out, copies.cast("long").alias("_copies"))
+        shared = in_part | (in_fill & (F.col("_fill._n") > 1))
+        alone = joined.filter(~shared).select(*out, copies.cast("long").alias("_copies"))
+        taken = F.when(in_part, F.col("_part._c")).otherwise(0) + F.when(in_fill, 1).otherwise(0)
+        groups = joined.filter(shared).select("_s", *ORDER, F.struct(*out).alias("_out"), certain.alias("_whole"), taken.alias("_x"))
+        groups = groups.groupBy("_s", *ORDER, "_whole", "_x").agg(F.count(F.lit(1)).alias("_n"), F.first("_out").alias("_out"))
+        # a count is dealt out again in portions of DEAL rows, over all tasks
+        portions = groups.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(DEAL).cast("long"))))
+        portions = portions.repartition("_s", "_at")
+        ends = F.least(F.col("_n"), F.col("_at") + DEAL) - 1
+        dealt = portions.withColumn("_i", F.explode(F.sequence(F.col("_at"), ends)))
+        one = (F.col("_whole") + F.when(F.col("_i") < F.col("_x"), 1).otherwise(0)).cast("long")
+        return alone.unionByName(dealt.select("_out.*", one.alias("_copies")))
 
     def report(self) -> DataFrame:
         """Per input row: id, ``size``, ``source_size``, ``target``, ``taken`` (words, repeats counted) and ``copies``."""
-        return self.with_copies(self.rows).select(
+        return self.with_copies(self.rows, "_id", "_m").select(
             F.col("_id").alias(self.names[0]),
             F.col("_m").alias("size"),
             "source_size",
@@ -192,12 +246,5 @@ class Mix:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """The mixed rows: each row of ``docs`` as often as it is taken, with all its columns."""
-        id_col, text_col, source_col = self.names
-        rows = docs.select(
-            whole_row(docs),
-            F.col(id_col).alias("_id"),
-            _source_key(F.col(source_col)).alias("_s"),
-            word_count(F.col(text_col)).alias("_m"),
-        ).withColumn("_w", _binary_digits(F.col("_m")))
-        taken = self.with_copies(rows).filter("_copies > 0")
+        taken = self.with_copies(self._keyed(docs, whole_row(docs)), "_row").filter("_copies > 0")
         return unwrap(taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")))

@@ -223,10 +223,10 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""",
     "op1_pareto_mix": r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS m FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS t, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS m FROM documents),
 r AS (
   SELECT *, CAST(length(bin(m)) AS DOUBLE) AS w,
-         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
   FROM d),
 s0 AS (SELECT source, sum(m)::BIGINT AS source_size FROM r GROUP BY source),
 s1 AS (
@@ -257,14 +257,15 @@ e0 AS (
   FROM r JOIN k3 ON r.source IS NOT DISTINCT FROM k3.source),
 e1 AS (SELECT *, CASE WHEN e - floor(e) > 0 AND m > 0 THEN (u / (1.0 - u)) / ((e - floor(e)) / (1.0 - (e - floor(e)))) END AS q FROM e0),
 e2 AS (
-  SELECT *, CASE WHEN q IS NOT NULL THEN sum(m) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id NULLS FIRST, m) END AS cum FROM e1),
+  SELECT *, row_number() OVER o AS place, CASE WHEN q IS NOT NULL THEN sum(m) OVER o END AS cum
+  FROM e1 WINDOW o AS (PARTITION BY source, q IS NULL ORDER BY q, doc_id NULLS FIRST, m ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT source, any_value(rest) - coalesce(max(cum) FILTER (cum <= rest), 0) AS gap FROM e2 GROUP BY source),
 f AS (
-  SELECT e2.source, first({'q': q, 'id': doc_id, 'm': m} ORDER BY abs(m - gap), q, doc_id NULLS FIRST, m) AS fill
+  SELECT e2.source, first(place ORDER BY abs(m - gap), place) AS fill
   FROM e2 JOIN g ON e2.source IS NOT DISTINCT FROM g.source WHERE cum > rest AND abs(m - gap) < gap GROUP BY e2.source),
 c AS (
   SELECT e2.*, CASE WHEN m = 0 THEN 0 ELSE CAST(floor(e) AS BIGINT) + CASE WHEN q IS NOT NULL AND (cum <= rest OR
-         (fill IS NOT NULL AND q = fill.q AND doc_id IS NOT DISTINCT FROM fill.id AND m = fill.m)) THEN 1 ELSE 0 END END AS copies
+         place = fill) THEN 1 ELSE 0 END END AS copies
   FROM e2 LEFT JOIN f ON e2.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, m AS size, source_size, target, copies * m AS taken, copies FROM c""",
     "op2_exact_dedup": """

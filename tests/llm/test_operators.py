@@ -84,6 +84,33 @@ def test_mix_inclusion_follows_expected_copies(spark):
     assert all(abs(r["m"] - min(2.0, k * len(bin(r["size"])[2:]))) < 0.06 for r in got)
 
 
+@pytest.mark.parametrize("portion", [8192, 7])
+def test_mix_cuts_equal_rows_one_by_one(spark, monkeypatch, portion):
+    monkeypatch.setattr(mixing, "DEAL", portion)
+    schema = "doc_id long, text string, source string, note string"
+    rows = [(None, "a b c d e f g", "s", "x")] * 700 + [(None, f"w{k % 9} " * (1 + k % 40), "s", "y") for k in range(900)]
+    rows += [(7, "one two three", "t", "z")] * 400 + [(k, "four five six seven", None, None) for k in range(50)]
+    docs = spark.createDataFrame(rows, schema)
+    mix = mixing.Mix(docs, share=0.9)
+    got = mix.report().collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"]) for r in got) == sorted(
+        (-1 if i is None else i, len(words(t))) for i, t, _, _ in rows
+    )
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    taken: dict[tuple, int] = {}
+    targets = {r["source_size"]: r["target"] for r in got}
+    for r in got:
+        taken[r["source_size"]] = taken.get(r["source_size"], 0) + r["taken"]
+    assert len(taken) == 3 and all(abs(taken[s] - targets[s]) <= 40 for s in taken)
+    assert all(abs(taken[s] - targets[s]) <= m for s, m in ((1200, 3), (200, 4)))
+    applied = mix.apply(docs)
+    assert applied.columns == docs.columns
+    per = {r["source"]: r["n"] for r in applied.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert sorted(per.values()) == sorted(v for v in taken.values() if v)
+    again = mixing.Mix(docs.repartition(3), share=0.9).report().collect()
+    assert sorted((r["size"], r["taken"]) for r in again) == sorted((r["size"], r["taken"]) for r in got)
+
+
 def test_mix_of_nothing(empty):
     assert mixing.Mix(empty).report().count() == 0 and mixing.Mix(empty).apply(empty).count() == 0
 
