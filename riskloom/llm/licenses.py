@@ -1,26 +1,33 @@
 """Licence scan by a trained paragraph classifier.
 
-Units are windows of ``WINDOW`` words of a paragraph, half overlapping, so that a notice is seen
-whole wherever it begins and however it is wrapped; every paragraph of every text is covered. A
-paragraph is a run of lines up to one without a word (blank, or signs only); a notice that goes
-on after such a line is two. A notice's line is that of its first word. Features are the word pairs and
-triples that occur in the templates. A multinomial logistic regression (Spark ML, on sparse
-rows) learns the families and an "unknown" class:
+A paragraph is a run of lines up to one without a word (blank, or signs only); a notice that goes
+on after such a line is two. Features are the word pairs and triples that occur in the templates.
+Units are stretches of a paragraph: windows of ``WINDOW`` words, half overlapping, so that a
+notice is seen whole wherever it begins and however it is wrapped, parted where more than ``GAP``
+words begin no feature. Every paragraph of every text is covered. A multinomial logistic
+regression (Spark ML, on sparse rows) learns the families and an "unknown" class:
 
 * known: every template, whole and in parts, alone and between words of the corpus;
-* unknown: windows of a bounded sample of documents (``sample_docs`` rows in hash order, a
-  documented parameter) that hold no template, templates with their words shuffled, and the
-  window without any feature.
+* unknown: stretches of the corpus that hold features but too little of every template, templates
+  with their words shuffled, pieces of them too small to confirm, and the unit without features.
+
+The corpus units come from about ``sample_docs`` documents in hash order (equal ones count once),
+cut into stretches by the tasks; ``sample_units`` of the different ones, in hash order, teach.
+Both are documented parameters: they bound what training reads, not what is scanned.
 
 A part of the training units is kept aside to calibrate the unknown class: a temperature is
-fitted to the log-loss, and the least probability of a family is set so that no more than
-``false_rate`` of the unknown units kept aside pass. In a window, every span of words that holds
-enough of a template (share of its pairs and triples) is classified by its own features, the
-fullest first, and counts if the classifier names that template's family. A find takes its
-features away in its span only, and a span that is refused leaves the others as they are, so one
-unit may hold several licences, cut ones beside whole ones too.
-
-A unit without any template pair has no features; it is unknown by training, and skipped.
+fitted to the log-loss, and the least probability of being known is set so that no more than
+``false_rate`` of the unknown units kept aside pass, but never so high that more than
+``miss_rate`` of the known ones are lost.
+
+In a unit the classifier names a family: the most probable one, if being known is probable
+enough. The comparison with that family's templates confirms it: some span of words must hold
+enough of one (share of its pairs and triples). Confirmed, the span is a notice and its features
+are taken away; refused, the family and the features that only it has are put aside. Either way
+the rest of the unit is classified again, until it is unknown or has no features, so that one
+unit may hold several licences, cut ones beside whole ones too. A notice's line is that of its
+first word.
+
 Null and empty texts hold no licence. Repeated rows give repeated results. With no documents at
 all the model still has the templates. Other columns are not read.
 """
@@ -29,8 +36,8 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +45,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskloom.llm.common import hash_sample, text_bytes
+from riskloom.llm.common import hash_sample, stage, text_bytes
 
 #: Notices by family, in the usual wording of their publishers.
 TEMPLATES = {
@@ -51,6 +58,7 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     ),
+    "artistic-2.0": ("This is free software, licensed under The Artistic License 2.0.",),
     "bsd": (
         "Licensed under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -65,6 +73,8 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
     "cc0-1.0": ("Released under CC0 1.0.", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    "cddl-1.0": ("The contents of this file are subject to the terms of the Common Development and Distribution License",),
+    "epl-2.0": ("are made available under the terms of the Eclipse Public License v. 2.0", "Licensed under the Eclipse Public License 2.0."),
     "gpl-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
@@ -81,11 +91,19 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "zlib": (
+        "Licensed under the zlib License.",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    ),
 }
 UNKNOWN = "unknown"
 #: place of the first word, and the pair or triple
 Hit = tuple[int, bytes]
 WINDOW = 64
+GAP = 6
+#: share of a template's pairs and triples that confirms it
+COVERAGE = 0.75
 _PLAIN = bytes(b if chr(b).isalnum() or b in b"\n" or b > 127 else 32 for b in range(256))
 
 
@@ -115,47 +133,69 @@ def grams(words: list[bytes]) -> list[bytes]:
     return pairs + [b" ".join(p) for p in zip(words, words[1:], words[2:], strict=False)]
 
 
-def windows(words: list[bytes]) -> list[tuple[int, list[bytes]]]:
-    """Start and words of the windows of a paragraph."""
-    if len(words) <= WINDOW:
-        return [(0, words)]
-    return [(at, words[at : at + WINDOW]) for at in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
-
+@dataclass(frozen=True)
+class Templates:
+    """The features, and per template its family and own features."""
 
-@dataclass
-class LicenseModel:
     names: list[str]
     vocabulary: dict[bytes, int]
-    weights: np.ndarray
-    intercept: np.ndarray
     templates: list[tuple[int, frozenset[bytes]]]
-    temperature: float = 1.0
-    least: float = 0.5
-    coverage: float = 0.75
-    follow: dict[bytes, set[bytes]] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        for a, b in (g.split(b" ") for g in self.vocabulary if g.count(b" ") == 1):
-            self.follow.setdefault(a, set()).add(b)
-
-    def probabilities(self, indices: set[int]) -> np.ndarray:
-        z = (self.intercept + self.weights[:, sorted(indices)].sum(axis=1)) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+    #: families that have a feature
+    owners: dict[bytes, frozenset[int]]
+    follow: dict[bytes, set[bytes]]
+
+    @staticmethod
+    def of(texts: dict[str, tuple[str, ...]]) -> Templates:
+        names = sorted(texts)
+        templates = [(k, frozenset(grams(words_of(t.encode())))) for k, name in enumerate(names) for t in texts[name]]
+        owners: dict[bytes, set[int]] = {}
+        follow: dict[bytes, set[bytes]] = {}
+        for k, own in templates:
+            for g in own:
+                owners.setdefault(g, set()).add(k)
+                if g.count(b" ") == 1:
+                    follow.setdefault(g.split(b" ")[0], set()).add(g.split(b" ")[1])
+        vocabulary = {g: i for i, g in enumerate(sorted(owners))}
+        return Templates([*names, UNKNOWN], vocabulary, templates, {g: frozenset(f) for g, f in owners.items()}, follow)
+
+    def units(self, words: list[bytes]) -> Iterator[tuple[int, list[Hit]]]:
+        """Half of the paragraph that the unit starts in, and the features of the unit, in order.
+
+        The stretches of a window are units; those that begin in its second half are left to the next window.
+        """
+        half = WINDOW // 2
+        hits: dict[int, list[Hit]] = {}
+        for k, (a, b) in enumerate(zip(words, words[1:], strict=False)):
+            if a in self.follow and b in self.follow[a]:
+                block = hits.setdefault(k // half, [])
+                both = (a + b" " + b, b" ".join(words[k : k + 3]))
+                block += [(k, g) for g in dict.fromkeys(both) if g in self.vocabulary]
+        for block in sorted(hits):
+            unit: list[Hit] = []
+            for hit in hits[block] + hits.get(block + 1, []):
+                if unit and hit[0] - unit[-1][0] > GAP:
+                    yield block, unit
+                    unit = []
+                if not unit and hit[0] // half > block:
+                    break
+                unit.append(hit)
+            if unit:
+                yield block, unit
 
-    def candidates(self, hits: list[Hit], barred: set[tuple[int, Hit]]) -> Iterator[tuple[tuple[bool, int, int, int], list[Hit]]]:
-        """Rank and features of the fullest span of every template that has one with enough of it.
+    def confirm(self, family: int, hits: list[Hit]) -> list[Hit]:
+        """The span that holds most of a template of the family; empty if none holds ``COVERAGE`` of one.
 
-        A span is close if it is no longer than one and a half templates; a wider one counts
-        where there is no close one. Of spans that hold as much, the shortest is taken.
+        Of a template's spans, those no longer than one and a half templates come before wider
+        ones; of spans that hold as much, the shortest is taken.
         """
-        for number, (_, template) in enumerate(self.templates):
-            own = [h for h in hits if h[1] in template and (number, h) not in barred]
-            if len({g for _, g in own}) < self.coverage * len(template):
+        best: tuple[bool, int, int] = (False, 0, 0)
+        found: list[Hit] = []
+        for _, template in (t for t in self.templates if t[0] == family):
+            own = [h for h in hits if h[1] in template]
+            if len({g for _, g in own}) < COVERAGE * len(template):
                 continue
             for close in (True, False):
                 reach = len(template) * 3 // 4 + 3 if close else WINDOW
-                best, span = (0, 0), own
                 for at, (start, _) in enumerate(own):
                     inside: set[bytes] = set()
                     end = at
@@ -165,113 +205,160 @@ class LicenseModel:
                         if own[k][1] not in inside:
                             inside.add(own[k][1])
                             end = k
-                    if (len(inside), start - own[end][0]) > best or not best[0]:
-                        best, span = (len(inside), start - own[end][0]), own[at : end + 1]
-                if best[0] >= self.coverage * len(template):
-                    yield (close, best[0], -len(template), -number), span
-                    break
+                    rank = (close, len(inside), start - own[end][0])
+                    if len(inside) >= COVERAGE * len(template) and (not found or rank > best):
+                        best, found = rank, own[at : end + 1]
+        return found
+
+    def confirmed(self, hits: list[Hit]) -> bool:
+        """Whether the features hold any template."""
+        return any(self.confirm(family, hits) for family in range(len(self.names) - 1))
+
+
+@dataclass
+class LicenseModel:
+    known: Templates
+    weights: np.ndarray
+    intercept: np.ndarray
+    temperature: float = 1.0
+    least: float = 0.5
+
+    def probabilities(self, features: Iterable[bytes], barred: Iterable[int] = ()) -> np.ndarray:
+        """Of every class, the last being unknown; barred families have none."""
+        columns = sorted({self.known.vocabulary[g] for g in features})
+        z = (self.intercept + self.weights[:, columns].sum(axis=1)) / self.temperature
+        z[list(barred)] = -np.inf
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    def name(self, features: Iterable[bytes], barred: Iterable[int] = ()) -> tuple[int | None, float]:
+        """The most probable family and its probability; no family where the unit is unknown."""
+        p = self.probabilities(features, barred)
+        family = int(np.argmax(p[:-1]))
+        return (family if 1.0 - p[-1] >= self.least else None), float(p[family])
 
     def notices(self, words: list[bytes]) -> list[tuple[int, str, float]]:
         """Place of the first word, family and probability of every confirmed notice.
 
-        A window owns the notices that begin in its first half. The fullest span is judged
-        first, by the features that lie in it. Confirmed, its template's features are taken away
-        there and nowhere else; refused, they are barred for that template only. So the rest is
-        judged whatever became of a notice beside it, until no template has enough features.
+        A window owns the notices that begin in its first half.
         """
-        half = WINDOW // 2
-        hits: dict[int, list[Hit]] = {}
-        for k, (a, b) in enumerate(zip(words, words[1:], strict=False)):
-            if a in self.follow and b in self.follow[a]:
-                block = hits.setdefault(k // half, [])
-                block += [(k, g) for g in (a + b" " + b, b" ".join(words[k : k + 3])) if g in self.vocabulary]
         out: list[tuple[int, str, float]] = []
         claimed: set[Hit] = set()
-        for block in sorted(hits):
-            rest = [h for b in (block, block + 1) for h in dict.fromkeys(hits.get(b, ())) if h not in claimed]
-            barred: set[tuple[int, Hit]] = set()
-            while found := max(self.candidates(rest, barred), default=None):
-                (_, _, _, number), span = found
-                family, start, end = self.templates[-number][0], span[0][0], span[-1][0]
-                p = self.probabilities({self.vocabulary[g] for k, g in rest if start <= k <= end})
-                if int(np.argmax(p)) != family or p[family] < self.least:
-                    barred |= {(-number, h) for h in span}
+        for block, unit in self.known.units(words):
+            rest = [h for h in unit if h not in claimed]
+            barred: set[int] = set()
+            while shown := {g for _, g in rest if not self.known.owners[g] <= barred}:
+                family, p = self.name(shown, barred)
+                if family is None:
+                    break
+                span = self.known.confirm(family, rest)
+                if not span:
+                    barred.add(family)
                     continue
-                rest = [h for h in rest if h not in set(span)]
-                if start // half == block:
-                    claimed |= set(span)
-                    out.append((start, self.names[family], float(p[family])))
+                taken = set(span)
+                rest = [h for h in rest if h not in taken]
+                if span[0][0] // (WINDOW // 2) == block:
+                    claimed |= taken
+                    out.append((span[0][0], self.known.names[family], p))
         return sorted(out)
 
 
-def _units(name: int, text: str, filler: list[bytes], rng: np.random.Generator, times: int) -> list[tuple[int, list[bytes]]]:
-    """Training units of a template: whole, in parts of at least three quarters, with words of the corpus around."""
-    words = words_of(text.encode())
-    out = [(name, words)]
-    for _ in range(times):
-        n = int(rng.integers(-(-3 * len(words) // 4), len(words) + 1))
-        at = int(rng.integers(0, len(words) - n + 1))
-        before, after = ([filler[k] for k in rng.integers(0, len(filler), rng.integers(0, 12))] if filler else [] for _ in "ab")
-        out.append((name, before + words[at : at + n] + after))
-    return out
-
+def corpus_units(docs: DataFrame, known: Templates, id_col: str, text_col: str, sample_docs: int, sample_units: int) -> tuple[list[list[bytes]], list[bytes]]:
+    """Features of stretches that hold features and no template, and words of the corpus, from a bounded sample.
 
-def training_units(sample: list[bytes], times: int = 24, seed: int = 7) -> tuple[list[str], list[tuple[int, list[bytes]]]]:
+    Both are made by the tasks and made distinct before a bounded number comes to the driver. A word
+    of the sample has at most 40 bytes; longer ones are no filler.
+    """
+    texts = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    place = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 32))
+    near = texts.filter(place <= int(min(1.0, sample_docs / max(1, texts.count())) * (1 << 32)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in text_bytes(batch.column(0)):
+                rows = []
+                for words, _ in paragraphs(text):
+                    rows += [(True, b" ".join(w for w in words[at : at + 12] if len(w) <= 40)) for at in range(0, len(words), 12)]
+                    for _, unit in known.units(words):
+                        if not known.confirmed(unit):
+                            rows.append((False, b"\n".join(sorted({g for _, g in unit}))))
+                kinds, units = zip(*dict.fromkeys(rows), strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.bool_()), pa.array(units, pa.binary())], ["filler", "unit"])
+
+    units = stage(near.select("t").mapInArrow(cut, "filler boolean, unit binary").distinct(), "units")
+    taught = hash_sample(units.filter("NOT filler").select("unit"), sample_units, "unit").collect()
+    filler = hash_sample(units.filter("filler").select("unit"), sample_units // 4, "unit").collect()
+    return [bytes(r["unit"]).split(b"\n") for r in taught], [bytes(r["unit"]) for r in filler]
+
+
+def training_units(known: Templates, taught: list[list[bytes]], filler: list[bytes], times: int = 24, seed: int = 7) -> list[tuple[int, list[bytes]]]:
+    """Class and features of every training unit."""
     rng = np.random.default_rng(seed)
-    names = [*sorted(TEMPLATES), UNKNOWN]
-    unknown = len(names) - 1
-    lines = [w for text in sample for words, _ in paragraphs(text) for _, w in windows(words)]
-    known = {g for texts in TEMPLATES.values() for t in texts for g in grams(words_of(t.encode()))}
-    filler = [w for line in lines[:2000] for w in line[:20]]
-    units = [u for k, name in enumerate(names[:-1]) for t in TEMPLATES[name] for u in _units(k, t, filler, rng, times)]
-    # a line of the sample that holds most of a template may be one, so it does not teach "unknown"
-    free = [line for line in lines if not any(g in known for g in grams(line))]
-    units += [(unknown, line) for line in free[:2000]]
-    for texts in TEMPLATES.values():
-        for t in texts:
-            words = words_of(t.encode())
-            for _ in range(times // 2):
-                mixed = [words[k] for k in rng.permutation(len(words))]
+    unknown = len(known.names) - 1
+
+    def around() -> list[bytes]:
+        return filler[int(rng.integers(0, len(filler)))].split()[: int(rng.integers(0, 13))] if filler else []
+
+    out = [(unknown, unit) for unit in taught] + [(unknown, [])]
+    for family, name in enumerate(known.names[:-1]):
+        for text in TEMPLATES[name]:
+            words = words_of(text.encode())
+            out.append((family, grams(words)))
+            for k in range(times):
+                n = int(rng.integers(-(-3 * len(words) // 4), len(words) + 1))
+                at = int(rng.integers(0, len(words) - n + 1))
+                out.append((family, grams(around() + words[at : at + n] + around())))
+                if k % 2:
+                    continue
+                mixed = [words[j] for j in rng.permutation(len(words))]
                 if mixed != words:
-                    units.append((unknown, mixed))
-    return names, [*units, (unknown, [])]
+                    out.append((unknown, grams(around() + mixed + around())))
+                n = int(rng.integers(2, max(3, len(words) // 3 + 1)))
+                at = int(rng.integers(0, len(words) - n + 1))
+                piece = words[at : at + n]
+                if not any(known.confirmed(unit) for _, unit in known.units(piece)):
+                    out.append((unknown, grams(around() + piece + around())))
+    return [(k, [g for g in unit if g in known.vocabulary]) for k, unit in out]
 
 
 def train(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 300, false_rate: float = 0.001
+    spark: SparkSession,
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample_docs: int = 3000,
+    sample_units: int = 2000,
+    false_rate: float = 0.01,
+    miss_rate: float = 0.001,
 ) -> LicenseModel:
-    """Fit and calibrate on the templates and at most ``sample_docs`` documents."""
-    texts = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-    chosen = hash_sample(texts, sample_docs, "i", "t")
-    names, units = training_units([b"" if r["t"] is None else r["t"].encode() for r in chosen.collect()])
-    vocabulary: dict[bytes, int] = {}
-    templates = []
-    for k, name in enumerate(names[:-1]):
-        for t in TEMPLATES[name]:
-            own = frozenset(grams(words_of(t.encode())))
-            templates.append((k, own))
-            for g in sorted(own):
-                vocabulary.setdefault(g, len(vocabulary))
-    rows = [(k, sorted({vocabulary[g] for g in grams(w) if g in vocabulary})) for k, w in units]
-    aside = np.random.default_rng(11).random(len(rows)) < 0.25
-    data = [(float(k), Vectors.sparse(len(vocabulary), x, [1.0] * len(x))) for (k, x), a in zip(rows, aside, strict=True) if not a]
+    """Fit and calibrate on the templates and at most ``sample_units`` stretches of the corpus."""
+    known = Templates.of(TEMPLATES)
+    units = training_units(known, *corpus_units(docs, known, id_col, text_col, sample_docs, sample_units))
+    aside = np.random.default_rng(11).random(len(units)) < 0.25
+    size = len(known.vocabulary)
+    data = []
+    for (k, unit), a in zip(units, aside, strict=True):
+        if not a:
+            columns = sorted({known.vocabulary[g] for g in unit})
+            data.append((float(k), Vectors.sparse(size, columns, [1.0] * len(columns))))
     frame = spark.createDataFrame(data, ["label", "features"]).repartition(4)
     fitted = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=60, standardization=False).fit(frame)
-    weights = fitted.coefficientMatrix.toArray()
-    model = LicenseModel(names, vocabulary, weights, fitted.interceptVector.toArray(), templates)
+    model = LicenseModel(known, fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray())
     # calibration on the units kept aside
-    held = [(k, x) for (k, x), a in zip(rows, aside, strict=True) if a]
+    held = [unit for unit, a in zip(units, aside, strict=True) if a]
     truth = np.array([k for k, _ in held])
 
-    def loss(temperature: float) -> float:
+    def scored(temperature: float) -> np.ndarray:
         model.temperature = temperature
-        p = np.array([model.probabilities(set(x))[k] for k, x in held])
-        return float(-np.log(np.maximum(p, 1e-12)).mean())
+        return np.array([model.probabilities(unit) for _, unit in held])
+
+    def loss(temperature: float) -> float:
+        return float(-np.log(np.maximum(scored(temperature)[np.arange(len(held)), truth], 1e-12)).mean())
 
     model.temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=loss)
-    p = np.array([model.probabilities(set(x)) for _, x in held])
-    wrong = np.sort(p[truth == len(names) - 1, :-1].max(axis=1))
-    model.least = float(max(0.5, np.quantile(wrong, 1 - false_rate))) if len(wrong) else 0.5
+    sure = 1.0 - scored(model.temperature)[:, -1]
+    strange = truth == len(known.names) - 1
+    model.least = float(np.clip(np.quantile(sure[strange], 1 - false_rate), 0.05, np.quantile(sure[~strange], miss_rate)))
     return model
 
 

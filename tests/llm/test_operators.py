@@ -550,6 +550,65 @@ def test_licenses_wrapped(spark):
     assert dict(zip(expected, scanned(spark, expected), strict=True)) == expected
 
 
+def plain_confirmation(known, family, hits):
+    """Whether any span of hits, all of them tried, holds enough of a template of the family."""
+    for own in (t for k, t in known.templates if k == family):
+        for i in range(len(hits)):
+            for j in range(i + 1, len(hits) + 1):
+                span = hits[i:j]
+                short = span[-1][0] - span[0][0] < licenses.WINDOW
+                if short and len({g for _, g in span} & own) >= licenses.COVERAGE * len(own):
+                    return True
+    return False
+
+
+def test_confirmation_against_all_spans():
+    known = licenses.Templates.of(licenses.TEMPLATES)
+    rng = np.random.default_rng(3)
+    pool = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    seen = Counter()
+    for _ in range(120):
+        words = []
+        for t in rng.choice(pool, 2):
+            own = licenses.words_of(t.encode())
+            words += [b"x"] * int(rng.integers(0, 9)) + own[: int(rng.integers(len(own) // 2, len(own) + 1))]
+        for _, unit in known.units(words):
+            for family in range(len(known.names) - 1):
+                got = bool(known.confirm(family, unit))
+                assert got == plain_confirmation(known, family, unit)
+                seen[got] += 1
+    assert seen[True] > 50 and seen[False] > 50
+
+
+NEAR = (
+    "the contents of this file are subject to review under the terms of the lease",
+    "he was granted free of charge a copy of the work under version 2 of the contract",
+    "permission to use the software was subject to the terms published by the foundation",
+)
+
+
+def test_the_classifier_names_and_the_templates_confirm(spark):
+    texts = [f"{NEAR[k % 3]} number {k}\n\nplain words {k}" for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licenses.train(spark, docs)
+    known = model.known
+    # corpus stretches with features that confirm no template are unknown to the classifier itself
+    for text in NEAR:
+        for _, unit in known.units(licenses.words_of(text.encode())):
+            assert model.name({g for _, g in unit})[0] is None
+    # whole templates are named by it
+    for family, name in enumerate(known.names[:-1]):
+        for t in licenses.TEMPLATES[name]:
+            assert model.name(set(licenses.grams(licenses.words_of(t.encode()))))[0] == family
+    # a family that is named for a cut notice is refused by its templates
+    cut = licenses.words_of(MIT.encode())[:13]
+    assert known.names[model.name({g for g in licenses.grams(cut) if g in known.vocabulary})[0]] == "mit"
+    assert model.notices(cut) == []
+    repeated = docs.unionAll(docs.filter("doc_id = 0").withColumn("doc_id", F.explode(F.array_repeat("doc_id", 500))))
+    taught, filler = licenses.corpus_units(repeated, known, "doc_id", "text", 10**6, 20)
+    assert len(taught) <= 20 and len(filler) <= 5
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 @pytest.mark.parametrize(("n", "seeds"), [(1_000, 10), (20_000, 10), (200_000, 3)])
 def test_collisions_are_unbiased_on_long_texts(n, seeds, weighted):
