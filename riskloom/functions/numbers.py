@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 _SPLIT = 134217729.0  # 2^27 + 1
@@ -29,15 +31,31 @@ def exact_round(x: Column, places: int) -> Column:
     return exact_units(x, places) / float(10**places)
 
 
+def _size_units(a: Column, places: int) -> Column:
+    """``exact_units`` of ``a >= 0``, short enough to be compiled.
+
+    The product decides wherever it is not itself half way between two units: rounding it never
+    carries it over such a point. Only there, and where it has no places left, the whole
+    expression is evaluated, on a bound value.
+    """
+    product = a * float(10**places)
+    near = F.rint(product)
+    tie = F.get(F.transform(F.array(a), lambda v: exact_units(v, places)), F.lit(0))
+    hard = (F.abs(product - near) == 0.5) | (product >= float(2**52))
+    return F.when(hard, tie).otherwise(F.floor(near))
+
+
 def fixed_text(x: Column, places: int) -> Column:
     """``%.<places>f``; ``nan`` and ``inf`` by name, NULL for NULL. Exact below 2^40, beyond it as Java formats."""
-    units = exact_units(x, places)
-    size = F.abs(units)
-    whole = F.floor(size / 10**places).cast("string")
-    digits = F.lpad((size % 10**places).cast("string"), places, "0")
-    exact = F.concat(F.when(x < 0, "-").otherwise(""), whole, F.lit("."), digits)
-    named = F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf"))
-    return named.when(F.abs(x) < float(2**40), exact).when(x.isNotNull(), F.format_string(f"%.{places}f", x))
+    sign = F.when(x < 0, "-").otherwise("")
+    # the units as a decimal number: its text has the point and the leading zeros
+    number = _size_units(F.abs(x), places).cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-places))
+    return (
+        F.when(F.abs(x) < float(2**40), F.concat(sign, number.cast("string")))
+        .when(F.isnan(x), "nan")
+        .when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(x.isNotNull(), F.format_string(f"%.{places}f", x))
+    )
 
 
 def number_text(p: Column) -> Column:

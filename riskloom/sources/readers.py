@@ -193,10 +193,17 @@ def parse_request_records(df: DataFrame, body: str, content_type: str, key: str,
     one_line = ~F.contains(text, F.lit("\n"))
     listed = F.from_json(text, "array<string>")
     is_array = (kind == "application/json") & one_line & text.startswith("[")
-    records = F.when(is_array, F.coalesce(listed, F.array(text))).otherwise(lines)
     supported = kind.isin("text/csv", "application/json")
-    items = F.when(supported & (F.size(records) > 0), records).otherwise(F.array(F.lit(None).cast("string")))
-    rows = df.select(key, kind.alias("_k"), F.posexplode(items).alias("pos", "_r"))
+    # nothing is split that has one line
+    records = (
+        F.when(~supported | kind.isNull() | (text == ""), F.array().cast("array<string>"))
+        .when(is_array, F.coalesce(listed, F.array(text)))
+        .when(one_line, F.array(text))
+        .otherwise(lines)
+    )
+    found = df.select(key, kind.alias("_k"), records.alias("_rs"))
+    items = F.when(F.size("_rs") > 0, F.col("_rs")).otherwise(F.array(F.lit(None).cast("string")))
+    rows = found.select(key, "_k", F.posexplode(items).alias("pos", "_r"))
     struct = T._parse_datatype_string(schema)
     checked = T.StructType([*struct.fields, T.StructField("_bad", T.StringType())])
     opts = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from riskloom.functions import dialogue as dg, entities, formats, numbers, responses as rs, text as tx
+from riskloom.sources import readers
 from riskloom.operators import binning, calibrate, curves, currency, encode, impute, labelling, metrics, quality, risk, tokens
 from riskloom.operators.chain import chain, column_chains
 from riskloom.plans import lookup
@@ -438,6 +439,31 @@ def test_fixed_text(spark, x):
     assert one(df, numbers.exact_round(F.col("x"), 4)) == pytest.approx(round(x, 4), abs=1e-15)
 
 
+def test_fixed_text_is_short_enough_to_compile(spark):
+    """One score's text: a Java method of over 8,000 bytes is never compiled, and each row then costs ten times as much."""
+    text = str(numbers.fixed_text(F.element_at("scores", 2), 4)._jc)
+    assert text.count("element_at") < 15
+    values = [0.62645, 0.00005, 0.03125, 2.0**39 + 0.00005, -965994830239.7389, 984903112723.6271]
+    df = spark.createDataFrame([([0.0, x],) for x in values], "scores array<double>")
+    assert [r[0] for r in df.select(numbers.fixed_text(F.element_at("scores", 2), 4)).collect()] == [f"{x:.4f}" for x in values]
+
+
+def test_request_lines(spark):
+    """One-line bodies are not split; the others are, and their empty lines dropped."""
+    bodies = [(0, "1,a", "text/csv"), (1, " 1,a\r\n \n2,b ", "text/csv"), (2, "[1", "application/json"), (3, '[{"n":1},{"n":2}]', "application/json"),
+              (4, " ", "text/csv"), (5, "1,a", None), (6, None, "application/json"), (7, "[]", "application/json"), (8, "\n", "text/csv")]
+    df = spark.createDataFrame(bodies, "k int, body string, media string")
+    out = readers.parse_request_records(df, "body", "media", "k", "n int, s string")
+    plan_text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_text.count("split(") == 1
+    bad, none, kind = "invalid record", "empty input", "unsupported content type"
+    assert sorted((r.k, r.pos, r.n, r.error) for r in out.collect()) == [
+        (0, 0, 1, None), (1, 0, 1, None), (1, 1, 2, None), (2, 0, None, bad), (3, 0, 1, None), (3, 1, 2, None),
+        (4, 0, None, none), (5, 0, None, kind), (6, 0, None, none), (7, 0, None, none), (8, 0, None, none),
+    ]
+
+
+
 @pytest.mark.parametrize("x", [0.7, 0.00012, 0.00001234, 1e-05, 1.0, 0.0, 0.001, 0.1 + 0.2])
 def test_number_text(spark, x):
     assert one(spark.createDataFrame([(x,)], "x double"), numbers.number_text(F.col("x"))) == str(x)
