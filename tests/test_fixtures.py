@@ -402,6 +402,26 @@ def test_entity_mask(spark, text, masked):
     assert df.select(entities.entity_mask(F.col("t"))).first()[0] == masked
 
 
+@pytest.mark.parametrize(
+    "text, masked",
+    [
+        ("Sat in Texas for fifty dollars by WWW.shop.org/a from a@b.co", "WEEKDAY in STATE for DOLLAR_AMOUNT by URL from EMAIL"),
+        ("ABCDEFGHIJ or no entity", "ASIN or no entity"),
+        ("K1234567890 RA 123 456 789 CN xx99US", "TRACKING_ID TRACKING_ID TRACKING_ID"),
+        (None, None),
+    ],
+)
+def test_entities_are_sought_only_where_they_can_be(spark, text, masked):
+    """Kinds made of digits are sought only in texts with a digit, and from no letter that cannot begin one."""
+    df = spark.createDataFrame([(text,)], "t string")
+    t = F.col("t")
+    assert df.select(entities.entity_mask(t)).first()[0] == masked
+    for name in ("TIME", "ZIP", "TRACKING_ID", "DECIMAL"):
+        assert str(entities.entity_count(t, name)._jc).startswith("CASE WHEN regexp_like(t, '[0-9]')")
+    count = df.select(entities.entity_count(t, "TRACKING_ID"), entities.entity_count(t, "URL")).first()
+    assert tuple(count) == ((None, None) if text is None else (masked.count("TRACKING_ID"), masked.count("URL")))
+
+
 def test_embed_as_written_without_padding(spark):
     df = spark.createDataFrame([(1, "Big  box"), (2, ""), (3, None)], "k int, t string")
     vectors = spark.createDataFrame([("Big", [1.0, 2.0]), ("big", [9.0, 9.0])], "token string, vector array<float>")
