@@ -84,7 +84,12 @@ def fill_missing_by_role(df: DataFrame, roles: RoleSpec) -> DataFrame:
 def safe_numeric(df: DataFrame, columns: Sequence[str], default: float = 0.0) -> DataFrame:
     """Text that does not parse, the word ``Default`` and missing values become the default."""
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: F.coalesce(to_number(F.col(c).cast("string")), F.lit(default)) for c in present})
+    kinds = dict(df.dtypes)  # a number of double precision is the number its text says
+
+    def number(c: str) -> Column:
+        return to_number(F.col(c) if kinds[c] == "double" else F.col(c).cast("string"))
+
+    return df.withColumns({c: F.coalesce(number(c), F.lit(default)) for c in present})
 
 
 def feature_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -234,3 +234,12 @@ def test_quantiles_by_refined_histograms(spark, seed):
             low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
             want = low if low == high else low + (high - low) * (at - np.floor(at))
             assert got[v, p] == want or (np.isnan(want) and np.isnan(got[v, p]))
+
+
+def test_doubles_are_not_read_from_text(spark):
+    """``safe_numeric`` keeps doubles as they are, text and other numbers by their text."""
+    rows = [(0.1, 0.1, "Default", 7), (float("nan"), None, " 2.5", None), (float("inf"), float("nan"), None, 3), (5e-324, 1.5, "x", 0)]
+    df = spark.createDataFrame(rows, "d double, f float, s string, i int")
+    out = quality.safe_numeric(df, ["d", "f", "s", "i"], -1.0)
+    assert [tuple(r) for r in out.collect()] == [(0.1, 0.1, -1.0, 7.0), (-1.0, -1.0, 2.5, -1.0), (float("inf"), -1.0, -1.0, 3.0), (5e-324, 1.5, -1.0, 0.0)]
+    assert "cast(d" not in plan(quality.safe_numeric(df.select("d"), ["d"]))
