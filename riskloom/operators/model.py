@@ -15,9 +15,14 @@ from riskloom.operators.curves import auc_roc
 from riskloom.operators.impute import impute_apply, impute_fit
 from riskloom.operators.quality import safe_numeric
 from riskloom.operators.risk import RiskTables, risk_map_apply, risk_table_fit
+from riskloom.plans.partitions import bounded
 from riskloom.plans.staging import stage
 
 
+#: training rows of one partition; the trees keep some 230 bytes of each
+TREE_ROWS = 3 << 18
+
+
 @dataclass(frozen=True)
 class TreeParams:
     step_size: float = 0.1
@@ -39,8 +44,10 @@ def train_boosted_trees(
 ) -> PipelineModel:
     """Boosted trees on assembled numeric features; rows with the validation flag stop training early.
 
-    More than two classes are trained one against the rest.
+    More than two classes are trained one against the rest. A task holds at most ``TREE_ROWS`` rows.
     """
+    used = dict.fromkeys([*features, label, *filter(None, (weight, validation))])
+    df = bounded(df.select(*used), TREE_ROWS)
     gbt = GBTClassifier(
         labelCol=label,
         featuresCol="features",

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import calibrate, curves, isotonic, quality, risk, split
+from riskloom.operators import calibrate, curves, isotonic, model, quality, risk, split
+from riskloom.plans import partitions
 from riskloom.plans.cutoffs import hash_fraction
 from riskloom.plans.prefix import ordered_index, running_totals
 from riskloom.plans.quantiles import exact_quantiles
@@ -236,6 +237,21 @@ def test_quantiles_by_refined_histograms(spark, seed):
             assert got[v, p] == want or (np.isnan(want) and np.isnan(got[v, p]))
 
 
+def test_tree_training_tasks_hold_bounded_rows(spark, monkeypatch):
+    """One split of many rows is dealt out before the trees keep it; few rows stay where they are."""
+    rows = spark.range(5000).selectExpr("id * 1.0 AS a", "id % 7 * 1.0 AS b", "CAST(id % 2 AS double) AS y").coalesce(1)
+    sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sizes(partitions.bounded(rows, 5000)) == [5000]
+    assert max(sizes(partitions.bounded(rows, 1000))) <= 1100 and sum(sizes(partitions.bounded(rows, 1000))) == 5000
+    assert partitions.bounded(rows.limit(0), 10).count() == 0
+    held = []
+    monkeypatch.setattr(model, "TREE_ROWS", 1000)
+    monkeypatch.setattr(model, "bounded", lambda df, n: held.append(partitions.bounded(df, n)) or held[-1])
+    small = model.TreeParams(max_depth=2, rounds=1)
+    assert model.train_boosted_trees(rows, ["a", "b"], "y", small).transform(rows).count() == 5000
+    assert held[0].columns == ["a", "b", "y"] and max(sizes(held[0])) <= 1100
+
+
 def test_doubles_are_not_read_from_text(spark):
     """``safe_numeric`` keeps doubles as they are, text and other numbers by their text."""
     rows = [(0.1, 0.1, "Default", 7), (float("nan"), None, " 2.5", None), (float("inf"), float("nan"), None, 3), (5e-324, 1.5, "x", 0)]
