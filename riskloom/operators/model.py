@@ -6,20 +6,22 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from riskloom.operators import trees
 from riskloom.operators.curves import auc_roc
 from riskloom.operators.impute import impute_apply, impute_fit
 from riskloom.operators.quality import safe_numeric
 from riskloom.operators.risk import RiskTables, risk_map_apply, risk_table_fit
+from riskloom.plans.lookup import local_table
 from riskloom.plans.partitions import bounded
 from riskloom.plans.staging import stage
 
 
-#: training rows of one partition; the trees keep some 230 bytes of each
+#: training rows of one partition, and rows from which one task grows all trees
 TREE_ROWS = 3 << 18
 
 
@@ -41,14 +43,34 @@ def train_boosted_trees(
     weight: str | None = None,
     validation: str | None = None,
     n_classes: int = 2,
+    binned: trees.Binned | None = None,
 ) -> PipelineModel:
     """Boosted trees on assembled numeric features; rows with the validation flag stop training early.
 
     More than two classes are trained one against the rest. A task holds at most ``TREE_ROWS`` rows.
+    ``binned``: the same rows, with these features and others, from ``binned_rows``. Subsets of rows or
+    features per tree are drawn by Spark's own learner.
     """
-    used = dict.fromkeys([*features, label, *filter(None, (weight, validation))])
-    df = bounded(df.select(*used), TREE_ROWS)
-    gbt = GBTClassifier(
+    gbt = tree_learner(label, params)
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
+    if binned_alone(df, features, params):
+        if binned is None:
+            binned = binned_rows(df, features, label, params, weight, validation, n_classes)
+        growth = trees.Growth(params.rounds, params.max_depth, params.step_size, gbt.getValidationTol())
+        models = trees.fit(binned, features, gbt, growth, n_classes)
+        if n_classes == 2:
+            return PipelineModel([assembler, models[0]])
+        return PipelineModel([assembler, OneVsRestModel(models).setFeaturesCol("features")])
+    if weight:
+        gbt = gbt.setWeightCol(weight)
+    if validation:
+        gbt = gbt.setValidationIndicatorCol(validation)
+    learner = gbt if n_classes == 2 else OneVsRest(classifier=gbt, labelCol=label, featuresCol="features")
+    return Pipeline(stages=[assembler, learner]).fit(training_columns(df, features, label, weight, validation))
+
+
+def tree_learner(label: str, params: TreeParams) -> GBTClassifier:
+    return GBTClassifier(
         labelCol=label,
         featuresCol="features",
         stepSize=params.step_size,
@@ -58,13 +80,30 @@ def train_boosted_trees(
         featureSubsetStrategy=params.feature_fraction,
         seed=params.seed,
     )
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
-    learner = gbt if n_classes == 2 else OneVsRest(classifier=gbt, labelCol=label, featuresCol="features")
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[assembler, learner]).fit(df)
+
+
+def training_columns(df: DataFrame, features: Sequence[str], label: str, weight: str | None, validation: str | None) -> DataFrame:
+    return bounded(df.select(*dict.fromkeys([*features, label, *filter(None, (weight, validation))])), TREE_ROWS)
+
+
+def binned_alone(df: DataFrame, features: Sequence[str], params: TreeParams) -> bool:
+    """Whether ``trees`` can grow them: all rows and features for every tree, and a number per feature."""
+    whole = params.subsample >= 1.0 and params.feature_fraction == "all" and params.max_depth > 0 and params.rounds > 0
+    return whole and all(isinstance(df.schema[f].dataType, (T.NumericType, T.BooleanType)) for f in features)
+
+
+def binned_rows(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    params: TreeParams = TreeParams(),
+    weight: str | None = None,
+    validation: str | None = None,
+    n_classes: int = 2,
+) -> trees.Binned:
+    """Training rows by the bins of their features, to train with any of these features."""
+    rows, bins = training_columns(df, features, label, weight, validation), tree_learner(label, params).getMaxBins()
+    return trees.bin_rows(rows, features, label, weight, validation, n_classes, bins, params.seed, TREE_ROWS)
 
 
 def score_frame(df: DataFrame, model: PipelineModel, out: str = "probs") -> DataFrame:
@@ -76,7 +115,7 @@ def score_frame(df: DataFrame, model: PipelineModel, out: str = "probs") -> Data
 def feature_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(f, float(w)) for f, w in zip(features, weights)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    return local_table(spark, rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def feature_selection_loop(
@@ -84,16 +123,20 @@ def feature_selection_loop(
 ) -> tuple[PipelineModel, list[str]]:
     """Retrain without the features of zero importance until all count, or ``max_iter``."""
     kept = list(features)
-    training = stage(df.select(label, *kept), "training")
+    training, binned = df.select(label, *kept), None
+    if binned_alone(training, kept, params):
+        binned = binned_rows(training, kept, label, params)
+    else:
+        training = stage(training, "training")
     for _ in range(max_iter):
-        model = train_boosted_trees(training, kept, label, params)
+        model = train_boosted_trees(training, kept, label, params, binned=binned)
         weights = model.stages[-1].featureImportances.toArray()
         useful = [f for f, w in zip(kept, weights) if w > 0]
         if len(useful) == len(kept) or not useful:
             break
         kept = useful
     else:
-        model = train_boosted_trees(training, kept, label, params)
+        model = train_boosted_trees(training, kept, label, params, binned=binned)
     return model, kept
 
 
