@@ -209,16 +209,17 @@ def feature_importance_checks(spark, sf):
 
 @query("multiclass_trees")
 def multiclass_trees(spark, sf):
-    """One against the rest over the three return flags."""
+    """One against the rest over the three return flags, with the learner's whole rounds and depth."""
     items = spread(table(spark, sf, "lineitem")).select(
         "l_quantity",
         "l_extendedprice",
         "l_tax",
         F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0).alias("y"),
     )
-    small = md.TreeParams(max_depth=2, rounds=2)
-    model = md.train_boosted_trees(items, ["l_quantity", "l_extendedprice", "l_tax"], "y", small, n_classes=3)
-    return model.transform(items).groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    features = ["l_quantity", "l_extendedprice", "l_tax"]
+    binned = md.binned_rows(items, features, "y", n_classes=3)
+    model = md.train_boosted_trees(items, features, "y", n_classes=3, binned=binned)
+    return model.transform(md.merged_rows(items, binned, ["y"])).groupBy("y", "prediction").agg(F.sum("n").alias("n"))
 
 
 def scored_texts(spark, sf):

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskloom.operators import trees
 from riskloom.operators.curves import auc_roc
@@ -29,7 +30,7 @@ TREE_ROWS = 3 << 18
 class TreeParams:
     step_size: float = 0.1
     max_depth: int = 6
-    rounds: int = 50
+    rounds: int = 100
     subsample: float = 1.0
     feature_fraction: str = "all"
     seed: int = 42
@@ -106,6 +107,25 @@ def binned_rows(
     return trees.bin_rows(rows, features, label, weight, validation, n_classes, bins, params.seed, TREE_ROWS)
 
 
+def merged_rows(df: DataFrame, binned: trees.Binned, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows that no tree over these bins tells apart as one, with their number ``n``; a feature becomes a value of its bin.
+
+    Scoring then costs a model run per row of this table, at most one for each combination of bins and kept values.
+    """
+    names = [f"_bin_{i}" for i in range(len(binned.features))]
+    cuts = [sorted({*c}) or [0.0] for c in binned.cuts]
+    # a value equal to a cut belongs to the bin below
+    splits = [[-math.inf, *[math.nextafter(x, math.inf) for x in c], math.inf] for c in cuts]
+    values = [F.col(f"`{f}`").cast("double").alias(f) for f in binned.features]
+    bins = Bucketizer(inputCols=list(binned.features), outputCols=names, splitsArray=splits, handleInvalid="error")
+    counts = bins.transform(df.select(*keep, *values)).groupBy(*keep, *names).agg(F.count(F.lit(1)).alias("n"))
+
+    def value(name: str, c: list[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in (*c, math.nextafter(c[-1], math.inf))]), F.col(name).cast("int") + 1)
+
+    return counts.select(*keep, *[value(n, c).alias(f) for n, c, f in zip(names, cuts, binned.features, strict=True)], "n")
+
+
 def score_frame(df: DataFrame, model: PipelineModel, out: str = "probs") -> DataFrame:
     """Probability array per row; both classes for a binary model."""
     scored = model.transform(df)

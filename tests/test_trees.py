@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from riskloom.catalog import models
 from riskloom.operators import model, trees
 
 NAMES = ["a", "b", "c", "same"]
@@ -126,3 +127,33 @@ def test_draws_of_rows_or_features_stay_with_spark(spark, rows):
     ours = model.train_boosted_trees(rows, NAMES, "y", params)
     theirs = Pipeline(stages=[assembler(NAMES), model.tree_learner("y", params)]).fit(rows.select(*NAMES, "y"))
     assert np.abs(chances(ours, rows) - chances(theirs, rows)).max() < 1e-9
+
+
+def test_the_multiclass_query_trains_in_full(spark, tmp_path, monkeypatch):
+    """A hundred rounds of six levels for each class, as the learner does unasked; each row is counted under the class its model gives."""
+    items = spark.range(1500, numPartitions=1).selectExpr(
+        "floor(rand(1) * 50) * 1.0D AS l_quantity", "round(rand(2) * 9000, 2) AS l_extendedprice", "floor(rand(3) * 9) / 100 AS l_tax",
+        "CASE WHEN rand(4) < 0.3 THEN 'A' WHEN rand(5) < 0.5 THEN 'N' ELSE 'R' END AS l_returnflag",
+    )
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    fitted, train = [], model.train_boosted_trees
+    monkeypatch.setattr(model, "train_boosted_trees", lambda *a, **k: fitted.append(train(*a, **k)) or fitted[-1])
+    got = {(r["y"], r["prediction"]): r["n"] for r in models.multiclass_trees(spark, str(tmp_path)).collect()}
+    parts = fitted[0].stages[-1].models
+    assert [m.getNumTrees for m in parts] == [100] * 3 and [max(t.depth for t in m.trees) for m in parts] == [6] * 3
+    flag = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0)
+    each = fitted[0].transform(spark.read.parquet(f"{tmp_path}/lineitem.parquet").withColumn("y", flag)).groupBy("y", "prediction").count()
+    assert got == {(r["y"], r["prediction"]): r["count"] for r in each.collect()} and sum(got.values()) == 1500
+
+
+def test_merged_rows_keep_sides_of_cuts(spark):
+    """Values at a cut, next to it and at the ends get the sides that the trees give them; nothing is lost."""
+    up = float(np.nextafter(2.5, 3))
+    rows = [(x, 1.0, y) for x in (-1e300, 2.0, 2.5, up, 3.0, 4.5, 1e300) for y in (0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    binned = trees.Binned(("a", "b"), ((2.5, 4.5), ()), 2, df, False, False, True, True)
+    got = sorted((r["y"], r["a"], r["n"]) for r in model.merged_rows(df, binned, ["y"]).collect())
+    assert [(y, n) for y, _, n in got] == [(0.0, 3), (0.0, 3), (0.0, 1), (1.0, 6), (1.0, 6), (1.0, 2)]
+    assert [np.searchsorted([2.5, 4.5], a) for _, a, _ in got] == [0, 1, 2, 0, 1, 2]
+    with pytest.raises(Exception):
+        model.merged_rows(spark.createDataFrame([(float("nan"), 1.0, 0.0)], df.schema), binned, ["y"]).collect()
