@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskloom.functions.numbers import exact_round
 from riskloom.plans.lookup import local_table, lookup_with_default
@@ -168,9 +168,9 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """First row per key. The rank limit holds before the shuffle too: a task sends on one row per key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """First row per key. An aggregate, not a window: a task sends on one row per key, and sorts by the key alone."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(key).agg(F.min_by(row, F.struct(*order)).alias("r")).select("r.*")
 
 
 def oot_split(df: DataFrame, ts: str, label: str, cutoff: str) -> DataFrame:
